@@ -17,8 +17,15 @@ def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_near_duplicates
+
+    return minhash_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
+    "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
