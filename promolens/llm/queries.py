@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +18,54 @@ def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import harmonic_pack
+
+    pieces = harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", (F.octet_length("tokens") / 4).cast("long").alias("length"), F.crc32("tokens").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import minhash_near_duplicates
 
     return minhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_decode, bpe_encode
+
+    path = tokenizer_file("word_bpe_49k.json")
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_profiles, held_out, predict_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = fit_profiles(docs, ~held_out(docs["doc_id"]))
+    out = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
+    return predict_language(out, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
+    "op2_harmonic_packing": op2_harmonic_packing,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+    "op7_merge_automaton": op7_merge_automaton,
+    "op10_hyperdimensional_language": op10_hyperdimensional_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
