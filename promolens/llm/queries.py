@@ -40,6 +40,12 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .credentials import secrets_report
+
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_decode, bpe_encode
 
@@ -51,6 +57,12 @@ def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_profiles, held_out, predict_language
 
@@ -64,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+    "op4_credential_linking": op4_credential_linking,
     "op7_merge_automaton": op7_merge_automaton,
+    "op9_checked_pii": op9_checked_pii,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
 }
 
