@@ -164,7 +164,8 @@ def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int) -> D
         .select("leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id")
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = dealt.join(texts, "doc_id").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "own", "doc_id")
+    # the texts are dealt by id at every size; the small side is the one that is hashed
+    rows = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("leader", "p", "q", "own", "doc_id", "text").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "own", "doc_id")
 
     def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         ids, own = pdf["doc_id"].to_numpy(), pdf["own"].to_numpy()
