@@ -46,6 +46,12 @@ def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op5_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_decode, bpe_encode
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_credential_linking": op4_credential_linking,
+    "op5_hyperplane_near_duplicates": op5_hyperplane_near_duplicates,
     "op7_merge_automaton": op7_merge_automaton,
     "op9_checked_pii": op9_checked_pii,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
