@@ -52,6 +52,12 @@ def op5_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_decode, bpe_encode
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_credential_linking": op4_credential_linking,
     "op5_hyperplane_near_duplicates": op5_hyperplane_near_duplicates,
+    "op6_tree_scored_text": op6_tree_scored_text,
     "op7_merge_automaton": op7_merge_automaton,
     "op9_checked_pii": op9_checked_pii,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
