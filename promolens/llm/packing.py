@@ -15,13 +15,13 @@ again gives the same ids.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,50 +31,36 @@ from .textops import blocks
 CAPACITY = 1024
 SMALL = 16
 SLACK = 1 / 64
-CACHE_WORDS = 400_000
 #: The splitter of byte-level vocabularies, fixed by the tokenizer file.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for Latin texts, where the faster engine agrees on letters and digits.
-_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|[\xb2\xb3\xb9\xbc-\xbe]")
-
-
-@lru_cache(1)
-def _odd_word() -> regex.Pattern:
-    return regex.compile(_WORD)
-
-
-class _Encoder:
-    """Ids of texts as little-endian 32-bit bytes; distinct words are encoded once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        if "<|" in text and any(s in text for s in self.specials):
-            parts = re.split("(" + "|".join(map(re.escape, self.specials)) + ")", text)
-            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.split(part))]
-        return (_odd_word() if _NOT_PLAIN.search(text) else _PLAIN_WORD).findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        missing = list({w for words in split for w in words} - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list({w for words in split for w in words})
-        for w, e in zip(missing, self.model.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<i4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str) -> tuple[tiktoken.Encoding, list[str]]:
+    """An encoder with the merges of a byte-level tokenizer file, and its special symbols.
+
+    Its ids are those of the tokenizers library (a test holds them together); it
+    takes about a quarter of the time.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError("ids must follow the order of the merges")
+    ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items()}
+    specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return tiktoken.Encoding("file", pat_str=_WORD, mergeable_ranks=ranks, special_tokens=specials), list(specials)
+
+
+def encode_ids(text: str, path: str) -> bytes:
+    """Ids of a text as little-endian 32-bit numbers; special symbols in it are encoded as such."""
+    encoding, specials = _encoder(path)
+    allowed = "all" if any(s in text for s in specials) else set()
+    return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -168,7 +154,6 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId() << 33, capacity)
-        encoder = _encoder(path)
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.rows, strict=True))
@@ -180,8 +165,8 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
             ids = batch.column(0).to_pylist()
             for i, j, b, off in blocks(batch.column(1)):
                 raw = b.tobytes()
-                for doc, tokens in zip(ids[i:j], encoder.encode([raw[off[k] : off[k + 1]].decode() for k in range(j - i)]), strict=True):
-                    packer.add(doc, tokens + end)
+                for k, doc in enumerate(ids[i:j]):
+                    packer.add(doc, encode_ids(raw[off[k] : off[k + 1]].decode(), path) + end)
                 if packer.rows:
                     yield out()
         packer.finish()
