@@ -69,6 +69,13 @@ def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_report
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hyperplane_near_duplicates": op5_hyperplane_near_duplicates,
     "op6_tree_scored_text": op6_tree_scored_text,
     "op7_merge_automaton": op7_merge_automaton,
+    "op8_suffix_grouping": op8_suffix_grouping,
     "op9_checked_pii": op9_checked_pii,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
 }
