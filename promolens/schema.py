@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DataType, DateType, DecimalType, FloatType, IntegerType, StringType, StructField, StructType, TimestampType,
+)
 
 _PRICE, _PERCENT, _SHARE = "decimal(10,2)", "decimal(5,2)", "decimal(3,2)"
 
 
-def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+def _kind(name: str) -> DataType:
+    if name.startswith("array<"):
+        return ArrayType(_kind(name[6:-1]))
+    if name.startswith("decimal("):
+        return DecimalType(*map(int, name[8:-1].split(",")))
+    return {
+        "string": StringType(), "boolean": BooleanType(), "int": IntegerType(), "float": FloatType(), "date": DateType(), "timestamp": TimestampType(),
+    }[name]
+
+
+def _schema(columns: str) -> StructType:
+    """A schema from "name kind" pairs; it needs no running session."""
+    return StructType([StructField(c.split()[0], _kind(c.split()[1])) for c in columns.split(", ")])
 
 
 OFFERS = _schema(

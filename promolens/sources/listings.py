@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promolens.functions import prices, text, validity
 from promolens.functions.taxonomy import longest_path
 from promolens.operators.merge import dedupe_first
+from promolens.schema import OFFERS
 
 _NODE = "struct<id:string,name:string>"
 ITEM = (
@@ -63,7 +64,8 @@ def normalize_items(items: DataFrame, as_of: datetime, base: str) -> DataFrame:
         F.concat(F.lit(f"{base}/Angebote/"), F.col("keyword"))
     )
     images = i["offerImages"]["url"]
-    extra = [c for c in items.columns if c not in ("item", "keyword")]
+    mine = {f.lower() for f in OFFERS.names}
+    extra = [c for c in items.columns if c not in ("item", "keyword") and c.lower() not in mine]  # a page's own url is not the offer's
     return items.select(
         *extra, i["id"].alias("external_id"), text.display_title(i["title"], i["brand"]).alias("title"), link.alias("url"),
         text.image_link(images["large"], images["normal"], images["thumbnail"]).alias("image_url"),
