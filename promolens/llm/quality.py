@@ -25,6 +25,8 @@ from .textops import LEADING, Words, blocks, mix, per_doc
 BUCKETS = 1 << 14
 #: Trusted documents taken for the target model, at most; chosen by hash of the id.
 MAX_TRUSTED = 20_000
+#: Pseudo-counts of the target model.
+SMOOTHING = 1000.0
 #: Between the lowest clean and the highest junk scores of the labelled rows.
 THRESHOLD = -0.08
 _SYMBOL = np.zeros(256, bool)
@@ -71,15 +73,19 @@ def ngram_counts(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) ->
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
-    """log p_target - log p_raw per bucket; all zero when no document is trusted."""
-    raw, target = np.full(buckets, smoothing), np.full(buckets, smoothing)
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p_target - log p_raw per bucket; all zero when no document is trusted.
+
+    The target is smoothed by ``smoothing`` n-grams drawn like the raw corpus.
+    """
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, r, t in counts.collect():  # at most ``buckets`` rows
-        raw[bucket] += r
-        target[bucket] += t
-    if target.sum() == smoothing * buckets:
+        raw[bucket], target[bucket] = r, t
+    if not target.sum():
         return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = raw / raw.sum()
+    mixed = (target + smoothing * share) / (target.sum() + smoothing)
+    return np.log(mixed, out=np.zeros(buckets), where=mixed > 0) - np.log(share, out=np.zeros(buckets), where=mixed > 0)
 
 
 SCHEMA = (
