@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.querytext import BROCHURE_WORDS
-from promolens.functions.vectors import cosine
+from promolens.functions.vectors import cosine, dot, norm
 
 from .filters import currently_valid, like_any, optional_filters
 
@@ -36,7 +36,8 @@ def search_offers(
     rows = optional_filters(offers.filter(F.col("is_active") & F.col("embedding").isNotNull()), max_price, category, (), since)
     value = cosine(F.col("embedding"), vector)
     scored = rows.withColumn("similarity", F.round(value, digits) if digits is not None else value)
-    return scored.filter(F.col("similarity") >= cutoff).orderBy(F.desc("similarity"), "id").limit(limit)
+    # the cutoff comes last: before the limit it would be evaluated with a second cosine in the scan
+    return scored.orderBy(F.desc("similarity"), "id").limit(limit).filter(F.col("similarity") >= cutoff)
 
 
 def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | None = None) -> DataFrame:
@@ -61,11 +62,17 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
         if name in queries.columns:
             q = q.withColumnRenamed(name, f"q_{name}")
             cond = cond & F.coalesce(F.col(f"q_{name}").isNull() | rule(F.col(f"q_{name}")), F.lit(False))
-    pairs = offers.filter(F.col("is_active") & F.col("embedding").isNotNull()).join(F.broadcast(q) if few else q, cond)
-    value = cosine(F.col("embedding"), F.col("vector"))
-    scored = pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value).filter(F.col("similarity") >= F.col("cutoff"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    # lengths are computed once for each vector, not for each pair
+    q = q.withColumn("q_norm", norm(F.col("vector")))
+    rows = offers.filter(F.col("is_active") & F.col("embedding").isNotNull()).withColumn("o_norm", norm(F.col("embedding")))
+    pairs = rows.join(F.broadcast(q) if few else q, cond)
+    value = dot(F.col("embedding"), F.col("vector")) / F.nullif(F.col("o_norm") * F.col("q_norm"), F.lit(0.0))
+    value = F.when((F.size("embedding") == F.size("vector")) & ~F.isnan(value), value)
+    scored = pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
+    # what is below the cutoff ranks last, so it can go after the ranks are cut
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("similarity") >= F.col("cutoff"))
+    return best.select("query_id", "id", "similarity", "rank")
 
 
 def latest_offers(offers: DataFrame, as_of: datetime, only_current: bool = False, mode: str = "strict", limit: int = 10) -> DataFrame:
