@@ -660,3 +660,88 @@ def daily_percentiles(spark, sf_dir):
 @query("embedding_text", "SELECT p_partkey AS external_id, p_name || ' ' || p_type || ' ' || p_brand AS body FROM part")
 def embedding_text(spark, sf_dir):
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("external_id"), vectors.offer_text(F.concat(F.lit("  "), "p_name"), F.col("p_type"), F.concat("p_brand", F.lit("  "))).alias("body"))
+
+
+_RULES = ("/en/4", "/es", "/nowhere")
+
+
+@query("exclude_disallowed", "SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^(/en/4|/es|/nowhere)')")
+def exclude_disallowed(spark, sf_dir):
+    rules = spark.createDataFrame([(r,) for r in _RULES], "prefix string")
+    return filters.exclude_disallowed(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "url")
+
+
+@query("brochure_images", """WITH i AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS viewer_url, url AS image_url, min(page_id) AS pos FROM pages GROUP BY 1, 2)
+ SELECT viewer_url, image_url, row_number() OVER (PARTITION BY viewer_url ORDER BY pos, image_url) AS page_number FROM i QUALIFY page_number <= 3""")
+def brochure_images(spark, sf_dir):
+    images = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("viewer_url"), F.col("url").alias("image_url"), F.col("page_id").alias("pos"))
+    return listings.brochure_pages_from_images(images).select("viewer_url", "image_url", F.col("page_number").cast("long").alias("page_number"))
+
+
+@query("week_version", "SELECT o_orderkey, 'v1-' || isoyear(o_orderdate) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS version FROM orders")
+def week_version(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", validity.week_version(F.col("o_orderdate")).alias("version"))
+
+
+@query("report_best", f"WITH {OFFERS_SQL} SELECT external_id, tenths FROM offers WHERE (valid_from IS NULL OR valid_from <= DATE '2024-01-20') AND (valid_to IS NULL OR valid_to >= DATE '2024-01-20') AND tenths IS NOT NULL ORDER BY tenths DESC, external_id LIMIT 10")
+def report_best(spark, sf_dir):
+    return stats.report_lists(_offers(spark, sf_dir), AS_OF)["best"].select("external_id", _tenths("discount_percent").alias("tenths"))
+
+
+@query("report_next_week", f"WITH {OFFERS_SQL} SELECT external_id, store FROM offers WHERE valid_from BETWEEN DATE '2024-01-22' AND DATE '2024-01-28' ORDER BY valid_from, store NULLS LAST, external_id LIMIT 10")
+def report_next_week(spark, sf_dir):
+    return stats.report_lists(_offers(spark, sf_dir), AS_OF)["next_week"].select("external_id", "store")
+
+
+@query("label_source", f"WITH {OFFERS_SQL}, b AS (SELECT {_SOURCE_SQL} AS bucket FROM offers) SELECT CASE WHEN count(bucket) > 0 AND count(bucket) * 2 >= count(*) THEN 'source' ELSE 'heuristic' END AS label_source FROM b")
+def label_source(spark, sf_dir):
+    return stats.label_source(stats.with_buckets(_offers(spark, sf_dir)))
+
+
+@query("bucket_offers", f"WITH {_RULED}, b AS (SELECT *, coalesce({_SOURCE_SQL}, split_part(pair, '/', 1)) AS bucket FROM ruled) SELECT external_id, tenths FROM b WHERE bucket = 'Lebensmittel' ORDER BY tenths DESC NULLS LAST, external_id LIMIT 60")
+def bucket_offers(spark, sf_dir):
+    return stats.bucket_offers(stats.with_buckets(_offers(spark, sf_dir)), "Lebensmittel").select("external_id", _tenths("discount_percent").alias("tenths"))
+
+
+@query("review_patches", "SELECT p_partkey AS offer_id, CASE WHEN p_size % 3 = 0 THEN 'neu: ' || p_name ELSE p_name END AS product_name, p_brand AS brand FROM part")
+def review_patches(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    analyses = part.select(F.col("p_partkey").alias("offer_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"))
+    patch = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("product_name"), F.concat(F.lit("neu: "), "p_name"))).otherwise(F.create_map(F.lit("id"), F.lit("x")))
+    return labels.apply_review_patches(analyses, part.select(F.col("p_partkey").alias("offer_id"), patch.alias("patch")))[0]
+
+
+@query("answer_candidates", f"""WITH {_VECTORS}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+ near AS (SELECT id, 0 AS tier FROM o, q WHERE list_cosine_similarity(e, v) >= 0.5 ORDER BY list_cosine_similarity(e, v) DESC, id LIMIT 8),
+ current AS (SELECT id, 1 AS tier FROM o ORDER BY discount DESC, hour DESC, id LIMIT 8)
+ SELECT * FROM near UNION ALL SELECT * FROM current WHERE NOT EXISTS (SELECT 1 FROM near)""")
+def answer_candidates(spark, sf_dir):
+    offers = _vector_offers(spark, sf_dir).withColumns({c: F.lit(None).cast("date") for c in ("valid_from", "valid_to")}).withColumns({"is_upcoming": F.lit(False), "external_id": F.col("id")})
+    return search.answer_candidates(offers, False, _first_vector(spark, sf_dir), AS_OF).select("id", "tier")
+
+
+@query("notification_log", f"""WITH {_MATCHES}, sent AS (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY alert_id, rank) AS ids, count(*) AS n FROM matches WHERE rank <= 5 GROUP BY 1)
+ SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'sent' ELSE 'failed' END AS status, ids AS offer_ids, n || ' Angebote' AS payload_summary FROM sent""")
+def notification_log(spark, sf_dir):
+    digests = alerts.build_digests(_matches(spark, sf_dir), _alerts(spark, sf_dir))
+    outcomes = _alerts(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit("email").alias("channel"), F.when(F.col("user_id") % 2 == 0, "sent").otherwise("failed").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    rows = alerts.notification_rows(digests, outcomes, AS_OF)
+    return rows.select("user_id", "status", F.array_join(F.col("offer_ids").cast("array<string>"), ",").alias("offer_ids"), "payload_summary")
+
+
+@query("touch_alerts", f"WITH {_MATCHES}, had AS (SELECT DISTINCT user_id FROM matches WHERE rank <= 5) SELECT vec_id AS id, vec_id % 7 IN (SELECT user_id FROM had) AS touched FROM embeddings WHERE label = 3")
+def touch_alerts(spark, sf_dir):
+    rows = _alerts(spark, sf_dir).withColumn("last_triggered_at", F.lit(None).cast("timestamp"))
+    digests = alerts.build_digests(_matches(spark, sf_dir), rows)
+    return alerts.touch_alerts(rows, digests, AS_OF).select("id", F.col("last_triggered_at").isNotNull().alias("touched"))
+
+
+@query("sanitize_prefs", """SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'Tier' ELSE 'Lebensmittel,Getränke' END AS buckets,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 120 BETWEEN 5 AND 95 THEN CAST(c_custkey % 120 AS DOUBLE) ELSE 50.0 END AS bargain_min_discount FROM customer""")
+def sanitize_prefs(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = _read(spark, sf_dir, "customer").select(
+        k.cast("string").alias("user_id"), F.lit(None).cast("array<string>").alias("stores"), F.when(k % 3 == 0, F.array(F.lit("Tier"), F.lit("Fremd"))).otherwise(F.array(F.lit("Fremd"))).alias("buckets"),
+        (k % 120).cast("double").alias("bargain_min_discount"), (k % 7 == 0).alias("no_bargains"), F.lit(True).alias("onboarded"),
+    )
+    return taxonomy.sanitize_prefs(raw).select("user_id", F.array_join("buckets", ",").alias("buckets"), "bargain_min_discount")

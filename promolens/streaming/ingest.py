@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from promolens.functions.vectors import embed_missing, offer_text
 from promolens.operators.alerts import match_alerts
 from promolens.operators.history import append_price_history
-from promolens.operators.merge import merge_offers
-from promolens.schema import OFFERS, align_schema
+from promolens.operators.merge import dedupe_first, merge_by_key, merge_offers
+from promolens.schema import ALERTS, OFFERS, align_schema
 from promolens.sources.listings import dedupe_offers, explode_listing_items, extract_listing_json, normalize_items
 from promolens.sources.tables import Snapshots, append_history
 
@@ -49,6 +49,18 @@ def run_ingest_stream(spark: SparkSession, landing: str, offers_path: str, histo
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_alert_stream(spark: SparkSession, landing: str, alerts_path: str, checkpoint: str) -> StreamingQuery:
+    """Alerts that arrive in ``landing`` get the vector of their query text and join the alerts' next snapshot."""
+    alerts = Snapshots(spark, alerts_path)
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = embed_missing(align_schema(batch, ALERTS), F.col("query_text"), "query_embedding")
+        alerts.write(merge_by_key(alerts.read(ALERTS), dedupe_first(align_schema(new, ALERTS), ["id"], ["created_at", "query_text"]), ["id"]), f"b{number}")
+
+    rows = spark.readStream.schema(ALERTS).parquet(landing)
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def match_alerts_stream(offers: DataFrame, alerts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, as_of: datetime) -> StreamingQuery:
     """New offers against all alerts, micro-batch by micro-batch; ``sink`` gets the matches."""
 

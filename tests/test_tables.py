@@ -6,9 +6,9 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from promolens.operators import alerts, labels, merge, search
-from promolens.schema import OFFERS, PRICE_HISTORY, align_schema, validate
+from promolens.schema import ALERTS, OFFERS, PRICE_HISTORY, align_schema, validate
 from promolens.sources.tables import Snapshots, append_history, read_history
-from promolens.streaming.ingest import PAGES, run_ingest_stream
+from promolens.streaming.ingest import PAGES, run_alert_stream, run_ingest_stream
 
 AT = datetime(2026, 5, 16, 12, tzinfo=timezone.utc)
 LATER = datetime(2026, 5, 17, 12, tzinfo=timezone.utc)
@@ -61,6 +61,15 @@ def test_ingest_stream(spark, tmp_path):
     assert got[0]["embedding"] is not None and read_history(spark, paths[2], PRICE_HISTORY).count() == 1
 
 
+def test_alert_stream_embeds(spark, tmp_path):
+    landing, table = f"file://{tmp_path}/landing", f"file://{tmp_path}/alerts"
+    rows = spark.createDataFrame([("1", "u", "Kaffee"), ("2", "u", " ")], "id string, user_id string, query_text string")
+    align_schema(rows, ALERTS).write.parquet(landing)
+    run_alert_stream(spark, landing, table, f"file://{tmp_path}/check").awaitTermination()
+    got = {r["id"]: r["query_embedding"] for r in Snapshots(spark, table).read(ALERTS).collect()}
+    assert len(got["1"]) == 64 and got["2"] is None
+
+
 def test_validate_splits(spark):
     good, bad = validate(spark.createDataFrame([("sent",), ("lost",), (None,)], "status string"))
     assert good.count() == 2 and bad.count() == 1
