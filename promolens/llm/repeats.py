@@ -6,16 +6,20 @@ hash among the window's ``GRAM``-byte grams. Equal windows have equal minimizers
 and neighbouring windows mostly share one, so a text becomes a sequence of short
 runs of windows.
 
-1. Runs are reduced to those whose minimizer occurs in more than one document.
-   A task first looks at its own runs: of a minimizer that several of its
-   documents hold, one row alone goes to that minimizer's place.
-2. The bytes of those runs meet by minimizer, equal ones of a task as one row.
-   The distinct strings of a minimizer are suffix-sorted by linear grouping;
-   windows that are neighbours in that order and equal form a group, whose
-   smallest document is known then.
-3. A minimizer with more than ``LANE`` runs would make one long string in one
-   task. Its windows are grouped by an exact 128-bit digest instead, in an
-   aggregation that Spark pre-aggregates and a join that it may split.
+1. Every run goes to its minimizer's place as four numbers: minimizer, digest of
+   its bytes, document, position. Tasks send them in columns of as few bytes as
+   they need. Minimizers of one document end there. If all runs of a minimizer are
+   equal, their smallest document is the answer for each of their windows.
+2. The runs of the other shared minimizers are cut from the texts and meet again,
+   equal ones of a task as one row. The distinct strings of a minimizer are
+   suffix-sorted by linear grouping; windows that are neighbours in that order
+   and equal form a group, whose smallest document is known then.
+3. A minimizer that more than ``HOT`` documents of one task hold would be a large
+   group in one task. A task sends but a mark for it to its place; whether its
+   runs are equal, and their smallest document, come from aggregations that Spark
+   pre-aggregates and joins that it may split. Where they differ, their windows
+   are grouped in that way by a 128-bit digest. Within a task, more than
+   ``SORTED`` distinct strings of one minimizer are grouped by exact windows.
 4. Spans of a document meet by its id and are cut out of its text.
 """
 
@@ -31,16 +35,18 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .shared import stored
 from .suffixes import suffix_arrays
-from .textops import blocks, mix, window_hash
+from .textops import blocks, mix, slice_hash, window_hash
 
 LENGTH = 50
 GRAM = 20
 #: Windows in a run, at most (longer runs of one minimizer are cut).
 RUN = 64
-#: Runs of one minimizer that are suffix-sorted together, at most.
-LANE = 128
+#: Documents of one task that may hold a minimizer whose runs meet in one place.
+HOT = 64
+#: Distinct strings of one minimizer that are suffix-sorted together, at most.
+SORTED = 256
 #: Runs that a task looks at together before rows leave it.
-TASK_RUNS = 1 << 20
+TASK_RUNS = 1 << 19
 #: Bits under the id that tell rows with the same id apart.
 _ROW_BITS = 20
 
@@ -77,68 +83,128 @@ def _runs(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     return row[start], start - off[row[start]], count, low[start].view(np.int64)
 
 
-def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(h, doc, pn): runs whose minimizer occurs in several documents; pn is position * 256 + windows."""
-    places = "k long, h long, doc long, pn long"
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, lowest bytes of all of them first, without planes of zeros at the end."""
+    x = x.astype("<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
+    """Rows of packed runs by place: hot ones anywhere, the others where their minimizer belongs."""
+    names = ["place", "hot", "n", "first_doc", "h", "s", "doc", "pn"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def leave() -> pa.RecordBatch:
-            h, doc, pn = (np.concatenate(c) for c in zip(*held, strict=True))
+        def packed(at: np.ndarray, hot: bool, h, s, doc, pn) -> pa.RecordBatch:
+            order = np.lexsort((h, at))
+            at, h, s, doc, pn = (x[order] for x in (at, h, s, doc, pn))
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            rows: list[list] = [[] for _ in names]
+            for i, j in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+                base = int(doc[i:j].min())
+                values = (int(at[i]), hot, j - i, base, _planes(np.diff(h[i:j], prepend=0)), _planes(s[i:j]), _planes(doc[i:j] - base), _planes(pn[i:j]))
+                for column, v in zip(rows, values, strict=True):
+                    column.append(v)
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            h, s, doc, pn = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(h, kind="stable")
-            s, d = h[order], doc[order]
-            cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            least, most = np.minimum.reduceat(d, cuts), np.maximum.reduceat(d, cuts)
-            several = np.zeros(len(h), bool)
-            several[order] = np.repeat(least != most, np.diff(np.append(cuts, len(s))))
-            there = least != most
-            spread = mix((doc[several] * 1_000_003 + pn[several]).view(np.uint64)).view(np.int64)
-            k = np.concatenate([h[~several], spread, s[cuts][there]])
-            own = np.concatenate([np.zeros((~several).sum(), np.int64), h[several], np.zeros(there.sum(), np.int64)])
-            known = np.concatenate([np.ones((~several).sum(), bool), np.zeros(several.sum(), bool), np.ones(there.sum(), bool)])
-            return pa.RecordBatch.from_arrays([
-                pa.array(k), pa.array(own, mask=known), pa.array(np.concatenate([doc[~several], doc[several], least[there]])),
-                pa.array(np.concatenate([pn[~several], pn[several], np.full(there.sum(), -1)])),
-            ], ["k", "h", "doc", "pn"])
+            order = np.lexsort((doc, h))
+            h, s, doc, pn = h[order], s[order], doc[order], pn[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            cuts = np.flatnonzero(new)
+            docs = np.add.reduceat(new | np.concatenate([[True], doc[1:] != doc[:-1]]), cuts)
+            size = np.diff(np.append(cuts, len(h)))
+            hot = np.repeat(docs > HOT, size)
+            mark = cuts[docs > HOT]  # no windows: it says that the minimizer is hot
+            keep = ~hot
+            ah, as_, ad, ap = (np.concatenate([x[keep], y]) for x, y in ((h, h[mark]), (s, s[mark] * 0), (doc, doc[mark]), (pn, pn[mark] * 0)))
+            yield packed(ah * places >> 48 if places < 1 << 15 else ah % places, False, ah, as_, ad, ap)
+            if hot.any():
+                spread = (mix((doc[hot] * 1_000_003 + pn[hot]).view(np.uint64)) % np.uint64(places)).astype(np.int64)
+                yield packed(spread, True, h[hot], s[hot], doc[hot], pn[hot])
 
         size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, b, off in blocks(batch.column(1)):
                 row, at, count, h = _runs(b, off, length)
-                held.append((h, ids[i:j][row], at * 256 + count))
-                size += len(h)
+                if len(h):
+                    start = off[row] + at
+                    digest = slice_hash(b, start, start + count + length - 1)
+                    held.append((h.view(np.uint64) >> np.uint64(16), digest >> np.uint64(16), ids[i:j][row], at * 256 + count))
+                    held[-1] = tuple(x.astype(np.int64) for x in held[-1])
+                    size += len(h)
                 if size >= TASK_RUNS:
-                    yield leave()
+                    yield from leave()
                     size = 0
         if size:
-            yield leave()
+            yield from leave()
+
+    kinds = "place int, hot boolean, n long, first_doc long, h binary, s binary, doc binary, pn binary"
+    return texts.select("__key", "text").filter("__key is not null").mapInArrow(place, kinds)
+
+
+def _met_runs(texts: DataFrame, length: int, shift: int) -> DataFrame:
+    """(kind, h, s, doc, a, n): kind 0, windows that a smaller document holds too; 1, runs to compare; 2, hot runs.
+
+    A run is n windows from byte a of its document's text on; hot ones have the digest s.
+    """
+    # twice the usual number, for a task holds the numbers of all its runs
+    places = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(kind: int, h, s, doc, pn) -> pa.RecordBatch:
+        digest = pa.array(s) if kind == 2 else pa.nulls(len(s), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), digest, pa.array(doc), pa.array(pn >> 8), pa.array((pn & 255).astype(np.int32))],
+            ["kind", "h", "s", "doc", "a", "n"],
+        )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]  # numbers only: 32 bytes a row
-        if not whole:
-            return
-        table = pa.Table.from_batches(whole).combine_chunks()
-        k, doc, pn = (table.column(c).to_numpy() for c in ("k", "doc", "pn"))
-        passed = table.column("h").is_valid().to_numpy()
-        h = table.column("h").fill_null(0).to_numpy()
-        for at in range(0, len(table), 1 << 16):
-            own = passed[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)][own]) for x in (h, doc, pn)], ["h", "doc", "pn"])
-        k, doc, pn = k[~passed], doc[~passed], pn[~passed]
-        if not len(k):
+        here: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = r["n"]
+                h, s, doc, pn = np.cumsum(_from_planes(r["h"], n)), _from_planes(r["s"], n), _from_planes(r["doc"], n) + r["first_doc"], _from_planes(r["pn"], n)
+                if r["hot"]:
+                    yield rows(2, h, s, doc, pn)
+                else:
+                    here.append((h, s, doc, pn))
+        if not here:
             return
-        order = np.argsort(k, kind="stable")
-        k, doc, pn = k[order], doc[order], pn[order]
-        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        # a row that stands for a task's several documents makes its minimizer shared by itself
-        found = (np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)) | (np.minimum.reduceat(pn, cuts) < 0)
-        keep = np.repeat(found, np.diff(np.append(cuts, len(k)))) & (pn >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, doc, pn)], ["h", "doc", "pn"])
-
-    return texts.select("key", "text").filter("key is not null").mapInArrow(place, places).repartition("k").mapInArrow(meet, "h long, doc long, pn long")
+        h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
+        here.clear()
+        order = np.lexsort((s, h))
+        h, s, doc, pn = h[order], s[order], doc[order], pn[order]
+        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(cuts, len(h)))
+        least, most = np.minimum.reduceat(doc, cuts), np.maximum.reduceat(doc, cuts)
+        hot = np.minimum.reduceat(pn, cuts) == 0
+        # a mark's digest is 0 and does not matter: its minimizer is hot
+        several = np.add.reduceat(np.concatenate([[False], s[1:] != s[:-1]]) & np.concatenate([[False], h[1:] == h[:-1]]), cuts) > 0
+        shared = (least >> shift) != (most >> shift)
+        found = np.repeat(np.where(hot, 2, np.where(~shared, -1, np.where(several, 1, 0))), size)
+        found[pn == 0] = -1
+        found[(found == 0) & (np.repeat(least, size) >> shift == doc >> shift)] = -1
+        for kind in (0, 1, 2):
+            at = np.flatnonzero(found == kind)
+            for k in range(0, len(at), 1 << 16):
+                one = at[k : k + (1 << 16)]
+                yield rows(kind, h[one], s[one], doc[one], pn[one])
+
+    placed = _placed_runs(texts, length, places)
+    return placed.repartitionById(places, F.col("place")).mapInArrow(meet, "kind int, h long, s long, doc long, a long, n int")
 
 
 def _run_bytes(column: pa.Array, runs: pa.ListArray) -> Iterator[tuple]:
@@ -205,6 +271,17 @@ def first_documents(lanes: list[list[bytes]], firsts: list[list[int]], length: i
     return out
 
 
+def _group_windows(lane: list[int], texts: list[bytes], first: np.ndarray, found: np.ndarray, base: np.ndarray, windows: np.ndarray, length: int) -> None:
+    """Fills in the smallest document of each window of very many strings by comparing the windows themselves."""
+    x = np.array(lane)
+    place = np.concatenate([base[n] + np.arange(windows[n]) for n in lane])
+    whole = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(texts[n], np.uint8), length) for n in lane])
+    _, same = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, length))).ravel(), return_inverse=True)
+    least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, np.repeat(first[x], windows[x]))
+    found[place] = least[same]
+
+
 def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, shift: int) -> Iterator[pa.RecordBatch]:
     """(doc, a, b) of the windows that a smaller document holds too; a partition has all rows of its minimizers."""
     whole = [b for b in batches if b.num_rows]
@@ -232,7 +309,10 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, shift: int) ->
     windows = np.array([len(s) for s in texts]) - length + 1
     base = np.cumsum(windows) - windows
     found = np.repeat(first, windows)
-    several = sorted((x for x in lanes.values() if len(x) > 1), key=lambda x: sum(len(texts[n]) for n in x))
+    for x in lanes.values():
+        if len(x) > SORTED:
+            _group_windows(x, texts, first, found, base, windows, length)
+    several = sorted((x for x in lanes.values() if 1 < len(x) <= SORTED), key=lambda x: sum(len(texts[n]) for n in x))
     at = 0
     while at < len(several):
         end, size = at, 0
@@ -278,15 +358,15 @@ def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with a long ``key`` that no two rows share, and how many low bits of it are not the id."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("key"))
-    if ids.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return docs.withColumn("key", F.col("doc_id").cast("long")), 0
+    """``docs`` with a long ``__key`` that no two rows share, and how many low bits of it are not the id."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__key"))
+    if ids.filter("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id").cast("long")), 0
     from pyspark.sql import Window
 
     within = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
     row = F.row_number().over(within) - 1
-    return docs.withColumn("key", F.col("doc_id").cast("long") * (1 << _ROW_BITS) + row), _ROW_BITS
+    return docs.withColumn("__key", F.col("doc_id").cast("long") * (1 << _ROW_BITS) + row), _ROW_BITS
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -299,30 +379,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     (ids up to 2**43 then). A null doc_id is neither judged nor a source. Columns
     of the result's names are replaced, all others stay.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "key")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "spans")
     rows, shift = _numbered(docs.withColumn("text", F.col("text").cast("string")))
-    shared = stored(_shared_runs(rows, length))
-    large = stored(shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > LANE).select("h", F.lit(True).alias("large")))
-    runs = shared.join(large, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("pn", "h", "large")).alias("runs"))
-    texts = rows.select("key", "text")
-    joined = texts.join(runs.hint("shuffle_hash"), texts["key"] == runs["doc"]).select("key", "text", "runs")
-    part = "transform(filter(runs, r -> r.large is {} null), r -> named_struct('pn', r.pn, 'h', r.h))"
-    spans = (
-        joined.select("key", "text", F.expr(part.format("")).alias("runs"))
-        .mapInArrow(lambda batches: _strings(batches, length), "h long, s binary, docs array<long>, starts array<long>")
-        .repartition("h").mapInArrow(lambda batches: _sorted_spans(batches, length, shift), "doc long, a long, b long")
-    )
-    if not large.isEmpty():
-        windows = (
-            joined.select("key", "text", F.expr(part.format("not")).alias("runs")).filter("size(runs) > 0")
-            .mapInArrow(lambda batches: _window_digests(batches, length), "w1 long, w2 long, doc long, a long")
-        )
+    texts = rows.select("__key", "text")
+    met = stored(_met_runs(texts, length, shift), release=True)
+    whole = [F.col("doc"), F.col("a"), (F.col("a") + F.col("n") + (length - 1)).alias("b")]
+    spans = met.filter("kind = 0").select(*whole)
+    kinds = {r["kind"] for r in met.select("kind").distinct().collect()}
+
+    def with_runs(which: DataFrame) -> DataFrame:
+        runs = which.groupBy("doc").agg(F.collect_list(F.struct((F.col("a") * 256 + F.col("n")).alias("pn"), "h")).alias("runs"))
+        return texts.join(runs.hint("shuffle_hash"), texts["__key"] == runs["doc"]).select("__key", "text", "runs")
+
+    if 1 in kinds:
+        strings = with_runs(met.filter("kind = 1")).mapInArrow(lambda batches: _strings(batches, length), "h long, s binary, docs array<long>, starts array<long>")
+        spans = spans.unionByName(strings.repartition("h").mapInArrow(lambda batches: _sorted_spans(batches, length, shift), "doc long, a long, b long"))
+    if 2 in kinds:
+        hot = met.filter("kind = 2")
+        per = hot.groupBy("h").agg(F.min("doc").alias("least"), (F.min("s") == F.max("s")).alias("equal"))
+        smaller = F.shiftright("least", shift) < F.shiftright("doc", shift)
+        spans = spans.unionByName(hot.join(per.filter("equal"), "h").filter(smaller).select(*whole))
+        windows = with_runs(hot.join(per.filter("not equal").select("h"), "h", "left_semi")).mapInArrow(lambda batches: _window_digests(batches, length), "w1 long, w2 long, doc long, a long")
         least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-        again = windows.join(least, ["w1", "w2"]).filter(F.shiftright("least", shift) < F.shiftright("doc", shift))
+        again = windows.join(least, ["w1", "w2"]).filter(smaller)
         spans = spans.unionByName(again.select("doc", "a", (F.col("a") + length).alias("b")))
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     schema = StructType([
-        *docs.schema.fields, StructField("kept", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
+        *rows.select(*docs.columns).schema.fields, StructField("kept", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
     ])
     names = docs.columns
@@ -358,5 +441,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [*names, "kept", "n_bytes", "n_removed", "spans"],
             )
 
-    joined_all = rows.join(found.hint("shuffle_hash"), rows["key"] == found["doc"], "left")
-    return joined_all.select(*[rows[c] for c in names], "found").mapInArrow(cut, schema)
+    if not shift and sorted(names) == ["doc_id", "text"]:  # the texts as the joins above deal them: dealt once
+        ended = texts.join(found.hint("shuffle_hash"), texts["__key"] == found["doc"], "left").withColumnRenamed("__key", "doc_id")
+    else:
+        ended = rows.join(found.hint("shuffle_hash"), rows["__key"] == found["doc"], "left")
+    return ended.select(*names, "found").mapInArrow(cut, schema)

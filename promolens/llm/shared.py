@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: its lineage ends there."""
+def stored(df: DataFrame, release: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: its lineage ends there.
+
+    With ``release`` the driver's garbage is collected then, so that Spark's cleaner
+    deletes the shuffle files that only the finished plan used.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promolens/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if release:
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)  # the cleaner works beside us
+    return out
 
 
 def drop_stored(df: DataFrame) -> None:

@@ -96,6 +96,15 @@ def window_hash(b: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def slice_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each slice, wherever it lies."""
+    up, down = _powers(len(b))
+    sums = np.empty(len(b) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of a block: first and end byte, document and 64-bit hash."""
 
