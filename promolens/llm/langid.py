@@ -29,6 +29,8 @@ N = 3
 MAX_TRAINING = 20_000
 #: Code points handled by one matrix product.
 BLOCK_CHARS = 1 << 18
+#: N-grams whose vectors are held together.
+GRAMS = 2048
 UNDETERMINED = "und"
 
 
@@ -70,9 +72,9 @@ def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = (doc[:-2] == doc[2:]) & ~((letter[:-2] == 0) & (letter[2:] == 0) & (letter[1:-1] == 0))
         code, doc = code[inside], doc[:-2][inside]
         grams, at = np.unique(code, return_inverse=True)
-        for g in range(0, len(grams), 8192):
-            part = grams[g : g + 8192]
-            own = (at >= g) & (at < g + 8192)
+        for g in range(0, len(grams), GRAMS):
+            part = grams[g : g + GRAMS]
+            own = (at >= g) & (at < g + GRAMS)
             used, back = np.unique(np.stack([part >> 42, part >> 21 & 0x1FFFFF, part & 0x1FFFFF]), return_inverse=True)
             base, back = np.stack([_letter(int(c)) for c in used]), back.reshape(3, -1)
             bound = np.roll(base, 2, 1)[back[0]] * np.roll(base, 1, 1)[back[1]] * base[back[2]]
@@ -131,15 +133,17 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFr
     at = [c.lower() for c in docs.columns].index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            vectors, found = _vectors(texts)
-            cos = _unit(vectors) @ protos.T if names else np.zeros((len(texts), 0))
-            best = cos.argmax(axis=1) if names else np.zeros(len(texts), int)
-            ok = found & bool(names)
-            lang = [names[k] if y else UNDETERMINED for k, y in zip(best, ok, strict=True)]
-            score = np.where(ok, np.clip(cos.max(axis=1), 0, 1) if names else 0.0, 0.0).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):  # small batches leave, so that no task holds all texts twice
+                batch = whole.slice(k, 512)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                vectors, found = _vectors(texts)
+                cos = _unit(vectors) @ protos.T if names else np.zeros((len(texts), 0))
+                best = cos.argmax(axis=1) if names else np.zeros(len(texts), int)
+                ok = found & bool(names)
+                lang = [names[k] if y else UNDETERMINED for k, y in zip(best, ok, strict=True)]
+                score = np.where(ok, np.clip(cos.max(axis=1), 0, 1) if names else 0.0, 0.0).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(predict, schema)

@@ -11,7 +11,8 @@ runs of windows.
    they need. Minimizers of one document end there. If all runs of a minimizer are
    equal, their smallest document is the answer for each of their windows.
 2. The runs of the other shared minimizers are cut from the texts and meet again,
-   equal ones of a task as one row. The distinct strings of a minimizer are
+   equal ones of a task as one row. The distinct strings of a minimizer that agree
+   with another on one side of it (no others can share a window) are
    suffix-sorted by linear grouping; windows that are neighbours in that order
    and equal form a group, whose smallest document is known then.
 3. A minimizer that more than ``HOT`` documents of one task hold would be a large
@@ -42,11 +43,13 @@ GRAM = 20
 #: Windows in a run, at most (longer runs of one minimizer are cut).
 RUN = 64
 #: Documents of one task that may hold a minimizer whose runs meet in one place.
-HOT = 64
+HOT = 256
 #: Distinct strings of one minimizer that are suffix-sorted together, at most.
 SORTED = 256
 #: Runs that a task looks at together before rows leave it.
-TASK_RUNS = 1 << 19
+TASK_RUNS = 1 << 18
+#: Bytes of text whose windows are hashed together; temporary arrays take some 50 times as much.
+HASH_BYTES = 1 << 18
 #: Bits under the id that tell rows with the same id apart.
 _ROW_BITS = 20
 
@@ -130,7 +133,8 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
             mark = cuts[docs > HOT]  # no windows: it says that the minimizer is hot
             keep = ~hot
             ah, as_, ad, ap = (np.concatenate([x[keep], y]) for x, y in ((h, h[mark]), (s, s[mark] * 0), (doc, doc[mark]), (pn, pn[mark] * 0)))
-            yield packed(ah * places >> 48 if places < 1 << 15 else ah % places, False, ah, as_, ad, ap)
+            # minimizers are small numbers: only mixed do they spread evenly
+            yield packed((mix(ah.view(np.uint64)) % np.uint64(places)).astype(np.int64), False, ah, as_, ad, ap)
             if hot.any():
                 spread = (mix((doc[hot] * 1_000_003 + pn[hot]).view(np.uint64)) % np.uint64(places)).astype(np.int64)
                 yield packed(spread, True, h[hot], s[hot], doc[hot], pn[hot])
@@ -138,7 +142,7 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
         size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, b, off in blocks(batch.column(1)):
+            for i, j, b, off in blocks(batch.column(1), HASH_BYTES):
                 row, at, count, h = _runs(b, off, length)
                 if len(h):
                     start = off[row] + at
@@ -151,6 +155,7 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
                     size = 0
         if size:
             yield from leave()
+        pa.default_memory_pool().release_unused()
 
     kinds = "place int, hot boolean, n long, first_doc long, h binary, s binary, doc binary, pn binary"
     return texts.select("__key", "text").filter("__key is not null").mapInArrow(place, kinds)
@@ -213,7 +218,7 @@ def _run_bytes(column: pa.Array, runs: pa.ListArray) -> Iterator[tuple]:
     offsets = offsets - offsets[0]
     flat = runs.flatten()
     pn, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pn", "h"))
-    for i, j, b, off in blocks(column):
+    for i, j, b, off in blocks(column, HASH_BYTES):
         own = slice(offsets[i], offsets[j])
         row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
         if len(row):
@@ -271,6 +276,35 @@ def first_documents(lanes: list[list[bytes]], firsts: list[list[int]], length: i
     return out
 
 
+def _may_share(texts: list[bytes], minimizer: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings can hold a window that another string of the same minimizer holds too.
+
+    A window has at least half of its bytes outside the minimizer's gram on one
+    side of it, so strings that share one agree there. Strings that hold the gram
+    more than once, and those beside them, always stay.
+    """
+    side = (length - GRAM) // 2
+    size = np.array([len(x) for x in texts])
+    start = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    gram = (window_hash(flat, GRAM) >> np.uint64(16)).view(np.int64)
+    name = np.repeat(np.arange(len(texts)), size)[: len(gram)]
+    at = np.flatnonzero((gram == minimizer[name]) & (np.arange(len(gram)) + GRAM <= (start + size)[name]))
+    times = np.bincount(name[at], minlength=len(texts))
+    place = np.zeros(len(texts), np.int64)
+    place[name[at[::-1]]] = at[::-1]
+    _, lane = np.unique(minimizer, return_inverse=True)
+    odd = np.bincount(lane, weights=times != 1) > 0
+    keep = odd[lane]
+    for a, z in ((place - side, place), (place + GRAM, place + GRAM + side)):
+        ok = np.flatnonzero((a >= start) & (z <= start + size) & ~odd[lane])
+        if len(ok):
+            key = mix(slice_hash(flat, a[ok], z[ok]) ^ mix(lane[ok].astype(np.uint64) + np.uint64(1)))
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            keep[ok[count[back] > 1]] = True
+    return keep
+
+
 def _group_windows(lane: list[int], texts: list[bytes], first: np.ndarray, found: np.ndarray, base: np.ndarray, windows: np.ndarray, length: int) -> None:
     """Fills in the smallest document of each window of very many strings by comparing the windows themselves."""
     x = np.array(lane)
@@ -301,11 +335,12 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, shift: int) ->
     row_name = np.array([names.setdefault(k, len(names)) for k in zip(h.tolist(), strings, strict=True)])
     first = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(first, row_name, least)
+    texts = [s for _, s in names]
+    keep = _may_share(texts, np.array([k for k, _ in names], np.int64), length)
     lanes: dict[int, list[int]] = {}
-    texts = []
-    for n, (k, s) in enumerate(names):
-        lanes.setdefault(k, []).append(n)
-        texts.append(s)
+    for n, (k, _) in enumerate(names):
+        if keep[n]:
+            lanes.setdefault(k, []).append(n)
     windows = np.array([len(s) for s in texts]) - length + 1
     base = np.cumsum(windows) - windows
     found = np.repeat(first, windows)

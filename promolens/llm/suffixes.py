@@ -23,18 +23,18 @@ def _grouped(symbol: np.ndarray, lane: np.ndarray, first: np.ndarray, last: np.n
     n = len(symbol)
     order = np.lexsort((symbol, lane))
     cuts = np.flatnonzero(np.concatenate([[True], (symbol[order[1:]] != symbol[order[:-1]]) | (lane[order[1:]] != lane[order[:-1]])]))
-    size = np.zeros(n + 1, np.int64)
+    size = np.zeros(n + 1, np.int32)
     size[cuts] = np.diff(np.concatenate([cuts, [n]]))
-    group = np.empty(n, np.int64)
+    group = np.empty(n, np.int32)
     group[order] = np.repeat(cuts, size[cuts])
-    start_of = np.zeros(n + 1, np.int64)  # by a group's last slot
+    start_of = np.zeros(n + 1, np.int32)  # by a group's last slot
     start_of[cuts + size[cuts] - 1] = cuts
     group[last] = -1  # a string's end is below everything
     group[0] = -1
-    previous = np.arange(-1, n - 1)
+    previous = np.arange(-1, n - 1, dtype=np.int32)
     current = start_of[last]
     alive = current > first
-    waiting = np.flatnonzero(alive[lane] & (group >= 0))
+    waiting = np.flatnonzero(alive[lane] & (group >= 0)).astype(np.int32)
     step = 0
     while len(waiting):
         found = group[waiting] == current[lane[waiting]]
@@ -89,17 +89,17 @@ def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     first = 1 + np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if k else np.zeros(0, np.int64)
     last = first + sizes
     n = int(last[-1]) + 1 if k else 1
-    lane = np.concatenate([[0], np.repeat(np.arange(k), sizes + 1)])
-    symbol = np.zeros(n, np.int64)
+    lane = np.concatenate([[0], np.repeat(np.arange(k), sizes + 1)]).astype(np.int32)
+    symbol = np.zeros(n, np.int32)
     inside = np.ones(n, bool)
     inside[0] = False
     inside[last] = False
     symbol[inside] = np.asarray(symbols, np.int64) + 1
     symbol[0] = -1
     group, previous = _grouped(symbol, lane, first, last)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     out[first] = last
-    front = np.arange(n + 1)  # by a group's first slot: its next free one
+    front = np.arange(n + 1, dtype=np.int32)  # by a group's first slot: its next free one
     placed = np.zeros(n, bool)
     going = np.arange(k)
     t = 0
