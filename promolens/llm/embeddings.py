@@ -1,9 +1,10 @@
 """Near-duplicate vectors by random-hyperplane sign hashing and exact cosine.
 
-Equal vectors collapse into classes first. Each of ``TABLES`` tables cuts a
-vector's signs against random hyperplanes into a bucket; the number of
-hyperplanes follows the number of classes, so that buckets stay small at every
-size. Buckets hold signatures, not vectors; one larger than ``BLOCK`` is dealt
+Equal vectors collapse into classes first. Each table cuts a vector's signs
+against random hyperplanes into a bucket; the number of hyperplanes follows the
+number of classes, so that buckets stay small at every size, and the number of
+tables follows the hyperplanes, so that a pair at the threshold shares no bucket
+with probability ``MISS`` at most, at every size. Buckets hold signatures, not vectors; one larger than ``BLOCK`` is dealt
 in pairs of blocks that are units of their own. Pairs whose signatures differ in
 more signs than six standard deviations allow are out, the others are verified
 by exact cosine in double precision. Links are written once for each pair of
@@ -25,10 +26,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import stored
 
-TABLES = 40
+#: Probability, at most, that a pair at the threshold shares no bucket.
+MISS = 1e-7
 #: Signs in the signature that filters pairs before their exact cosine.
 SIGNS = 256
 BLOCK = 512
+#: Rows of a unit, at most, that is compared together with others.
+SMALL = 64
 #: Mean number of classes in a bucket that the number of hyperplanes aims at.
 BUCKET = 16
 _SEED = 20021
@@ -39,6 +43,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def table_count(bits: int, cosine: float) -> int:
+    """Tables of ``bits`` hyperplanes that a pair at ``cosine`` slips through with probability ``MISS`` at most."""
+    common = (1 - math.acos(cosine) / math.pi) ** bits
+    return 1 if common == 1 else math.ceil(math.log(MISS) / math.log1p(-common))
+
+
 def _buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     """(tab, bucket, rep, sig) for each table; vectors of another length hash apart."""
 
@@ -48,11 +58,11 @@ def _buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
             for size, part in pdf.groupby(pdf["v"].map(len), sort=False):
                 if size not in planes:
                     planes[size] = np.random.default_rng((_SEED, size)).standard_normal((size, max(tables * bits, SIGNS)))
-                signs = _unit(np.stack(part["v"].to_numpy()).astype(np.float64)) @ planes[size] >= 0
-                sig = [x.tobytes() for x in np.packbits(signs[:, :SIGNS], axis=1)]
-                code = (signs[:, : tables * bits].reshape(len(sig), tables, bits) << np.arange(bits)).sum(axis=2) + (size << bits)
-                for t in range(tables):
-                    yield pd.DataFrame({"tab": t, "bucket": code[:, t], "rep": part["rep"].to_numpy(), "sig": sig})
+                unit, rep = _unit(np.stack(part["v"].to_numpy()).astype(np.float64)), part["rep"].to_numpy()
+                sig = [x.tobytes() for x in np.packbits(unit @ planes[size][:, :SIGNS] >= 0, axis=1)]
+                for t in range(tables):  # one table's signs at a time: there may be hundreds of tables
+                    signs = unit @ planes[size][:, t * bits : (t + 1) * bits] >= 0
+                    yield pd.DataFrame({"tab": t, "bucket": (signs << np.arange(bits)).sum(axis=1) + (size << bits), "rep": rep, "sig": sig})
 
     return vectors.select("rep", "v").mapInPandas(hash_, "tab int, bucket long, rep long, sig binary")
 
@@ -83,22 +93,36 @@ def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
             j = j + cut
         return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
 
+    def units(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole units: pairs within small ones at once, by their distance in the order; others each by itself."""
+        code = pdf[keys].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1])
+        size = np.diff(np.append(cuts, len(pdf)))
+        small = (size <= SMALL) & (code[cuts, 2] == code[cuts, 3])
+        for at, n in zip(cuts[~small], size[~small], strict=True):
+            if n > 1:
+                yield unit(pdf.iloc[at : at + n])
+        rep, sig = pdf["rep"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
+        i = np.flatnonzero(np.repeat(small, size))
+        left = np.repeat(cuts + size, size) - np.arange(len(pdf))
+        for d in range(1, SMALL):
+            i = i[left[i] > d]
+            if not len(i):
+                break
+            near = i[np.bitwise_count(sig[i] ^ sig[i + d]).sum(axis=1) <= most]
+            yield pd.DataFrame({"a": np.minimum(rep[near], rep[near + d]), "b": np.maximum(rep[near], rep[near + d])})
+
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Units arrive in order; one is complete when the next begins."""
-        waiting: list[pd.DataFrame] = []
-        last = None
+        waiting = None
         for pdf in frames:
-            code = pdf[keys].to_numpy()
-            cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if waiting and last != tuple(code[at]):
-                    if sum(map(len, waiting)) > 1:
-                        yield unit(pd.concat(waiting) if len(waiting) > 1 else waiting[0])
-                    waiting = []
-                last = tuple(code[at])
-                waiting.append(pdf.iloc[at:end])
-        if waiting:
-            yield unit(pd.concat(waiting))
+            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+            last = len(pdf) and int((pdf[keys] != pdf[keys].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax())
+            if last:
+                yield from units(pdf.iloc[:-last])
+            waiting = pdf.iloc[-last:] if last else pdf
+        if waiting is not None and len(waiting):
+            yield from units(waiting)
 
     return rows.mapInPandas(compare, "a long, b long").distinct()
 
@@ -120,11 +144,13 @@ def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
 
 
-def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables: int = TABLES) -> DataFrame:
+def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings``.
 
     Vectors are linked when they are found in a common bucket and their cosine in
-    double precision reaches ``cosine``; no other pair is linked. A vector that is
+    double precision reaches ``cosine``, which is above 0 and at most 1; no other
+    pair is linked. There are as many tables as ``MISS`` asks for, or ``tables``.
+    A vector that is
     null or zero, or holds a null or a non-finite component, has no link; nor have
     vectors of different lengths. n_links counts the other vectors linked
     directly, equal vectors too. component_id is the smallest vec_id that can be
@@ -132,6 +158,8 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     their own in n_links; a row with a null vec_id gets no component, takes no
     part, and is kept. Other columns are ignored; an empty table gives no rows.
     """
+    if not 0 < cosine <= 1:
+        raise ValueError(f"cosine must be above 0 and at most 1: {cosine}")
     base = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.expr(
         "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
@@ -144,6 +172,7 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     vectors = stored(members.join(classes, "key").filter("vec_id = rep").dropDuplicates(["key"]).select("rep", "m", "v"))
     n = vectors.count()
     bits = min(40, max(4, round(math.log2(max(n, 1) / BUCKET))))
+    tables = tables or table_count(bits, cosine)
     pairs = stored(_verified(_candidates(_buckets(vectors, bits, tables), cosine), vectors, cosine))
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     degree = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").groupBy("rep").agg(F.sum("m").alias("others"))

@@ -91,6 +91,20 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_table(spark, monkeypatch):
+    """As many hyperplanes as ten million classes have: no pair at the threshold may be lost."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((300, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "BUCKET", 1 / 1000)
+    got = {r["vec_id"]: r for r in embeddings.embedding_near_duplicates(df).collect()}
+    assert [k for k in range(300) if (got[k]["n_links"], got[k + 300]["component_id"]) != (1, k)] == []
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 102), (None, 5), (7, None)]
     got = components.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
