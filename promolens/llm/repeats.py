@@ -15,8 +15,10 @@ runs of windows.
    with another on one side of it (no others can share a window) are
    suffix-sorted by linear grouping; windows that are neighbours in that order
    and equal form a group, whose smallest document is known then.
-3. A minimizer that more than ``HOT`` documents of one task hold would be a large
-   group in one task. A task sends but a mark for it to its place; whether its
+3. A minimizer that more than ``HOT`` documents of one task hold, or that has more
+   than ``GROUP`` runs in the whole table, would be a large group in one task. Of
+   the first kind a task sends but a mark to its place; runs of the second leave
+   their place as they come, so it never holds many of one minimizer. Whether its
    runs are equal, and their smallest document, come from aggregations that Spark
    pre-aggregates and joins that it may split. Where they differ, their windows
    are grouped in that way by a 128-bit digest. Within a task, more than
@@ -44,6 +46,10 @@ GRAM = 20
 RUN = 64
 #: Documents of one task that may hold a minimizer whose runs meet in one place.
 HOT = 256
+#: Runs of one minimizer, of the whole table, that may meet in one place.
+GROUP = 4096
+#: Runs that a place holds before those of larger minimizers leave it.
+PLACE_RUNS = 1 << 21
 #: Distinct strings of one minimizer that are suffix-sorted together, at most.
 SORTED = 256
 #: Runs that a task looks at together before rows leave it.
@@ -176,16 +182,37 @@ def _met_runs(texts: DataFrame, length: int, shift: int) -> DataFrame:
             ["kind", "h", "s", "doc", "a", "n"],
         )
 
+    def large(h, s, doc, pn) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs, in order of h, are of a minimizer with a mark or with more than ``GROUP`` runs; the first run of each of these."""
+        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(cuts, len(h)))
+        hot = (np.minimum.reduceat(pn, cuts) == 0) | (size > GROUP)
+        return np.repeat(hot, size), cuts[hot]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: list[tuple[np.ndarray, ...]] = []
+        held, bound = 0, PLACE_RUNS
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n"]
                 h, s, doc, pn = np.cumsum(_from_planes(r["h"], n)), _from_planes(r["s"], n), _from_planes(r["doc"], n) + r["first_doc"], _from_planes(r["pn"], n)
                 if r["hot"]:
                     yield rows(2, h, s, doc, pn)
-                else:
-                    here.append((h, s, doc, pn))
+                    continue
+                here.append((h, s, doc, pn))
+                held += n
+                if held > bound:  # runs of large minimizers leave, a mark of each stays
+                    h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
+                    order = np.argsort(h, kind="stable")
+                    h, s, doc, pn = h[order], s[order], doc[order], pn[order]
+                    out, first = large(h, s, doc, pn)
+                    at = np.flatnonzero(out & (pn > 0))
+                    for k in range(0, len(at), 1 << 16):
+                        one = at[k : k + (1 << 16)]
+                        yield rows(2, h[one], s[one], doc[one], pn[one])
+                    here = [(h[~out], s[~out], doc[~out], pn[~out]), (h[first], s[first] * 0, doc[first], pn[first] * 0)]
+                    held = len(h) - int(out.sum()) + len(first)
+                    bound = max(PLACE_RUNS, 2 * held)
         if not here:
             return
         h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
@@ -195,11 +222,11 @@ def _met_runs(texts: DataFrame, length: int, shift: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(cuts, len(h)))
         least, most = np.minimum.reduceat(doc, cuts), np.maximum.reduceat(doc, cuts)
-        hot = np.minimum.reduceat(pn, cuts) == 0
+        marked = np.minimum.reduceat(pn, cuts) == 0
         # a mark's digest is 0 and does not matter: its minimizer is hot
         several = np.add.reduceat(np.concatenate([[False], s[1:] != s[:-1]]) & np.concatenate([[False], h[1:] == h[:-1]]), cuts) > 0
         shared = (least >> shift) != (most >> shift)
-        found = np.repeat(np.where(hot, 2, np.where(~shared, -1, np.where(several, 1, 0))), size)
+        found = np.repeat(np.where(marked, 2, np.where(~shared, -1, np.where(~several, 0, np.where(size > GROUP, 2, 1)))), size)
         found[pn == 0] = -1
         found[(found == 0) & (np.repeat(least, size) >> shift == doc >> shift)] = -1
         for kind in (0, 1, 2):

@@ -123,6 +123,26 @@ def test_repeats_against_brute_force(spark, docs, empty, monkeypatch, hot, lane)
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("place", [8, 1 << 21])
+def test_repeats_spread_evenly(spark, monkeypatch, place):
+    """A passage that no task holds often, but the table does: its runs do not meet in one place."""
+    monkeypatch.setattr(repeats, "GROUP", 12, raising=False)
+    monkeypatch.setattr(repeats, "PLACE_RUNS", place, raising=False)
+    monkeypatch.setattr(repeats, "TASK_RUNS", 64)
+    monkeypatch.setattr(repeats, "HOT", 16)
+    monkeypatch.setattr(repeats, "HASH_BYTES", 1 << 10)
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcde "), 120))
+    rows = [(k, "".join(rng.choice(list("abcdefghij "), 80)) + passage[: 120 - k % 9] + "".join(rng.choice(list("klmno "), 60))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    met = repeats._met_runs(df.withColumn("__key", F.col("doc_id")), repeats.LENGTH, 0)
+    groups = {(r["kind"], r["h"]): r["count"] for r in met.groupBy("kind", "h").count().collect()}
+    assert max(n for (kind, _), n in groups.items() if kind == 2) > 12
+    assert max([n for (kind, _), n in groups.items() if kind == 1], default=0) <= 12
+    out = repeats.remove_repeats(df).withColumn("sha", F.sha2("kept", 256))
+    assert by_row(out, "doc_id", "n_bytes", "n_removed", "sha") == brute_repeats(rows)
+
+
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(7)
     for size in (1, 2, 26):
