@@ -67,33 +67,147 @@ BRAND_RULES: tuple[tuple[str, str, str], ...] = (
     ("Getränke", "Bier", r"beck'?s|krombacher|warsteiner|bitburger|veltins|flensburger|feldschlößchen|paulaner"),
     ("Getränke", "Wasser & Säfte", r"coca[\s-]*cola|pepsi|fanta|sprite|fritz[\s-]*kola|afri[\s-]*cola|red bull|gerolsteiner|vio|volvic"),
 )
-#: (bucket, subcategory, keywords); a start for title rules. A full rule set is data: see ``keyword_rules``.
+#: Fixed values: (bucket, subcategory, keywords) of titles; first match wins. Another rule set is data: see ``keyword_rules``.
 KEYWORD_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("Baby & Kind", "Windeln & Pflege", ("windel", "feuchttuch")),
-    ("Baby & Kind", "Spielzeug", ("spielzeug", "lego", "kinderwagen")),
-    ("Tier", "Hund", ("hundefutter", "hundeleine")),
-    ("Tier", "Katze", ("katzenfutter", "katzenstreu")),
-    ("Garten & Heimwerken", "Gartenwerkzeug", ("rasenmäher", "heckenschere")),
-    ("Garten & Heimwerken", "Pflanzen & Garten", ("pflanze", "blume ", "dünger")),
-    ("Garten & Heimwerken", "Werkzeug & Heimwerken", ("werkzeug", "hammer", "leiter ")),
-    ("Elektronik & Multimedia", "Computer & Drucker", ("laptop", "drucker", "ssd ")),
-    ("Elektronik & Multimedia", "TV & Audio", ("fernseher", "soundbar", "radio ")),
-    ("Elektronik & Multimedia", "Haushaltsgeräte", ("staubsauger", "mixer", "toaster")),
-    ("Mode, Sport & Freizeit", "Sport & Fitness", ("fitness", "yoga", "fußball")),
-    ("Mode, Sport & Freizeit", "Kleidung & Schuhe", ("hose ", "jacke", "schuh")),
-    ("Drogerie & Kosmetik", "Körperpflege", ("shampoo", "duschgel", "seife")),
-    ("Haushalt & Reinigung", "Waschmittel", ("waschmittel", "weichspüler")),
-    ("Haushalt & Reinigung", "Küchenbedarf", ("geschirr", "pfanne")),
-    ("Getränke", "Wein & Sekt", ("wein ", "sekt", "prosecco")),
-    ("Getränke", "Bier", ("bier", "radler")),
-    ("Getränke", "Kaffee & Tee", ("kaffee", "tee ")),
-    ("Getränke", "Wasser & Säfte", ("mineralwasser", "saft", "limonade")),
-    ("Lebensmittel", "Fleisch & Wurst", ("fleisch", "schinken", "wurst")),
-    ("Lebensmittel", "Milchprodukte & Käse", ("käse", "joghurt", "butter ", "milch ")),
-    ("Lebensmittel", "Brot & Backwaren", ("brot ", "brötchen")),
-    ("Lebensmittel", "Süßwaren & Snacks", ("schokolade", "eis ")),
-    ("Lebensmittel", "Obst & Gemüse", ("apfel", "tomate", "salat ")),
-    ("Lebensmittel", "Grundnahrung & Konserven", ("nudeln", "reis ", "öl ")),
+    ("Baby & Kind", "Windeln & Pflege", ("windel", "feuchttuch", "babylotion", "babybad", "babyshampoo", "babypfleg")),
+    ("Baby & Kind", "Baby-Nahrung", ("babynahrung", "babybrei", "folgemilch", "anfangsmilch", "babykost", "babyglas")),
+    ("Baby & Kind", "Spielzeug", (
+        "spielzeug", "lego", "playmobil", "puppe", "kuscheltier", "stofftier", "kinderwagen", "kinderbett", "maxi-cosi", "schulranzen", "schultasche",
+    )),
+    ("Tier", "Hund", ("hundefutter", "hundeleckerli", "hundeleine", "hundehalsband", "hundekauknochen")),
+    ("Tier", "Katze", ("katzenfutter", "katzenstreu", "katzenleckerli")),
+    ("Tier", "Sonstige Tiere", ("nagerfutter", "vogelfutter", "aquarium", "terrarium", "fischfutter", "kaninchen", "meerschweinchen", "ziervogel")),
+    ("Garten & Heimwerken", "Gartenwerkzeug", (
+        "rasenmäher", "rasenmaeher", "heckenschere", "akku-heckenschere", "akku-rasenmäher", "akku-rasenmaeher", "kettensäge", "kettensaege",
+        "akku-kettensäge", "astschere", "gartenschere", "laubbläser", "vertikutierer", "akku-bohrschrauber",
+    )),
+    ("Garten & Heimwerken", "Pflanzen & Garten", ("pflanze", "blume ", "azalee", "samen", "dünger", "duenger", "rasensaat", "blumenkasten")),
+    ("Garten & Heimwerken", "Gartenmöbel", (
+        "ampelschirm", "faltpavillon", "feuerschale", "gartenstuhl", "gartentisch", "auflagenbox", "abdeckhaube", "anzündkamin", "anzuendkamin", "briketts",
+        "grill",
+    )),
+    ("Garten & Heimwerken", "Farbe & Bauchemie", ("wandfarbe", "lack", "alpina", "farbroller", "silikon", "klebstoff", "fliese")),
+    ("Garten & Heimwerken", "Werkzeug & Heimwerken", (
+        "werkzeug", "bohrmaschine", "akkuschrauber", "säge ", "saege ", "hammer", "schraube", "dübel", "duebel", "leiter ", "kabeltrommel", "verlängerung",
+        "verlaengerung",
+    )),
+    ("Elektronik & Multimedia", "Smartphone & Tablet", ("smartphone", "handy ", "tablet", "samsung galaxy", "huawei", "xiaomi")),
+    ("Elektronik & Multimedia", "Computer & Drucker", (
+        "laptop", "notebook", "drucker", "epson", "tintenpatron", "toner", "monitor", "tastatur", "router", "wlan", "festplatte", "ssd ", "usb-stick",
+    )),
+    ("Elektronik & Multimedia", "TV & Audio", (
+        "fernseher", "fernsehgerät", "soundbar", "lautsprecher", "kopfhörer", "kopfhoerer", "bluetooth-box", "blu-ray", "dvd-player", "radio ",
+    )),
+    ("Elektronik & Multimedia", "Haushaltsgeräte", (
+        "staubsauger", "saugroboter", "waschmaschine", "trockner", "geschirrspüler", "geschirrspueler", "fritteuse", "mixer", "toaster", "wasserkocher",
+        "kaffeevollautomat", "siebträger", "siebtraeger", "mikrowelle", "backofen", "kühlschrank", "kuehlschrank", "gefrierschrank", "klimaanlage",
+    )),
+    ("Elektronik & Multimedia", "Sonstige Elektronik", ("ladegerät", "ladegeraet", "powerbank", "akku ", "fernglas", "dartscheibe")),
+    ("Mode, Sport & Freizeit", "Sport & Fitness", ("fitness", "yoga", "hantel", "fussball", "fußball", "tennis", "basketball", "trikot", "sportflasche")),
+    ("Mode, Sport & Freizeit", "Outdoor", ("outdoor", "wanderschuh", "rucksack", "zelt", "schlafsack", "camping")),
+    ("Mode, Sport & Freizeit", "Spielzeug & Hobby", ("fahrrad", "e-bike", "elektrofahrrad", "e-scooter", "scooter", "rollschuh", "skate")),
+    ("Mode, Sport & Freizeit", "Kleidung & Schuhe", (
+        "kleid ", "hose ", "jacke", "schuh", "schal", "mütze", "muetze", "handschuh", "socken", "t-shirt", "bikini", "bademantel", "fleecedecke",
+    )),
+    ("Drogerie & Kosmetik", "Parfum & Düfte", ("parfum", "eau de toilette", "eau de parfum")),
+    ("Drogerie & Kosmetik", "Gesundheit & Apotheke", (
+        "arzneimittel", "vitamin", "augentropfen", "salbe", "verband", "pflaster", "monatshygiene", "tampon", "binde", "magnesium",
+    )),
+    ("Drogerie & Kosmetik", "Kosmetik & Make-up", ("make-up", "mascara", "lippenstift", "wimperntusche", "lidschatten", "rouge", "nagellack")),
+    ("Drogerie & Kosmetik", "Körperpflege", (
+        "shampoo", "duschgel", "duschbad", "seife", "bodylotion", "creme", "zahnpasta", "haarspray", "after-shave", "after-sun", "rasierer", "deospray",
+        "deoroller",
+    )),
+    ("Haushalt & Reinigung", "Waschmittel", ("waschmittel", "waschpulver", "weichspüler", "weichspueler", "fleckensalz")),
+    ("Haushalt & Reinigung", "Reinigung", ("allzweckreiniger", "wc-reiniger", "glasreiniger", "scheuermilch", "spülmittel", "spuelmittel", "fensterputz")),
+    ("Haushalt & Reinigung", "Küchenbedarf", ("geschirr", "besteck", "kochtopf", "pfanne", "auflaufform", "frischhalte", "backblech", "lunchbox")),
+    ("Haushalt & Reinigung", "Aufbewahrung", ("aufbewahr", "müllbeutel", "muellbeutel", "abfalleimer", "abfallsack", "mülleimer", "muelleimer")),
+    ("Getränke", "Wein & Sekt", ("wein ", "rotwein", "weißwein", "weisswein", "rosé", "sekt", "prosecco", "champagner")),
+    ("Getränke", "Bier", ("bier", "pilsener", "pilsner", "weizenbier", "radler", "altbier", "kölsch")),
+    ("Getränke", "Spirituosen", ("vodka", "wodka", "gin ", "rum ", "whisky", "whiskey", "likör", "likoer", "tequila")),
+    ("Getränke", "Kaffee & Tee", ("kaffee", "espresso", "kapsel", "filterkaffee", "tee ", "kräutertee", "kraeutertee")),
+    ("Getränke", "Wasser & Säfte", ("mineralwasser", "wasser ", "saft", "schorle", "limonade", "eistee", "fassbrause")),
+    ("Lebensmittel", "Tiefkühl", ("tiefkühl", "tiefkuehl", "tk-pizza", "frosta")),
+    ("Lebensmittel", "Fisch", ("lachs", "forelle", "seelachs", "thunfisch", "kabeljau", "fischstäbchen", "fischstaebchen", "garnele", "shrimp")),
+    ("Lebensmittel", "Fleisch & Wurst", (
+        "fleisch", "salami", "schinken", "wurst", "hähnchen", "haehnchen", "rinder", "schwein", "putenbrust", "hackfleisch", "bratwurst", "leberwurst",
+    )),
+    ("Lebensmittel", "Milchprodukte & Käse", (
+        "mozzarella", "käse", "kaese", "joghurt", "butter ", "milch ", "vollmilch", "h-milch", "sahne ", "quark", "frischkäse", "frischkaese", "emmentaler",
+        "gouda", "feta",
+    )),
+    ("Lebensmittel", "Brot & Backwaren", ("brot ", "brötchen", "broetchen", "baguette", "toast ", "stollen", "lebkuchen", "croissant")),
+    ("Lebensmittel", "Süßwaren & Snacks", (
+        "schokolade", "praline", "keks ", "bonbon", "chips ", "salzstang", "gummibär", "gummibaer", "müsliriegel", "muesliriegel", "eis ", "eiscreme",
+    )),
+    ("Lebensmittel", "Obst & Gemüse", (
+        "apfel", "banane", "orange", "zitrone", "kirsche", "erdbeere", "tomate", "gurke", "kartoffel", "paprika", "brokkoli", "kohl ", "salat ", "ananas",
+        "avocado",
+    )),
+    ("Lebensmittel", "Grundnahrung & Konserven", (
+        "reis ", "nudeln", "pasta", "spaghetti", "mehl ", "zucker", "salz ", "gewürz", "gewuerz", "essig", "öl ", "oel ", "olivenöl", "olivenoel", "ketchup",
+        "senf", "müsli", "muesli", "cornflakes", "haferflocken", "honig", "marmelade", "konserve", "antipasti",
+    )),
+    ("Sonstiges", "Auto & Mobilität", ("autopflege", "autozubehör", "autozubehoer", "scheibenwischer", "winterreifen", "sommerreifen", "motoröl", "motoroel")),
+    ("Sonstiges", "Büro & Schreibwaren", (
+        "büromaterial", "bueromaterial", "schreibwaren", "kugelschreiber", "ordner ", "aktenschrank", "druckerpapier", "tintenpatron",
+    )),
+)
+#: The same of the category, for titles without a match.
+CATEGORY_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("Baby & Kind", "Spielzeug", ("baby", "kinder", "fasching")),
+    ("Tier", "Katze", ("katze", "katzen")),
+    ("Tier", "Hund", ("hund",)),
+    ("Tier", "Sonstige Tiere", ("haustier", "vogel")),
+    ("Garten & Heimwerken", "Gartenwerkzeug", ("akku-rasenmaeher", "rasenmaeher", "akku-heckenschere", "heckenscher", "akku-kettensaege", "akku-gartenschere")),
+    ("Garten & Heimwerken", "Pflanzen & Garten", ("azalee", "apfelbaum", "aster", "blumenkasten", "blumenampel")),
+    ("Garten & Heimwerken", "Gartenmöbel", (
+        "ampelschirm", "faltpavillon", "feuerschale", "auflagenbox", "abdeckhaube", "abdeckplane", "anzuendkamin", "briketts",
+    )),
+    ("Garten & Heimwerken", "Werkzeug & Heimwerken", (
+        "akkuschrauber", "akku-bohrschrauber", "bohrmaschine", "elektrowerkzeug", "fliesen", "eisenwaren", "alpina", "farbroller",
+    )),
+    ("Elektronik & Multimedia", "TV & Audio", ("fernsehsessel", "fernseher")),
+    ("Elektronik & Multimedia", "Haushaltsgeräte", ("akkustaubsauger", "fritteuse", "allesschneider", "fenstersauger")),
+    ("Elektronik & Multimedia", "Sonstige Elektronik", ("akku ", "fernglas", "epson", "ladegeraet", "elektronische-dartscheibe", "funkwanduhr")),
+    ("Elektronik & Multimedia", "Smartphone & Tablet", ("apple", "android-tablet")),
+    ("Mode, Sport & Freizeit", "Sport & Fitness", ("fitnessgeraete", "fussball")),
+    ("Mode, Sport & Freizeit", "Spielzeug & Hobby", ("fahrrad", "elektrofahrrad", "elektrorad")),
+    ("Mode, Sport & Freizeit", "Kleidung & Schuhe", ("adidas", "aigner", "aquaschuhe", "arbeitshose", "badetuch", "fleecedecke")),
+    ("Drogerie & Kosmetik", "Gesundheit & Apotheke", ("arzneimittel", "augentropfen", "altapharma", "erste-hilfe")),
+    ("Drogerie & Kosmetik", "Kosmetik & Make-up", ("essence", "artdeco", "elnett")),
+    ("Drogerie & Kosmetik", "Körperpflege", ("aloe-vera", "axe", "always", "einwegrasierer", "fusselrasierer", "after-sun", "after-shave")),
+    ("Haushalt & Reinigung", "Waschmittel", ("ariel", "ariel-waschpulver")),
+    ("Haushalt & Reinigung", "Reinigung", ("finish", "frosch", "febreze", "ajax", "ecover")),
+    ("Haushalt & Reinigung", "Küchenbedarf", ("besteck-set", "auflaufform")),
+    ("Haushalt & Reinigung", "Aufbewahrung", (
+        "aufbewahrung", "aufbewahrungsbox", "aufbewahrungsdosen", "abfalleimer", "muelleimer", "fussmatte", "bettwaesche",
+    )),
+    ("Getränke", "Wein & Sekt", (
+        "alkoholische-getraenke", "alkoholfreier-sekt", "alkoholfreier-wein", "freixenet-sekt", "metternich", "asti", "cinzano", "fruchtsecco",
+    )),
+    ("Getränke", "Bier", ("becks", "feldschloesschen", "flensburger-pilsener", "fassbier", "freiberger")),
+    ("Getränke", "Spirituosen", ("aperol", "aperitif", "absolut-vodka", "echter-nordhaeuser", "almdudler")),
+    ("Getränke", "Kaffee & Tee", ("filterkaffee", "espressobohnen")),
+    ("Getränke", "Wasser & Säfte", (
+        "alkoholfreie-getraenke", "fanta", "fritz-kola", "afri-cola", "fassbrause", "apfelschorle", "apfelsaft", "orangensaft", "adelholzener",
+        "arizona-eistee", "amecke", "appel", "albi", "ayran", "apfelwein",
+    )),
+    ("Lebensmittel", "Obst & Gemüse", ("apfel", "aprikosen", "avocado", "ananas", "auberginen", "elstar")),
+    ("Lebensmittel", "Fisch", ("fisch", "fischstaebchen", "alaska-seelachs", "bio-lachs", "barsch", "forelle")),
+    ("Lebensmittel", "Fleisch & Wurst", ("fleisch", "edelsalami", "cordon-bleu", "fleischkaese", "eberswalder", "frikadellen")),
+    ("Lebensmittel", "Milchprodukte & Käse", (
+        "emmentaler", "appenzeller", "esrom", "alpro", "almighurt", "actimel", "activia", "arla-kaergarden", "almette", "alpenhain", "butter", "mozzarella",
+    )),
+    ("Lebensmittel", "Brot & Backwaren", ("backwaren", "amerikaner", "apfeltasche")),
+    ("Lebensmittel", "Süßwaren & Snacks", ("ferrero", "ferrero-kuesschen", "funny-frisch", "amicelli", "alesto", "eiscreme", "florida-eis", "eclair", "chio")),
+    ("Lebensmittel", "Tiefkühl", ("frosta", "tiefkuehl")),
+    ("Lebensmittel", "Grundnahrung & Konserven", (
+        "antipasti", "alnatura", "ajvar", "anis", "asia", "american-style", "tabasco", "tortilla", "frischer-pasta", "express-reis", "fertiggericht",
+        "fruehstueck", "flammkuchen", "frosch", "aspik", "eiersalat", "appel", "apfelringe",
+    )),
+    ("Sonstiges", "Auto & Mobilität", ("autopflege", "autozubehoer", "autositzbezuege", "auto-sonnenschutz")),
+    ("Sonstiges", "Büro & Schreibwaren", ("aktenschrank", "akten")),
 )
 DEFAULT = ("Sonstiges", "Sonstige")
 Rules = Sequence[tuple[str, str, Sequence[str]]]
@@ -151,17 +265,19 @@ def _pair(bucket: str, subcategory: str) -> Column:
     return F.struct(F.lit(bucket).alias("bucket"), F.lit(subcategory).alias("subcategory"))
 
 
-def classify(title: Column, category: Column | None = None, brands: Sequence[tuple[str, str, str]] = BRAND_RULES, titles: Rules = KEYWORD_RULES, categories: Rules = ()) -> Column:
+def classify(title: Column, category: Column | None = None, brands: Sequence[tuple[str, str, str]] = BRAND_RULES, titles: Rules = KEYWORD_RULES, categories: Rules = CATEGORY_RULES) -> Column:
     """struct(bucket, subcategory): brands in the title, then title keywords, then category keywords.
 
+    The category is the title where it is null; without a category column its rules are left out.
     One regular expression per rule, first rule wins, all native expressions.
     """
     raw = F.coalesce(title, F.lit(""))
     padded = F.concat(F.lit(" "), rule_text(title), F.lit(" "))
-    other = F.concat(F.lit(" "), rule_text(F.coalesce(category, title) if category is not None else title), F.lit(" "))
     hits = [F.when(raw.rlike(rf"(?iu)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"), _pair(b, s)) for b, s, p in brands]
     hits += [F.when(padded.rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in titles]
-    hits += [F.when(other.rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in categories]
+    if category is not None:
+        other = F.concat(F.lit(" "), rule_text(F.coalesce(category, title)), F.lit(" "))
+        hits += [F.when(other.rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in categories]
     return F.coalesce(*hits, _pair(*DEFAULT))
 
 

@@ -406,7 +406,7 @@ _SOURCE_SQL = "CASE source_category_path " + " ".join(
 
 @query("classify_titles", f"WITH {_RULED} SELECT external_id, title, pair FROM ruled")
 def classify_titles(spark, sf_dir):
-    pair = taxonomy.classify(F.col("title"))
+    pair = taxonomy.classify(F.col("title"), F.col("category"))
     return _offers(spark, sf_dir).select("external_id", "title", F.concat_ws("/", pair["bucket"], pair["subcategory"]).alias("pair"))
 
 

@@ -104,6 +104,22 @@ def test_classify(spark, t, v):
     assert one(spark, F.concat_ws("/", pair["bucket"], pair["subcategory"]), t=t) == v
 
 
+@pytest.mark.parametrize(("t", "c", "v"), [
+    ("Babybrei", None, "Baby & Kind/Baby-Nahrung"), ("Vogelfutter", "x", "Tier/Sonstige Tiere"), ("Ampelschirm", "x", "Garten & Heimwerken/Gartenmöbel"), ("Winterreifen", "x", "Sonstiges/Auto & Mobilität"),
+    ("TK-Pizza", "x", "Lebensmittel/Tiefkühl"), ("Lachs", "x", "Lebensmittel/Fisch"), ("Kugelschreiber", "x", "Sonstiges/Büro & Schreibwaren"), ("Angebot", "actimel", "Lebensmittel/Milchprodukte & Käse"),
+    ("Angebot", "mozzarella", "Lebensmittel/Milchprodukte & Käse"), ("Lachs", "actimel", "Lebensmittel/Fisch"), ("Angebot", "axe", "Drogerie & Kosmetik/Körperpflege"), ("Angebot", "axel", "Sonstiges/Sonstige"),
+    ("Activia", None, "Lebensmittel/Milchprodukte & Käse"), ("Activia", "", "Sonstiges/Sonstige"), ("Angebot", "Elektronische_Dartscheibe", "Elektronik & Multimedia/Sonstige Elektronik"),
+])
+def test_classify_by_all_rules(spark, t, c, v):
+    pair = taxonomy.classify(F.col("t"), F.col("c").cast("string"))
+    assert one(spark, F.concat_ws("/", pair["bucket"], pair["subcategory"]), t=t, c=c) == v
+
+
+def test_rules_are_complete():
+    assert (len(taxonomy.BRAND_RULES), len(taxonomy.KEYWORD_RULES), len(taxonomy.CATEGORY_RULES)) == (13, 43, 37)
+    assert all(s in taxonomy.TAXONOMY[b] for b, s, _ in (*taxonomy.KEYWORD_RULES, *taxonomy.CATEGORY_RULES))
+
+
 @pytest.mark.parametrize(("s", "v"), [("Lidl", "supermarket"), ("Globus-Baumarkt", "other"), ("MÜLLER", "drugstore"), ("Normal", "other"), (None, "other")])
 def test_store_class(spark, s, v):
     assert one(spark, taxonomy.store_class(F.col("s")), s=s) == v
