@@ -25,12 +25,16 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .textops import blocks
+from .textops import SEPARATOR, blocks
 
 CAPACITY = 1024
 SMALL = 16
 SLACK = 1 / 64
+#: Bytes of a run of blanks, or of a run without one, from which on the library itself encodes a text:
+#: the faster encoder's splitter runs out of stack on runs of about a million.
+LONG_RUN = 1 << 14
 #: The splitter of byte-level vocabularies, fixed by the tokenizer file.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -56,8 +60,26 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, list[str]]:
     return tiktoken.Encoding("file", pat_str=_WORD, mergeable_ranks=ranks, special_tokens=specials), list(specials)
 
 
+@lru_cache(2)
+def _library(path: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _has_long_run(b: np.ndarray) -> bool:
+    """Whether a text has ``LONG_RUN`` bytes without an ASCII blank, or without any other ASCII character."""
+    if len(b) < LONG_RUN:
+        return False
+    blank = SEPARATOR[b]
+    return any(int(np.diff(np.flatnonzero(stop), prepend=-1, append=len(b)).max()) > LONG_RUN for stop in (blank, ~blank & (b < 128)))
+
+
 def encode_ids(text: str, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit numbers; special symbols in it are encoded as such."""
+    if len(text) * 4 >= LONG_RUN and _has_long_run(np.frombuffer(text.encode(), np.uint8)):
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     encoding, specials = _encoder(path)
     allowed = "all" if any(s in text for s in specials) else set()
     return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
@@ -148,7 +170,7 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     every document), sequence_id and offset. Sequences have at most ``capacity``
     tokens. A null or empty text is ``end_id`` alone; repeated rows are packed
     one by one, a null doc_id stays; other columns are ignored. An empty table
-    gives no rows. ``path`` is a tokenizer file that the executors can read.
+    gives no rows. Very long words and runs of blanks get the library's ids too. ``path`` is a tokenizer file that the executors can read.
     """
     end = np.array([end_id], "<i4").tobytes()
 
@@ -166,7 +188,7 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
             for i, j, b, off in blocks(batch.column(1)):
                 raw = b.tobytes()
                 for k, doc in enumerate(ids[i:j]):
-                    packer.add(doc, encode_ids(raw[off[k] : off[k + 1]].decode(), path) + end)
+                    packer.add(doc, encode_ids(raw[off[k] : off[k + 1]].decode("utf-8", "replace"), path) + end)
                 if packer.rows:
                     yield out()
         packer.finish()
