@@ -27,6 +27,8 @@ DIM = 1024
 N = 3
 #: Training documents at most, per language; chosen by hash of the id.
 MAX_TRAINING = 20_000
+#: Languages at most; each takes ``DIM`` numbers on the driver and in every task.
+MAX_LANGUAGES = 10_000
 #: Code points handled by one matrix product.
 BLOCK_CHARS = 1 << 18
 #: N-grams whose vectors are held together.
@@ -52,26 +54,32 @@ def _letters() -> np.ndarray:
 
 
 def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled vectors of texts, and which of them have letters."""
+    """Bundled vectors of texts, and which of them have letters.
+
+    Each text has a blank before and after it, so its vector depends on nothing
+    else. Its components are whole numbers, added without rounding.
+    """
     table, n = _letters(), len(texts)
-    out, found = np.zeros((n, DIM), np.float32), np.zeros(n, bool)
+    out, found = np.zeros((n, DIM)), np.zeros(n, bool)
     i = 0
     while i < n:
         j, size = i, 0
         while j < n and (j == i or j - i < 256 and size + len(texts[j]) <= BLOCK_CHARS):
             size += len(texts[j])
             j += 1
-        raw = np.frombuffer("\0".join(["", *texts[i:j], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = np.frombuffer("".join(f"\0{t}\0" for t in texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = table[raw]
-        doc = np.repeat(np.arange(j - i), [len(t) + 1 for t in texts[i:j]])
-        doc = np.concatenate([[0], doc])[: len(letter)]
+        long = np.array([len(t) + 2 for t in texts[i:j]])
+        doc = np.repeat(np.arange(j - i), long)
         found[i:j] = np.bincount(doc, weights=letter > 0, minlength=j - i) > 0
         keep = (letter > 0) | np.concatenate([[True], letter[:-1] > 0])  # one blank between words
+        keep[np.cumsum(long) - long] = True
         letter, doc = letter[keep].astype(np.int64), doc[keep]
         code = letter[:-2] << 42 | letter[1:-1] << 21 | letter[2:]
-        inside = (doc[:-2] == doc[2:]) & ~((letter[:-2] == 0) & (letter[2:] == 0) & (letter[1:-1] == 0))
+        inside = (doc[:-2] == doc[2:]) & (code > 0)
         code, doc = code[inside], doc[:-2][inside]
         grams, at = np.unique(code, return_inverse=True)
+        exact = np.float32 if len(code) < 1 << 24 else np.float64  # sums of fewer ones are exact in 32 bits
         for g in range(0, len(grams), GRAMS):
             part = grams[g : g + GRAMS]
             own = (at >= g) & (at < g + GRAMS)
@@ -79,7 +87,7 @@ def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             base, back = np.stack([_letter(int(c)) for c in used]), back.reshape(3, -1)
             bound = np.roll(base, 2, 1)[back[0]] * np.roll(base, 1, 1)[back[1]] * base[back[2]]
             counts = np.bincount(doc[own] * len(part) + (at[own] - g), minlength=(j - i) * len(part)).reshape(j - i, -1)
-            out[i:j] += counts.astype(np.float32) @ bound
+            out[i:j] += counts.astype(exact) @ bound.astype(exact)
         i = j
     return out, found
 
@@ -88,20 +96,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit_profiles(docs: DataFrame, training: Column, most: int = MAX_TRAINING) -> dict[str, np.ndarray]:
-    """Prototype of each language from at most ``most`` training documents of each.
+def fit_profiles(docs: DataFrame, training: Column, most: int = MAX_TRAINING, most_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
+    """Prototype of each language from about ``most`` training documents of each at most.
 
     ``docs`` needs doc_id, text and lang. Each task adds up its own documents and
-    sends one vector per language.
+    sends one vector per language. Every language of the training documents is
+    learned; more than ``most_languages`` of them raise a ValueError, as then
+    ``lang`` does not hold languages.
     """
     sized = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = sized.groupBy("lang").count()
+    per_lang = sized.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(per_lang) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
     # keep a document by hash so that about ``most`` of each language remain at every size
-    share = {r["lang"]: min(1.0, most / r["count"]) for r in per_lang.orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    share = {r["lang"]: min(1.0, most / r["count"]) for r in per_lang}
     if not share:
         return {}
-    rate = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    chosen = sized.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+    chosen = sized.select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)).alias("draw"))
+    if min(share.values()) < 1:
+        rate = F.create_map(*[F.lit(x) for kv in share.items() if kv[1] < 1 for x in kv])[F.col("lang")]
+        chosen = chosen.filter(F.col("draw") < F.coalesce(rate, F.lit(1.0)) * (1 << 20))
+    chosen = chosen.select("lang", "text")
 
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -123,10 +138,11 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFr
 
     All columns of ``docs`` stay. A null text, or one without a letter, gets
     ``und`` and 0, as does every text when there are no profiles; ties go to the
-    language that sorts first. Repeated rows each get their row.
+    language that sorts first. Repeated rows each get their row. A row's result
+    depends on its text and the profiles alone, however the table is dealt.
     """
     names = list(profiles)
-    protos = _unit(np.stack([profiles[k] for k in names])).astype(np.float32) if names else np.zeros((0, DIM), np.float32)
+    protos = _unit(np.stack([profiles[k] for k in names])) if names else np.zeros((0, DIM))
     taken = {c.lower() for c in docs.columns}
     if taken & {"lang_pred", "score"}:
         docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
@@ -138,7 +154,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFr
                 batch = whole.slice(k, 512)
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 vectors, found = _vectors(texts)
-                cos = _unit(vectors) @ protos.T if names else np.zeros((len(texts), 0))
+                # rounded, so that no order of adding up shows in a tie or a score
+                cos = np.round(_unit(vectors) @ protos.T, 9) if names else np.zeros((len(texts), 0))
                 best = cos.argmax(axis=1) if names else np.zeros(len(texts), int)
                 ok = found & bool(names)
                 lang = [names[k] if y else UNDETERMINED for k, y in zip(best, ok, strict=True)]
