@@ -7,8 +7,10 @@ state with an ``a`` arc gets an arc for the merged symbol. A word then has
 exactly one path, the one that applying the merges in their order would give.
 
 All arcs with one label lead to one state, so the transition table is one state
-per symbol and a bit matrix of which state has which arc. Its size depends on
-the vocabulary only. It is compiled once on the driver and broadcast.
+per symbol and a bit matrix of which state has which arc. The states' rows mostly
+agree, so strips of them are stored once (20 MB for a vocabulary of 49,000). Its
+size depends on the vocabulary only. It is compiled once on the driver and
+broadcast.
 
 Texts are cut into words first; the distinct words of a block are run through
 the table together, position by position. Decoding looks up each arc's label.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,38 +27,42 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .textops import blocks
+from .textops import blocks, mix
 
 #: Words kept with their ids in each Python worker, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Bytes from which on a word is run by itself, and positions of it that are looked up together.
+LONG_WORD, LONG_STEP = 256, 1 << 15
+#: Bytes of a row of the table that are stored once where rows agree.
+STRIP = 64
 END = "</w>"
-#: Words as the vocabulary's own splitter cuts them; fixed by the tokenizer file.
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for Latin texts, where the faster engine agrees on letters and digits.
+#: Words as the vocabulary's own splitter cuts them, for Latin texts; others go through that splitter.
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|[\xb2\xb3\xb9\xbc-\xbeİ]")
 
 
 @dataclass
 class Automaton:
-    """``arcs[s]`` has a bit for each symbol that may follow in state ``s``; ``to`` is the state each symbol leads to."""
+    """Strip ``strips[which[s]]`` has a bit for each symbol that may follow in state ``s``; ``to`` is the state each symbol leads to."""
 
-    arcs: np.ndarray
+    strips: np.ndarray
+    which: np.ndarray
     to: np.ndarray
     labels: list[str]
     keys: np.ndarray  # trie of the symbols: node * 512 + byte (+ 256 at the end of a word)
     nodes: np.ndarray
     symbol: np.ndarray  # symbol that ends in a trie node, or -1
     specials: dict[str, int]
-    config: str  # the tokenizer file's normaliser
+    config: str  # the tokenizer file's normaliser and splitter
     cache: dict[str, bytes] = field(default_factory=dict)
 
     def has_arc(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return (self.arcs[state, symbol >> 3] >> (symbol & 7).astype(np.uint8)) & 1 > 0
+        at = symbol >> 3
+        return (self.strips[self.which[state, at // STRIP], at % STRIP] >> (symbol & 7).astype(np.uint8)) & 1 > 0
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node.astype(np.int64) * 512 + byte
@@ -71,8 +76,12 @@ class Automaton:
         i = 0
         while i < len(order):
             longest = len(words[order[i]])
+            if longest >= LONG_WORD:
+                out[order[i]] = self._run_long(words[order[i]])
+                i += 1
+                continue
             j = i
-            while j < len(order) and len(words[order[j]]) <= max(16, 2 * longest) and (j == i or (j - i) * len(words[order[j]]) < 1 << 21):
+            while j < len(order) and len(words[order[j]]) <= min(max(16, 2 * longest), LONG_WORD - 1) and (j == i or (j - i) * len(words[order[j]]) < 1 << 21):
                 j += 1
             for k, ids in zip(order[i:j], self._run([words[k] for k in order[i:j]]), strict=True):
                 out[k] = ids
@@ -123,6 +132,37 @@ class Automaton:
         raw = ids.tobytes()
         return [raw[4 * off[k] : 4 * off[k + 1]] for k in range(n)]
 
+    def _run_long(self, word: bytes) -> bytes:
+        """One long word: its symbols are looked up at many positions at once, its states followed one by one."""
+        n = len(word)
+        text = np.frombuffer(word, np.uint8).astype(np.int32)
+        text[-1] += 256
+        state, symbol, back = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        state[0] = 0
+        strips, which, to, wide = memoryview(self.strips.reshape(-1)), memoryview(self.which.reshape(-1)), memoryview(self.to), self.which.shape[1]
+        for first in range(0, n, LONG_STEP):
+            rows = np.arange(first, min(n, first + LONG_STEP))
+            node, k, found = np.zeros(len(rows), np.int32), 0, []
+            while len(rows):
+                node = self.step(node, text[rows + k])
+                rows, node = rows[node >= 0], node[node >= 0]
+                k += 1
+                ends = self.symbol[node] >= 0
+                found.append((rows[ends], rows[ends] + k, self.symbol[node[ends]]))
+                rows, node = rows[rows + k < n], node[rows + k < n]
+            at, end, got = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            for i, j, s in zip(at[order].tolist(), end[order].tolist(), got[order].tolist(), strict=True):
+                if state[i] >= 0:
+                    byte = s >> 3
+                    if strips[which[state[i] * wide + byte // STRIP] * STRIP + byte % STRIP] >> (s & 7) & 1:
+                        state[j], symbol[j], back[j] = to[s], s, i
+        ids = []
+        while n:
+            ids.append(symbol[n])
+            n = back[n]
+        return np.array(ids[::-1], "<i4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian 32-bit."""
         split = [self.split(t) for t in texts]
@@ -143,23 +183,19 @@ class Automaton:
             parts = re.split("(" + "|".join(map(re.escape, self.specials)) + ")", text)
             return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.split(part))]
         if _NOT_PLAIN.search(text):
-            return _odd_word().findall(_normaliser(self.config).normalize_str(text))
+            steps = _splitter(self.config)
+            text = steps.normalizer.normalize_str(text)
+            return [text[i:j] for _, (i, j) in steps.pre_tokenizer.pre_tokenize_str(text)]
         return _PLAIN_WORD.findall(text.lower())
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
 
-@lru_cache(1)
-def _odd_word() -> regex.Pattern:
-    return regex.compile(_WORD)
-
-
 @lru_cache(4)
-def _normaliser(config: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(config).normalizer
+def _splitter(config: str) -> Tokenizer:
+    """The tokenizer file's normaliser and splitter of words, without its vocabulary."""
+    return Tokenizer.from_str(config)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -230,7 +266,13 @@ def compile_automaton(path: str) -> Automaton:
         labels += [""] * (k + 1 - len(labels))
         labels[k] = s
     config = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
-    return Automaton(arcs[:states].copy(), to, labels, keys, np.array([trie[k] for k in keys.tolist()], np.int32), np.array(ends, np.int32), specials, config)
+    rows = np.pad(arcs[:states], ((0, 0), (0, -arcs.shape[1] % STRIP))).reshape(-1, STRIP)
+    odd = np.random.default_rng(states).integers(0, 1 << 63, STRIP // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _, some, which = np.unique(mix((mix(rows.view(np.uint64)) * odd).sum(axis=1, dtype=np.uint64)), return_index=True, return_inverse=True)
+    strips, which = rows[some], which.reshape(states, -1).astype(np.int32)
+    if not (strips[which.ravel()] == rows).all():
+        raise AssertionError("two strips of the table have one hash")
+    return Automaton(strips, which, to, labels, keys, np.array([trie[k] for k in keys.tolist()], np.int32), np.array(ends, np.int32), specials, config)
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
@@ -246,7 +288,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i, j, b, off in blocks(batch.column(1)):
                 raw = b.tobytes()
-                ids = table.value.encode([raw[off[k] : off[k + 1]].decode() for k in range(j - i)])
+                ids = table.value.encode([raw[off[k] : off[k + 1]].decode("utf-8", "replace") for k in range(j - i)])
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
