@@ -4,9 +4,9 @@ A key pair leaks as several parts: an identifier, a secret, an endpoint. Alone,
 a random-looking token, a login or a web address means little. Strong parts
 (assignments, access identifiers, long hex strings) are always reported; a weak
 part only when its complement's interval meets the part's interval widened by
-``SCOPE`` characters. That interval join runs within a row, as two sweeps over
-the parts sorted by start. All of it is SQL expressions in one projection: no
-shuffle, no Python.
+``SCOPE`` characters. That interval join runs within a row, as a sweep over the
+ends of the intervals. All of it is SQL expressions in one projection: no
+shuffle, no Python. Many matches of a text take linear time, but for sorting.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import joined, keep, matches
+from .spans import free_names, joined, keep, let, matches, running
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "key", "login", "endpoint")
@@ -45,25 +45,8 @@ def _found(text: str) -> dict[str, str]:
     }
 
 
-def _sweep(parts: str) -> str:
-    """Marks each part of a sorted array with the nearest identifier and secret swept before it.
-
-    ``lo`` and ``hi`` are positions along the sweep; the marks add up over two sweeps.
-    """
-    zero = "named_struct('id', -1000000000, 'secret', -1000000000, 'out', cast(array() as array<struct<kind:string,rank:int,start:int,end:int,lo:int,hi:int,id:boolean,secret:boolean>>))"
-    item = (
-        "named_struct('kind', x.kind, 'rank', x.rank, 'start', x.start, 'end', x.end, 'lo', x.lo, 'hi', x.hi, "
-        f"'id', x.id or x.lo - acc.id <= {SCOPE}, 'secret', x.secret or x.lo - acc.secret <= {SCOPE})"
-    )
-    return (
-        f"aggregate({parts}, {zero}, (acc, x) -> named_struct("
-        f"'id', if(x.kind in {_IDS}, greatest(acc.id, x.hi), acc.id), 'secret', if(x.kind in {_SECRETS}, greatest(acc.secret, x.hi), acc.secret), "
-        f"'out', concat(acc.out, array({item}))), acc -> acc.out)"
-    )
-
-
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: an array of kind, rank, start, end by start.
+    """``docs`` with ``secrets``: an array of start, rank, end, kind by start, then rank.
 
     Offsets are code points of the whole match, the end is exclusive. Base kinds
     are always reported. A key is reported with an identifier in scope, a login
@@ -72,21 +55,26 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("secrets")
     whole = f"coalesce(cast(`{text}` as string), '')"
-    found = docs.withColumns({f"__{k}": F.expr(e) for k, e in _found(whole).items()})
-    by_start = "(a, b) -> case when a.start <> b.start then a.start - b.start when a.rank <> b.rank then a.rank - b.rank else a.end - b.end end"
-    part = "s -> named_struct('kind', s.kind, 'rank', s.rank, 'start', s.start, 'end', s.end, 'lo', s.start, 'hi', s.end, 'id', false, 'secret', false)"
-    parts = f"array_sort(transform(concat({', '.join(f'__{k}' for k in KINDS)}), {part}), {by_start})"
-    back = "s -> named_struct('kind', s.kind, 'rank', s.rank, 'start', s.start, 'end', s.end, 'lo', -s.end, 'hi', -s.start, 'id', s.id, 'secret', s.secret)"
-    backwards = "(a, b) -> case when a.lo <> b.lo then a.lo - b.lo else b.rank - a.rank end"
-    report = f"s.rank < {len(BASE)} or case s.kind when 'key' then s.id when 'login' then s.secret else s.id and s.secret end"
-    weak = " or ".join(f"size(__{k}) > 0" for k in KINDS[len(BASE):])
-    return (
-        found.withColumn("__parts", F.expr(parts))
-        .withColumn("__parts", F.expr(f"if({weak}, {_sweep('__parts')}, __parts)"))
-        .withColumn("__parts", F.expr(f"if({weak}, {_sweep(f'array_sort(transform(__parts, {back}), {backwards})')}, __parts)"))
-        .withColumn("secrets", F.expr(f"transform(array_sort(filter(__parts, s -> {report}), {by_start}), s -> named_struct('kind', s.kind, 'rank', s.rank, 'start', s.start, 'end', s.end))"))
-        .drop("__parts", *[f"__{k}" for k in KINDS])
+    own = free_names(docs.columns, KINDS)
+    found = docs.withColumns({own[k]: F.expr(e) for k, e in _found(whole).items()})
+    plain = "s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind)"
+    base, weak = (f"transform(concat({', '.join(own[k] for k in kinds)}), {plain})" for kinds in (BASE, KINDS[len(BASE):]))
+    # one sweep: a part enters where it starts, a weak part asks where its scope ends; whatever reaches back into the scope meets it
+    enters = "s -> named_struct('at', s.start, 'asks', 0, 'part', s)"
+    asks = f"s -> named_struct('at', s.end + {SCOPE}, 'asks', 1, 'part', s)"
+    events = f"sort_array(concat(transform({base}, {enters}), transform({weak}, {enters}), transform({weak}, {asks})))"
+
+    def reach(kinds: str) -> str:
+        return let(f"transform(events, e -> if(e.asks = 0 and e.part.kind in {kinds}, e.part.end, {-SCOPE - 1}))", "ends", running("ends", "greatest(x, y)"))
+
+    near = "{0}[i] >= e.part.start - " + str(SCOPE)
+    linked = (
+        f"e.asks = 1 and case e.part.kind when 'key' then {near.format('ids')} when 'login' then {near.format('secrets')} "
+        f"else {near.format('ids')} and {near.format('secrets')} end"
     )
+    reported = let(events, "events", let(reach(_IDS), "ids", let(reach(_SECRETS), "secrets", f"transform(filter(events, (e, i) -> {linked}), e -> e.part)")))
+    some = " or ".join(f"size({own[k]}) > 0" for k in KINDS[len(BASE):])
+    return found.withColumn("secrets", F.expr(f"sort_array(if({some}, concat({base}, {reported}), {base}))")).drop(*own.values())
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:

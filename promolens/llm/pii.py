@@ -2,7 +2,7 @@
 
 Everything is one projection of SQL expressions over a row's own text: no
 shuffle, no Python. Patterns are possessive or guarded, so that long runs of
-characters take linear time.
+characters take linear time; so do many matches, but for sorting them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import joined, keep, matches
+from .spans import bind, free_names, joined, keep, matches, part, pieces, reaching
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "local_phone")
@@ -64,7 +64,7 @@ def _score(kind: str) -> str:
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: an array of kind, rank, start, end, value, score by start.
+    """``docs`` with ``pii``: an array of start, rank, end, kind, value, score by start, then rank.
 
     Offsets are code points, the end is exclusive. Base kinds are always
     reported; iban and local_phone only from ``MIN_SCORE`` on. A null or empty
@@ -73,32 +73,34 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("pii")
     whole = f"coalesce(cast(`{text}` as string), '')"
-    found = docs.withColumns({f"__{k}": F.expr(e) for k, e in _found(whole).items()})
+    own = free_names(docs.columns, KINDS)
+    found = docs.withColumns({own[k]: F.expr(e) for k, e in _found(whole).items()})
     scored = ", ".join(
-        f"transform(__{k}, s -> named_struct('kind', s.kind, 'rank', s.rank, 'start', s.start, 'end', s.end, 'value', s.value, 'score', {_score(k)}))" for k in KINDS
+        f"transform({own[k]}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'value', s.value, 'score', {_score(k)}))" for k in KINDS
     )
     kept = f"filter(concat({scored}), s -> s.rank < {len(BASE)} or s.score >= {MIN_SCORE})"
-    by_start = "(a, b) -> case when a.start <> b.start then a.start - b.start when a.rank <> b.rank then a.rank - b.rank else a.end - b.end end"
-    return found.withColumn("pii", F.expr(f"array_sort({kept}, {by_start})")).drop(*[f"__{k}" for k in KINDS])
+    return found.withColumn("pii", F.expr(f"sort_array({kept})")).drop(*own.values())
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span's characters replaced by its kind in brackets.
+    """``text`` with the characters of the spans of ``find_pii`` replaced by their kind in brackets.
 
-    Overlapping spans are masked as one, under the kind of the first.
+    Overlapping spans are masked as one, under the kind of the first. A null text
+    stays null.
     """
-    whole = F.coalesce(text.cast("string"), F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.when(new, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole)))))
+    whole = text.cast("string")
+
+    def pieces_of(cut: Column, reach: Column) -> Column:
+        """``reach[i]`` is how far the spans up to i reach; one that starts before that continues them."""
+
+        def one(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(reach[i - 1])
+            return F.when((i > 0) & (s["start"] < before), F.lit("")).otherwise(F.concat(part(cut, before, s["start"]), F.lit("["), s["kind"], F.lit("]")))
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), part(cut, reach[F.size(reach) - 1], F.length(whole)))
+
+    several = bind(pieces(whole), lambda cut: bind(F.transform(spans, lambda s: s["end"]), lambda ends: bind(reaching(ends), lambda reach: pieces_of(cut, reach))))
+    return F.when(F.size(spans) == 0, whole).otherwise(several)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
