@@ -34,6 +34,35 @@ def test_automaton_equals_the_library(texts, empty):
     assert bpe.bpe_decode(bpe.bpe_encode(empty, WORD_FILE), WORD_FILE).count() == 0
 
 
+LONG = [
+    " " * 1_000_000 + "b", "\n" * 1_000_000, "a" + "\u3000" * 20_000 + "x", "x" * 100_000, "ab" * 20_000 + "'s", "\u65e5\u672c\u8a9e" * 10_000,
+    "\u0558\u058b\u209f" * 200 + " ab\U000323afcd", "hello" + "!" * 30_000, " \n" * 30_000 + "end",
+]
+
+
+def test_long_words_and_blanks():
+    words, library, other = bpe.compile_automaton(WORD_FILE), Tokenizer.from_file(WORD_FILE), Tokenizer.from_file(BYTE_FILE)
+    for text in LONG:
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode_ids(text, BYTE_FILE), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_code_points():
+    """Letters, digits and blanks as the libraries know them, here every seventh code point and all of the first 0x3400."""
+    words, library, other = bpe.compile_automaton(WORD_FILE), Tokenizer.from_file(WORD_FILE), Tokenizer.from_file(BYTE_FILE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 and c < 0x33500)]
+    texts = [f"a{chr(c)}b 1{chr(c)} {chr(c)}{chr(c)}" for c in points]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(packing.encode_ids(t, BYTE_FILE), "<u4").tolist() for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_of_long_runs(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(LONG)], "doc_id long, text string")
+    library = Tokenizer.from_file(BYTE_FILE)
+    pieces = packing.harmonic_pack(df, BYTE_FILE).toPandas().sort_values("start").groupby("doc_id").tokens.apply(b"".join)
+    assert [pieces[k] for k in range(len(LONG))] == [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in LONG]
+
+
 def test_packing(texts, empty):
     library = Tokenizer.from_file(BYTE_FILE)
     ids = sorted([np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for r in texts.collect()])
