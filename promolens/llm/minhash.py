@@ -4,23 +4,29 @@ A document's set is the hashes of its distinct word shingles. Documents with
 equal sets collapse into a class, whose smallest id stands for it. The sketch is
 the k smallest hashes. Inverted lists of retained values bring documents
 together; in each such group the Jaccard similarity is estimated from the
-union's sketch, and pairs that pass are verified on the full sets.
+union's sketch, the k smallest values of both, and pairs that pass are verified
+on the full sets.
 
-Which values are listed: linked documents share at least half of their sketch
-values but for a probability below 1e-8 (k = 48, similarity 0.85), so two such
-sketches must share a value among the first s - ceil(s / 2) + 1 in any common
+Which values are listed: of the union's sketch of two linked documents at least
+``least_common`` values lie in both but for a probability below ``MISS``, so the
+two sketches must share a value among the first s - least + 1 in any common
 order. The order is rarest first, so a passage of very many documents forms a
 list only for documents that consist of little else. Values of one document
 alone need no list.
 
-The lists with the same smallest document are one group. A group is dealt in
-pairs of blocks of about ``BLOCK`` documents, each pair of blocks a unit of its
-own; it returns no more than a spanning forest of its verified links. So no
-group lies in one task and pairs are never emitted as rows.
+The lists with the same smallest document, the leader, are one group. A group is
+dealt in blocks of about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles, each
+with a copy of the leader. Documents that their block connects with the leader
+are in one component whatever else they are linked with, so only the others are
+compared once more, with the whole group, block by block. A block returns no
+more than a spanning forest of its verified links. So no group lies in one task,
+pairs are never emitted as rows, and a group of variants of one document takes
+time in proportion to its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +41,21 @@ from .textops import Words, blocks, mix
 
 K = 48
 SHINGLE = 5
+#: Probability, at most, that the estimate loses a pair at the threshold.
+MISS = 1e-8
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
+_NONE = np.uint64(2**64 - 1)
+#: Pairs whose unions are sketched together.
+PAIRS = 1 << 13
+
+
+def least_common(num: int, den: int, k: int = K) -> int:
+    """How many of a union's k smallest values lie in both sets, at least, but for a probability below ``MISS``."""
+    p, below, n = num / den, 0.0, 0
+    while n < k and (below := below + math.comb(k, n) * p**n * (1 - p) ** (k - n)) < MISS:
+        n += 1
+    return max(1, n)
 
 
 def _sets(b: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -77,26 +97,44 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     )
 
 
-def groups(reps: DataFrame) -> DataFrame:
-    """(leader, doc_id): documents that share a listed value, by the smallest of them."""
-    values = reps.filter("n_shingles > 0").select("doc_id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+def groups(reps: DataFrame, least: int, k: int = K) -> DataFrame:
+    """(leader, doc_id, n_shingles): documents that share a listed value, by the smallest of them."""
+    values = reps.filter("n_shingles > 0").select("doc_id", "h1", "n_shingles", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    need = F.ceil(F.col("s") * least / k)
     listed = (
         values.join(shared, "value")
-        .groupBy("doc_id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))  # at most k values
-        .withColumn("first", F.col("s") - F.ceil(F.col("s") / 2) + 1 - (F.col("s") - F.size("own")))
+        .groupBy("doc_id", "h1", "n_shingles", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))  # at most k values
+        .withColumn("first", F.col("s") - need + 1 - (F.col("s") - F.size("own")))
         .filter("first > 0")
-        .select("doc_id", F.explode(F.expr("slice(own, 1, cast(first as int)).value")).alias("value"))
+        .select("doc_id", "n_shingles", F.explode(F.expr("slice(own, 1, cast(first as int)).value")).alias("value"))
     )
     lists = stored(listed)
     leaders = lists.groupBy("value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    return lists.join(leaders, "value").select("leader", "doc_id").distinct()
-
-
-def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, num: int, den: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    return lists.join(leaders, "value").groupBy("leader", "doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+
+
+def _union_common(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sketch of each pair's union: how many values lie in both sets, and its size."""
+    a, c = np.full((len(left), k), _NONE), np.full((len(right), k), _NONE)
+    for table, sets in ((a, left), (c, right)):
+        for x, s in enumerate(sets):
+            table[x, : min(k, len(s))] = s[:k]
+    both, size = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        x = np.sort(np.concatenate([a[i[at : at + PAIRS]], c[j[at : at + PAIRS]]], axis=1), axis=1)
+        again = np.zeros(x.shape, bool)
+        again[:, 1:] = (x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _NONE)
+        rank = np.cumsum(~again & (x != _NONE), axis=1)
+        both[at : at + PAIRS] = (again & (rank <= k)).sum(axis=1)
+        size[at : at + PAIRS] = np.minimum(rank[:, -1], k)
+    return both, size
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, num: int, den: int, least: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with den * intersection >= num * union, found over shared values."""
-    every = np.concatenate([*left, *right])
-    if not len(every):
+    every = np.concatenate([*left, *right, np.zeros(0, np.uint64)])
+    if not left or not right or not len(every):
         return np.zeros(0, int), np.zeros(0, int)
     n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
 
@@ -121,13 +159,15 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], same: bool, num: int
             out += p @ q.T
         return out
 
-    # Shared values of two sketches that lie among the union's min(k, size) smallest are at most the shared ones.
+    # values of the union's sketch that lie in both sets are shared values of the two sketches: these bound the estimate from above
     common = counts([s[:k] for s in left], [s[:k] for s in right])
-    least = np.minimum(np.minimum(n, k)[:, None], np.minimum(m, k)[None, :])
-    likely = (2 * common >= least) & (den * np.minimum(n[:, None], m[None, :]) >= num * np.maximum(n[:, None], m[None, :]))
+    smaller, larger = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
+    likely = (k * common >= least * np.minimum(larger, k)) & (den * smaller >= num * larger)
     if same:
         likely &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
     i, j = np.nonzero(likely)
+    both, size = _union_common(left, right, i, j, k)
+    i, j = i[k * both >= least * size], j[k * both >= least * size]
     if len(i) * 8 > likely.size:
         inter = counts(left, right)[i, j]
     else:
@@ -154,52 +194,78 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(r, x) for x in range(n) if (r := find(x)) != x]
 
 
+def _in_units(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole units of rows in order; one is complete when the next begins."""
+    waiting: list[pd.DataFrame] = []
+    key = None
+    for pdf in frames:
+        for k, part in pdf.groupby(keys, sort=False):
+            if key is not None and k != key:
+                yield pd.concat(waiting)
+                waiting = []
+            key = k
+            waiting.append(part)
+    if waiting:
+        yield pd.concat(waiting)
+
+
+def _sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [s for _, _, b, off in blocks(pa.array(pdf["text"], pa.string())) for s in _sets(b, off)]
+
+
 def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links that connect what the verified links of all groups connect."""
-    sized = members.join(members.groupBy("leader").agg(F.count("*").alias("n")), "leader").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    dealt = (
-        sized.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id")
-    )
+    least = least_common(num, den)
+    per = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    sized = members.join(per, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # the texts are dealt by id at every size; the small side is the one that is hashed
-    rows = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("leader", "p", "q", "own", "doc_id", "text").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "own", "doc_id")
-
-    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, own = pdf["doc_id"].to_numpy(), pdf["own"].to_numpy()
-        sets: list[np.ndarray] = []
-        for _, _, b, off in blocks(pa.array(pdf["text"])):
-            sets += _sets(b, off)
-        first = own == own[0]
-        if first.all():
-            i, j = _links(sets, sets, True, num, den)
-        else:
-            cut = int(first.sum())
-            i, j = _links(sets[:cut], sets[cut:], False, num, den)
-            j = j + cut
-        got = forest(i, j, len(ids))
-        return np.array([ids[a] for a, _ in got], np.int64), np.array([ids[c] for _, c in got], np.int64)
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Units arrive in order; one is complete when the next begins."""
-        waiting: list[pd.DataFrame] = []
-        key = None
-        for pdf in frames:
-            for k, part in pdf.groupby(["leader", "p", "q"], sort=False):
-                if key is not None and k != key:
-                    a, c = unit(pd.concat(waiting))
-                    if len(a):
-                        yield pd.DataFrame({"a": a, "b": c})
-                    waiting = []
-                key = k
-                waiting.append(part)
-        if waiting:
-            a, c = unit(pd.concat(waiting))
-            yield pd.DataFrame({"a": a, "b": c})
-
-    return rows.mapInPandas(verify, "a long, b long")
+
+    def with_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return texts.join(rows, "doc_id").repartition(*keys).sortWithinPartitions(*keys, "first", "doc_id")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links within a block; of a group of several blocks also the documents that are not connected with the leader."""
+        for pdf in _in_units(frames, ["leader", "own"]):
+            ids, leader = pdf["doc_id"].to_numpy(), pdf["leader"].iloc[0]
+            sets = _sets_of(pdf)
+            tree = forest(*_links(sets, sets, True, num, den, least), len(ids))
+            a, c = (np.array([ids[t[k]] for t in tree], np.int64) for k in (0, 1))
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": c, "rest": False})
+            if pdf["blocks"].iloc[0] > 1:
+                root = np.arange(len(ids))
+                for r, x in tree:
+                    root[x] = r
+                rest = ids[~np.isin(root, root[ids == leader])]
+                yield pd.DataFrame({"a": np.full(len(rest), leader), "b": rest, "rest": True})
+
+    def compare_rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between the rest of a group, in blocks, and each of its blocks."""
+        for pdf in _in_units(frames, ["leader", "own", "part"]):
+            ids, sets = pdf["doc_id"].to_numpy(), _sets_of(pdf)
+            cut = int((pdf["first"] == 0).sum())
+            i, j = _links(sets[:cut], sets[cut:], False, num, den, least)
+            tree = forest(i, j + cut, len(ids))
+            yield pd.DataFrame({"a": np.array([ids[r] for r, _ in tree], np.int64), "b": np.array([ids[x] for _, x in tree], np.int64)})
+
+    whole = sized.select("leader", "own", "blocks", "doc_id", F.lit(1).alias("first"))
+    leaders = sized.filter("leader = doc_id and blocks > 1").withColumn("block", every_block).filter("block <> own")
+    dealt = whole.unionByName(leaders.select("leader", F.col("block").alias("own"), "blocks", "doc_id", F.lit(0).alias("first")))
+    rows = with_texts(dealt, ["leader", "own"]).select("leader", "own", "blocks", "doc_id", "text")
+    found = stored(rows.mapInPandas(compare, "a long, b long, rest boolean"))
+    links = found.filter("not rest").select("a", "b")
+    rest = found.filter("rest").select(F.col("a").alias("leader"), F.col("b").alias("doc_id")).join(sized, ["leader", "doc_id"])
+    if rest.isEmpty():
+        return links
+    rest = stored(rest.select("leader", "doc_id", "n_shingles", "blocks"))
+    parts = rest.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    asked = rest.join(parts, "leader").select("leader", every_block.alias("own"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", F.lit(0).alias("first"))
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    whole = sized.join(parts, "leader").select("leader", "own", every_part.alias("part"), "doc_id", F.lit(1).alias("first"))
+    keys = ["leader", "own", "part"]
+    rows = with_texts(asked.unionByName(whole), keys).select(*keys, "first", "doc_id", "text")
+    return links.unionByName(rows.mapInPandas(compare_rest, "a long, b long"))
 
 
 def minhash_near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
@@ -218,8 +284,8 @@ def minhash_near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> D
     classes = known.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # doc_id can repeat with another text: its rows are one vertex
     member = known.filter("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    links = verified_links(stored(groups(reps)), docs, num, den)
+    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
+    links = verified_links(stored(groups(reps, least_common(num, den))), docs, num, den)
     label = components(links.unionByName(member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
     return every.join(label, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
