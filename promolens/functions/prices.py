@@ -44,6 +44,8 @@ PACK_PATTERNS = (
     r"\bmehrweg-?kasten\b",
     r"\b\d+\s*[+]\s*\d+\b",
 )
+#: Fixed value: the part of a sentence that is shown as a condition.
+CONDITION_SENTENCE = r"(?i)([^.!?\n]{0,80}(?:lidl plus|lidl\+|payback|edeka app|rewe app|app-coupon|app coupon|kundenkarte|clubkarte)[^.!?\n]{0,120})"
 _NUMBER = r"\d+\.?\d*"
 _EUR = r"\d{1,3}(?:\.\d{3})*,\d{2}\s*€"
 
@@ -120,8 +122,7 @@ def loyalty_program(text: Column, phrases: tuple = LOYALTY_PHRASES) -> Column:
 
 def loyalty_condition(text: Column) -> Column:
     """The part of a sentence around the condition, else the first phrase found; null without one."""
-    words = r"lidl plus|lidl\+|payback|edeka app|rewe app|app-coupon|app coupon|kundenkarte|clubkarte"
-    sentence = squash(F.regexp_extract(text, rf"(?i)([^.!?\n]{{0,80}}(?:{words})[^.!?\n]{{0,120}})", 1))
+    sentence = squash(F.regexp_extract(text, CONDITION_SENTENCE, 1))
     low = squash(F.lower(text))
     phrase = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for _, ws in LOYALTY_PHRASES for w in ws])
     return F.when(loyalty_program(text).isNotNull(), F.coalesce(F.nullif(sentence, F.lit("")), phrase))

@@ -15,11 +15,12 @@ WEEKDAYS = {
 }
 _DATE = r"\d{1,2}\.\d{1,2}\.?(?:\d{2,4})?"
 _WORD = rf"heute|morgen|übermorgen|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|mo|di|mi|do|fr|sa|so|{_DATE}"
+#: The forms in which a validity is shown, in order of precedence.
 _SHOWN = (
     r"(gültig\s+vom\s+.+?\s+bis\s+.+?)(?:$|[|,])",
     r"(vom\s+.+?\s+bis\s+.+?)(?:$|[|,])",
     r"((?:gültig\s+)?\d{1,2}\.\d{1,2}\.?\s*(?:bis|-)\s*\d{1,2}\.\d{1,2}\.?(?:\d{2,4})?)(?:$|[|,])",
-    rf"((?:ab|bis|nur am)\s+(?:{_WORD}))(?:$|[|,])",
+    r"((?:ab|bis|nur am)\s+(?:heute|morgen|übermorgen|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|mo|di|mi|do|fr|sa|so|\d{1,2}\.\d{1,2}\.?(?:\d{2,4})?))(?:$|[|,])",
 )
 
 
@@ -90,22 +91,41 @@ def parse_validity(df: DataFrame, text: str, ref: str) -> DataFrame:
     ``ref`` is the date column that relative words refer to. The first form found
     decides: a date range, vom ... bis, ab, bis, nur am.
     """
-    whole, day = squash(F.coalesce(F.col(text), F.lit(""))), F.col(ref)
-    low = F.lower(whole)
-
-    def part(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(low, pattern, group), F.lit(""))
-
-    a, b = (part(rf"({_DATE})\s*(?:bis|-)\s*({_DATE})", k) for k in (1, 2))
-    c, d = (part(rf"vom\s+({_WORD})\s+bis\s+({_WORD})", k) for k in (1, 2))
-    ab, bis, one = (part(rf"(?<![a-z0-9_äöüß]){w}\s+({_WORD})") for w in ("ab", "bis", "nur am"))
-    start = german_date(a, day)
-    end = german_date(b, day, F.year(start))
-    none = F.lit(None).cast("date")
-    first = F.when(a.isNotNull(), start).when(c.isNotNull(), relative_date(c, day)).when(ab.isNotNull(), relative_date(ab, day)).when(bis.isNotNull(), none).when(one.isNotNull(), relative_date(one, day))
-    last = F.when(a.isNotNull(), end).when(c.isNotNull(), relative_date(d, day)).when(ab.isNotNull(), none).when(bis.isNotNull(), relative_date(bis, day)).when(one.isNotNull(), relative_date(one, day))
-    shown = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(whole, "(?iu)" + p, 1)), F.lit("")) for p in _SHOWN])
-    return df.withColumns({"validity_text": shown, "valid_from": first, "valid_to": last}).withColumn("is_upcoming", F.coalesce(F.col("valid_from") > day, F.lit(False)))
+    day = F.col(ref)
+
+    def first_of(patterns: dict[str, str]) -> Column:
+        """What the first pattern that matches captures: its name, one or two words."""
+        low = F.lower("__whole")
+        cases = [
+            F.when(low.rlike(p), F.struct(F.lit(k).alias("form"), F.regexp_extract(low, p, 1).alias("a"), (F.regexp_extract(low, p, 2) if k in ("range", "from_to") else F.lit("")).alias("b")))
+            for k, p in patterns.items()
+        ]
+        return F.coalesce(*cases)
+
+    word = r"(?<![a-z0-9_äöüß])"
+    found = first_of({
+        "range": rf"({_DATE})\s*(?:bis|-)\s*({_DATE})", "from_to": rf"vom\s+({_WORD})\s+bis\s+({_WORD})",
+        "ab": rf"{word}ab\s+({_WORD})", "bis": rf"{word}bis\s+({_WORD})", "nur am": rf"{word}nur am\s+({_WORD})",
+    })
+    # one step each, kept apart by the lambda that holds it: text, words, dates, choice
+    whole = df.withColumn("__whole", squash(F.coalesce(F.col(text), F.lit(""))))
+    shown = F.coalesce(*[F.nullif(F.trim(F.regexp_extract("__whole", "(?iu)" + p, 1)), F.lit("")) for p in _SHOWN])
+    form = F.element_at(F.transform(F.array(found), lambda f: f), 1)
+    read = whole.withColumns({"validity_text": shown, "__form": form})
+
+    def window(f: Column) -> Column:
+        plain = relative_date(f["a"], day)
+        start = F.when(f["form"] == "range", german_date(f["a"], day)).otherwise(plain)
+
+        def ends(a: Column) -> Column:
+            end = F.when(f["form"] == "range", german_date(f["b"], day, F.year(a))).when(f["form"] == "from_to", relative_date(f["b"], day)).when(f["form"].isin("bis", "nur am"), a)
+            return F.struct(F.when(f["form"] != "bis", a).alias("a"), end.alias("b"))
+
+        return F.element_at(F.transform(F.array(start), ends), 1)
+
+    dated = read.withColumn("__window", F.element_at(F.transform(F.array("__form"), window), 1))
+    out = dated.withColumns({"valid_from": F.col("__window.a"), "valid_to": F.col("__window.b")}).drop("__whole", "__form", "__window")
+    return out.withColumn("is_upcoming", F.coalesce(F.col("valid_from") > day, F.lit(False)))
 
 
 def validity_display(valid_from: Column, valid_to: Column, is_upcoming: Column, raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def bind(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -30,10 +37,13 @@ def offer_text(title: Column, category: Column, store: Column) -> Column:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Unit vector of hashed word counts; null for a blank text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(place, lambda p: p == k)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.size(words) > 0, F.transform(counts, lambda x: (x / length).cast("float")))
+
+    def of(place: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(place, lambda p: p == k)).cast("double"))
+        return bind(counts, lambda c: bind(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda length: F.transform(c, lambda x: (x / length).cast("float"))))
+
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    return F.when(F.size(words) > 0, bind(places, of))
 
 
 def embed_missing(df: DataFrame, text: Column, vector: str = "embedding", embedder=hashed_embedding) -> DataFrame:

@@ -79,10 +79,15 @@ def optional_filters(df: DataFrame, max_price: float | None = None, category: st
 def exclude_disallowed(urls: DataFrame, rules: DataFrame, url: str = "url", prefix: str = "prefix") -> DataFrame:
     """URLs whose path begins with no disallowed prefix.
 
-    The possible prefixes of each path meet the rules in an equi-join, so that the
-    rule table may be of any size.
+    Of each path the prefixes as long as some rule meet the rules in an equi-join
+    (lengths of URL paths are few; only these come to the driver). Spark broadcasts
+    the rules where they are small.
     """
+    lengths = sorted(r[0] for r in rules.select(F.length(prefix).alias("n")).filter("n > 0").distinct().collect())
+    if not lengths:
+        return urls
     path = F.regexp_extract(F.col(url), r"^[a-z]+://[^/?#]+([^?#]*)", 1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))), lambda n: F.substring(path, F.lit(1), n))
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path))
+    prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
     hit = urls.select(url, F.explode(prefixes).alias(prefix)).join(rules.select(prefix), prefix, "left_semi").select(url).distinct()
     return urls.join(hit, url, "left_anti")

@@ -28,11 +28,18 @@ def pending_labels(offers: DataFrame, labels: DataFrame, version: str, limit: in
     return rows.orderBy(F.desc("scraped_at"), "external_id").limit(limit)
 
 
-def label_batches(pending: DataFrame, size: int = 25, shards: int = 256) -> DataFrame:
+#: Offers of a shard, about, in which payloads are numbered.
+SHARD_ROWS = 5_000
+
+
+def label_batches(pending: DataFrame, size: int = 25, shards: int | None = None) -> DataFrame:
     """Payloads of at most ``size`` offers as JSON: (shard, batch, n, payload).
 
-    Offers are numbered within shards by hash of their id, so no task sees all.
+    Offers are numbered within shards by hash of their id, one for every
+    ``SHARD_ROWS`` of them, so no task sees all.
     """
+    if shards is None:
+        shards = max(1, -(-pending.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("external_id"), F.lit(shards))
     at = F.row_number().over(Window.partitionBy("shard").orderBy("external_id"))
     return (

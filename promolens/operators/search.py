@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from promolens.functions.vectors import cosine, dot, norm
 
 from .filters import currently_valid, like_any, optional_filters
 
-#: Queries that one broadcast takes; more are joined in a nested loop by Spark's own choice.
+#: Queries that one broadcast takes, about.
 MAX_BROADCAST_QUERIES = 10_000
 
 
@@ -45,11 +46,20 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
 
     ``queries`` has query_id, vector and cutoff; max_price, category, stores and
     min_discount narrow a query where they are there and not null. Plain
-    conditions come before the cosine. Queries are the small side: they are
-    broadcast up to ``MAX_BROADCAST_QUERIES`` of them, counted first. Ranks are cut
-    in each task before the shuffle.
+    conditions come before the cosine. Queries are the small side: they are counted
+    first and broadcast in blocks of about ``MAX_BROADCAST_QUERIES`` at most, each
+    against all offers. Ranks are cut in each task before the shuffle.
     """
-    few = queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+    parts = -(-queries.count() // MAX_BROADCAST_QUERIES)
+    if parts > 1:  # as many blocks of queries, each broadcast by itself
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
+        found = [_nearest(queries.filter(block == n), offers, k, digits) for n in range(2 * parts)]
+        return reduce(DataFrame.unionByName, found)
+    return _nearest(queries, offers, k, digits)
+
+
+def _nearest(queries: DataFrame, offers: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """``nearest`` for at most as many queries as one broadcast takes."""
     rules = {
         "max_price": lambda q: F.col("price") <= q,
         "category": lambda q: F.contains(F.lower("category"), F.lower(q)),
@@ -65,7 +75,7 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
     # lengths are computed once for each vector, not for each pair
     q = q.withColumn("q_norm", norm(F.col("vector")))
     rows = offers.filter(F.col("is_active") & F.col("embedding").isNotNull()).withColumn("o_norm", norm(F.col("embedding")))
-    pairs = rows.join(F.broadcast(q) if few else q, cond)
+    pairs = rows.join(F.broadcast(q), cond)
     value = dot(F.col("embedding"), F.col("vector")) / F.nullif(F.col("o_norm") * F.col("q_norm"), F.lit(0.0))
     value = F.when((F.size("embedding") == F.size("vector")) & ~F.isnan(value), value)
     scored = pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value)

@@ -97,12 +97,16 @@ def _tenths(c: str) -> Column:
 
 
 def query(name: str, oracle: str | None = None):
-    """Registers a query; the session's time zone is UTC while it is planned and run."""
+    """Registers a query; the session's time zone is UTC while it is planned (expressions keep it)."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            before = spark.conf.get("spark.sql.session.timeZone")
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
+            try:
+                return f(spark, sf_dir)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", before)
 
         QUERIES[name] = run
         if oracle:
@@ -629,7 +633,8 @@ def listing_offers(spark, sf_dir):
     )
     offers = F.struct(F.struct(F.collect_list(item).alias("items")).alias("main"))
     nested = F.struct(F.struct(F.struct(F.struct(offers.alias("offers")).alias("pageInformation")).alias("pageProps")).alias("props"))
-    page = part.groupBy(F.col("p_brand").alias("keyword"), F.pmod(F.xxhash64("p_partkey"), F.lit(64)).alias("keyword_rank")).agg(F.to_json(nested).alias("json"))
+    pages_of = max(1, -(-part.count() // 50_000))  # for each brand, so that a page stays a page at every size
+    page = part.groupBy(F.col("p_brand").alias("keyword"), F.pmod(F.xxhash64("p_partkey"), F.lit(pages_of)).alias("keyword_rank")).agg(F.to_json(nested).alias("json"))
     pages = page.select("keyword", "keyword_rank", F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), "json", F.lit("</script></html>")).alias("html"))
     items = listings.explode_listing_items(listings.extract_listing_json(pages))
     rows = listings.dedupe_offers(listings.normalize_items(items, AS_OF, "https://offers.example"))
