@@ -162,6 +162,14 @@ def bargain_radar(offers: DataFrame, buckets: Sequence[str], minimum: float | No
     return rows.filter(~F.col("bucket").isin(*buckets) & (F.col("trust") == "trusted") & (F.col("eff") >= minimum)).orderBy(F.desc("eff"), "external_id").limit(limit)
 
 
+def feed_ids(*feeds: DataFrame, key: str = "external_id") -> DataFrame:
+    """The ids of the offers that any of several feeds shows, each once."""
+    every = feeds[0].select(key)
+    for feed in feeds[1:]:
+        every = every.unionByName(feed.select(key))
+    return every.distinct()
+
+
 def report_lists(offers: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
     """The report's lists: best discounts, ending soon, next week, newest."""
     from .filters import currently_valid, expiring_soon, next_week_preview
