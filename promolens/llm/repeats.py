@@ -6,24 +6,25 @@ hash among the window's ``GRAM``-byte grams. Equal windows have equal minimizers
 and neighbouring windows mostly share one, so a text becomes a sequence of short
 runs of windows.
 
-1. Every run goes to its minimizer's place as four numbers: minimizer, digest of
-   its bytes, document, position. Tasks send them in columns of as few bytes as
-   they need. Minimizers of one document end there. If all runs of a minimizer are
-   equal, their smallest document is the answer for each of their windows.
-2. The runs of the other shared minimizers are cut from the texts and meet again,
-   equal ones of a task as one row. The distinct strings of a minimizer that agree
-   with another on one side of it (no others can share a window) are
-   suffix-sorted by linear grouping; windows that are neighbours in that order
-   and equal form a group, whose smallest document is known then.
-3. A minimizer that more than ``HOT`` documents of one task hold, or that has more
-   than ``GROUP`` runs in the whole table, would be a large group in one task. Of
-   the first kind a task sends but a mark to its place; runs of the second leave
-   their place as they come, so it never holds many of one minimizer. Whether its
-   runs are equal, and their smallest document, come from aggregations that Spark
-   pre-aggregates and joins that it may split. Where they differ, their windows
-   are grouped in that way by a 128-bit digest. Within a task, more than
-   ``SORTED`` distinct strings of one minimizer are grouped by exact windows.
+1. A task looks at its runs in chunks. Of equal runs of a chunk (their bytes are
+   compared) only that of the smallest document goes on; the others are settled
+   by it. Runs go to their minimizer's place as a few numbers, in columns of as
+   few bytes as they need. Minimizers of one document end there.
+2. The runs of shared minimizers are cut from the texts and meet again. The
+   parts of a minimizer's distinct strings that agree with others around it (no
+   other parts can share a window) are suffix-sorted by linear grouping; windows
+   that are neighbours in that order and equal form a group, whose smallest
+   document is known then.
+3. A minimizer with more than ``HOT`` different runs in one chunk, or ``GROUP`` in
+   the whole table, would be a large group in one task: its windows are dealt one
+   by one, each by itself, and meet with equal windows only. A chunk sends but a
+   mark of it to its place; so at its place no minimizer has more than ``HOT``
+   different runs of each chunk, and those beyond ``GROUP`` leave as they come.
+   Equal windows of a task are settled there but for the smallest document's.
 4. Spans of a document meet by its id and are cut out of its text.
+
+What any task holds of one group is therefore bounded by ``GROUP``, or by the
+number of chunks where all that meets is equal. No hash decides an equality.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -44,20 +46,27 @@ LENGTH = 50
 GRAM = 20
 #: Windows in a run, at most (longer runs of one minimizer are cut).
 RUN = 64
-#: Documents of one task that may hold a minimizer whose runs meet in one place.
-HOT = 256
-#: Runs of one minimizer, of the whole table, that may meet in one place.
-GROUP = 4096
+#: Different runs of one minimizer in a chunk, and in the whole table, that may meet in one place.
+HOT = 64
+GROUP = 256
 #: Runs that a place holds before those of larger minimizers leave it.
 PLACE_RUNS = 1 << 21
-#: Distinct strings of one minimizer that are suffix-sorted together, at most.
-SORTED = 256
+#: Bytes of text whose runs meet in one place, about.
+PLACE_BYTES = 1 << 23
+#: Neighbouring places of the minimizer in a window whose common bytes are compared before strings are sorted.
+STEP = 4
+#: Strings that are hashed together.
+PART = 1 << 14
+#: Bytes of strings that a task packs together.
+PACK_BYTES = 1 << 23
+#: Single windows that a task looks at together.
+SINGLES = 1 << 16
 #: Runs that a task looks at together before rows leave it.
 TASK_RUNS = 1 << 18
 #: Bytes of text whose windows are hashed together; temporary arrays take some 50 times as much.
 HASH_BYTES = 1 << 18
-#: Bits under the id that tell rows with the same id apart.
-_ROW_BITS = 20
+#: Bits of a byte's place in its text; those above number the rows of an id.
+_PLACE_BITS = 40
 
 
 def _runs(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,168 +115,271 @@ def _from_planes(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which slices from ``a`` and from ``b`` on, of ``size`` bytes each, are equal."""
+    out = np.ones(len(a), bool)
+    step = max(1, (1 << 21) // max(1, int(size.max(initial=1))))
+    for k in range(0, len(a), step):
+        n = size[k : k + step]
+        at = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(at, n)
+        same = raw[np.repeat(a[k : k + step], n) + inner] == raw[np.repeat(b[k : k + step], n) + inner]
+        out[k : k + step] = np.logical_and.reduceat(same, at)
+    return out
+
+
+def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents in order, those that touch as one; in a document later ones end later."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (a[1:] > b[:-1])]))
+    return doc[first], a[first], b[np.append(first[1:], len(a)) - 1]
+
+
+#: What a packed row holds: runs for their place, runs of large minimizers, settled spans.
+_PLACED, _SPLIT, _SETTLED = 0, 1, 2
+
+
 def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
-    """Rows of packed runs by place: hot ones anywhere, the others where their minimizer belongs."""
-    names = ["place", "hot", "n", "first_doc", "h", "s", "doc", "pn"]
+    """Rows of packed runs by place: those of large minimizers and settled spans anywhere, the others where their minimizer belongs."""
+    names = ["place", "what", "n", "first_doc", "h", "s", "doc", "pn"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        texts_held: list[np.ndarray] = []
 
-        def packed(at: np.ndarray, hot: bool, h, s, doc, pn) -> pa.RecordBatch:
+        def packed(at: np.ndarray, what: int, h, s, doc, pn) -> pa.RecordBatch:
             order = np.lexsort((h, at))
             at, h, s, doc, pn = (x[order] for x in (at, h, s, doc, pn))
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
             rows: list[list] = [[] for _ in names]
             for i, j in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
                 base = int(doc[i:j].min())
-                values = (int(at[i]), hot, j - i, base, _planes(np.diff(h[i:j], prepend=0)), _planes(s[i:j]), _planes(doc[i:j] - base), _planes(pn[i:j]))
+                values = (int(at[i]), what, j - i, base, _planes(np.diff(h[i:j], prepend=0)), _planes(s[i:j]), _planes(doc[i:j] - base), _planes(pn[i:j]))
                 for column, v in zip(rows, values, strict=True):
                     column.append(v)
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
         def leave() -> Iterator[pa.RecordBatch]:
-            h, s, doc, pn = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, s, doc, pn, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            raw = np.concatenate(texts_held)
             held.clear()
-            order = np.lexsort((doc, h))
-            h, s, doc, pn = h[order], s[order], doc[order], pn[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            cuts = np.flatnonzero(new)
-            docs = np.add.reduceat(new | np.concatenate([[True], doc[1:] != doc[:-1]]), cuts)
-            size = np.diff(np.append(cuts, len(h)))
-            hot = np.repeat(docs > HOT, size)
-            mark = cuts[docs > HOT]  # no windows: it says that the minimizer is hot
-            keep = ~hot
-            ah, as_, ad, ap = (np.concatenate([x[keep], y]) for x, y in ((h, h[mark]), (s, s[mark] * 0), (doc, doc[mark]), (pn, pn[mark] * 0)))
+            texts_held.clear()
+            order = np.lexsort((doc, s, h))
+            h, s, doc, pn, start = (x[order] for x in (h, s, doc, pn, start))
+            new_h = np.concatenate([[True], h[1:] != h[:-1]])
+            new = new_h | np.concatenate([[True], s[1:] != s[:-1]])
+            first = np.flatnonzero(new)
+            rep = np.repeat(first, np.diff(np.append(first, len(h))))
+            size = (pn & 255) + (length - 1)
+            again = np.flatnonzero((doc != doc[rep]) & (size == size[rep]))
+            again = again[_equal(raw, start[again], start[rep[again]], size[again])]
+            if len(again):
+                a = pn[again] >> 8
+                d, a, b = _merged(doc[again], a, a + size[again])
+                zero = np.zeros(len(d), np.int64)
+                yield packed((mix((d * 1_000_003 + a).view(np.uint64)) % np.uint64(places)).astype(np.int64), _SETTLED, zero, b - a, d, a)
+            left = np.ones(len(h), bool)
+            left[again] = False
+            cuts = np.flatnonzero(new_h)
+            large = np.add.reduceat(new.astype(np.int64), cuts) > HOT
+            hot = np.repeat(large, np.diff(np.append(cuts, len(h))))
+            mark, keep = cuts[large], left & ~hot  # a mark has no windows: it says that the minimizer is large
+            few = s & 0xFFFF  # enough to count different runs
+            ah, as_, ad, ap = (np.concatenate([x[keep], y]) for x, y in ((h, h[mark]), (few, few[mark] * 0), (doc, doc[mark]), (pn, pn[mark] * 0)))
             # minimizers are small numbers: only mixed do they spread evenly
-            yield packed((mix(ah.view(np.uint64)) % np.uint64(places)).astype(np.int64), False, ah, as_, ad, ap)
+            yield packed((mix(ah.view(np.uint64)) % np.uint64(places)).astype(np.int64), _PLACED, ah, as_, ad, ap)
+            hot &= left
             if hot.any():
                 spread = (mix((doc[hot] * 1_000_003 + pn[hot]).view(np.uint64)) % np.uint64(places)).astype(np.int64)
-                yield packed(spread, True, h[hot], s[hot], doc[hot], pn[hot])
+                yield packed(spread, _SPLIT, h[hot], few[hot] * 0, doc[hot], pn[hot])
 
-        size = 0
+        size = read = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, b, off in blocks(batch.column(1), HASH_BYTES):
+            ids = batch.column("__key").to_numpy(zero_copy_only=False)
+            number = batch.column("__row").to_numpy(zero_copy_only=False) if "__row" in batch.schema.names else ids * 0
+            for i, j, b, off in blocks(batch.column("text"), HASH_BYTES):
                 row, at, count, h = _runs(b, off, length)
                 if len(h):
                     start = off[row] + at
                     digest = slice_hash(b, start, start + count + length - 1)
-                    held.append((h.view(np.uint64) >> np.uint64(16), digest >> np.uint64(16), ids[i:j][row], at * 256 + count))
+                    place_ = (number[i:j][row] << (_PLACE_BITS + 8)) + at * 256 + count
+                    held.append((h.view(np.uint64) >> np.uint64(16), digest >> np.uint64(1), ids[i:j][row], place_, start + read))
                     held[-1] = tuple(x.astype(np.int64) for x in held[-1])
-                    size += len(h)
+                    texts_held.append(b)
+                    size, read = size + len(h), read + len(b)
                 if size >= TASK_RUNS:
                     yield from leave()
-                    size = 0
+                    size = read = 0
         if size:
             yield from leave()
         pa.default_memory_pool().release_unused()
 
-    kinds = "place int, hot boolean, n long, first_doc long, h binary, s binary, doc binary, pn binary"
-    return texts.select("__key", "text").filter("__key is not null").mapInArrow(place, kinds)
+    kinds = "place int, what int, n long, first_doc long, h binary, s binary, doc binary, pn binary"
+    return texts.filter("__key is not null").mapInArrow(place, kinds)
 
 
-def _met_runs(texts: DataFrame, length: int, shift: int) -> DataFrame:
-    """(kind, h, s, doc, a, n): kind 0, windows that a smaller document holds too; 1, runs to compare; 2, hot runs.
+def _met_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
+    """(kind, h, doc, a, n): kind 0, settled windows; 1, runs of a shared minimizer; 2, runs whose windows are dealt singly.
 
-    A run is n windows from byte a of its document's text on; hot ones have the digest s.
+    A run is n windows from byte a of its document's text on.
     """
-    # twice the usual number, for a task holds the numbers of all its runs
-    places = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def rows(kind: int, h, s, doc, pn) -> pa.RecordBatch:
-        digest = pa.array(s) if kind == 2 else pa.nulls(len(s), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), digest, pa.array(doc), pa.array(pn >> 8), pa.array((pn & 255).astype(np.int32))],
-            ["kind", "h", "s", "doc", "a", "n"],
-        )
-
-    def large(h, s, doc, pn) -> tuple[np.ndarray, np.ndarray]:
-        """Which runs, in order of h, are of a minimizer with a mark or with more than ``GROUP`` runs; the first run of each of these."""
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(cuts, len(h)))
-        hot = (np.minimum.reduceat(pn, cuts) == 0) | (size > GROUP)
-        return np.repeat(hot, size), cuts[hot]
+
+    def rows(kind: int, h, doc, a, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(doc), pa.array(a), pa.array(n.astype(np.int32))], ["kind", "h", "doc", "a", "n"])
+
+    def of_runs(kind: int, h, doc, pn) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(h), 1 << 16):
+            one = slice(k, k + (1 << 16))
+            yield rows(kind, h[one], doc[one], pn[one] >> 8, pn[one] & 255)
+
+    def large(h, s, pn, cuts) -> np.ndarray:
+        """Which minimizers, of runs in order of h and s, have a mark or more than ``GROUP`` different runs."""
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+        return (np.minimum.reduceat(pn, cuts) == 0) | (np.add.reduceat(new.astype(np.int64), cuts) > GROUP)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: list[tuple[np.ndarray, ...]] = []
         held, bound = 0, PLACE_RUNS
+
+        def gathered() -> tuple[np.ndarray, ...]:
+            h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
+            here.clear()
+            order = np.lexsort((s, h))
+            h, s, doc, pn = h[order], s[order], doc[order], pn[order]
+            return h, s, doc, pn, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n"]
                 h, s, doc, pn = np.cumsum(_from_planes(r["h"], n)), _from_planes(r["s"], n), _from_planes(r["doc"], n) + r["first_doc"], _from_planes(r["pn"], n)
-                if r["hot"]:
-                    yield rows(2, h, s, doc, pn)
-                    continue
-                here.append((h, s, doc, pn))
-                held += n
+                if r["what"] == _SETTLED:
+                    yield rows(0, h, doc, pn, s - (length - 1))
+                elif r["what"] == _SPLIT:
+                    yield from of_runs(2, h, doc, pn)
+                else:
+                    here.append((h, s, doc, pn))
+                    held += n
                 if held > bound:  # runs of large minimizers leave, a mark of each stays
-                    h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
-                    order = np.argsort(h, kind="stable")
-                    h, s, doc, pn = h[order], s[order], doc[order], pn[order]
-                    out, first = large(h, s, doc, pn)
-                    at = np.flatnonzero(out & (pn > 0))
-                    for k in range(0, len(at), 1 << 16):
-                        one = at[k : k + (1 << 16)]
-                        yield rows(2, h[one], s[one], doc[one], pn[one])
+                    h, s, doc, pn, cuts = gathered()
+                    much = large(h, s, pn, cuts)
+                    out, first = np.repeat(much, np.diff(np.append(cuts, len(h)))), cuts[much]
+                    yield from of_runs(2, *(x[out & (pn > 0)] for x in (h, doc, pn)))
                     here = [(h[~out], s[~out], doc[~out], pn[~out]), (h[first], s[first] * 0, doc[first], pn[first] * 0)]
                     held = len(h) - int(out.sum()) + len(first)
                     bound = max(PLACE_RUNS, 2 * held)
         if not here:
             return
-        h, s, doc, pn = (np.concatenate(c) for c in zip(*here, strict=True))
-        here.clear()
-        order = np.lexsort((s, h))
-        h, s, doc, pn = h[order], s[order], doc[order], pn[order]
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(cuts, len(h)))
-        least, most = np.minimum.reduceat(doc, cuts), np.maximum.reduceat(doc, cuts)
-        marked = np.minimum.reduceat(pn, cuts) == 0
-        # a mark's digest is 0 and does not matter: its minimizer is hot
-        several = np.add.reduceat(np.concatenate([[False], s[1:] != s[:-1]]) & np.concatenate([[False], h[1:] == h[:-1]]), cuts) > 0
-        shared = (least >> shift) != (most >> shift)
-        found = np.repeat(np.where(marked, 2, np.where(~shared, -1, np.where(~several, 0, np.where(size > GROUP, 2, 1)))), size)
-        found[pn == 0] = -1
-        found[(found == 0) & (np.repeat(least, size) >> shift == doc >> shift)] = -1
-        for kind in (0, 1, 2):
-            at = np.flatnonzero(found == kind)
-            for k in range(0, len(at), 1 << 16):
-                one = at[k : k + (1 << 16)]
-                yield rows(kind, h[one], s[one], doc[one], pn[one])
+        h, s, doc, pn, cuts = gathered()
+        shared = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
+        much = large(h, s, pn, cuts)
+        found = np.repeat(np.where(much, 2, np.where(shared, 1, 0)), np.diff(np.append(cuts, len(h))))
+        for kind in (1, 2):
+            yield from of_runs(kind, *(x[(found == kind) & (pn > 0)] for x in (h, doc, pn)))
 
     placed = _placed_runs(texts, length, places)
-    return placed.repartitionById(places, F.col("place")).mapInArrow(meet, "kind int, h long, s long, doc long, a long, n int")
+    return placed.repartitionById(places, F.col("place")).mapInArrow(meet, "kind int, h long, doc long, a long, n int")
+
 
+_STRINGS = "place int, what int, n long, first_doc long, h binary, doc binary, a binary, size binary, s binary"
 
-def _run_bytes(column: pa.Array, runs: pa.ListArray) -> Iterator[tuple]:
-    """Per block: first and end row, bytes, and of each run its row, byte in the block, byte in the text, windows, minimizer."""
-    offsets = runs.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    flat = runs.flatten()
-    pn, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pn", "h"))
-    for i, j, b, off in blocks(column, HASH_BYTES):
-        own = slice(offsets[i], offsets[j])
-        row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
-        if len(row):
-            at = pn[own] >> 8
-            yield i, j, b, row, off[row] + at, at, pn[own] & 255, h[own]
 
+def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of ``raw``, one after the other."""
+    return raw[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, s, docs, starts): equal strings of one minimizer in a block are one row with all their places."""
+
+def _packed_strings(what: int, place: np.ndarray, h: np.ndarray, doc: np.ndarray, a: np.ndarray, size: np.ndarray, text: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each place; ``text`` has the strings one after the other."""
+    order = np.lexsort((h, place))
+    if text is not None:
+        text = _gathered(text, (np.cumsum(size) - size)[order], size[order])
+    place, h, doc, a, size = (x[order] for x in (place, h, doc, a, size))
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    ends, codec, at = np.cumsum(size), pa.Codec("zstd", 1), 0
+    rows: list[list] = [[] for _ in range(9)]
+    for i, j in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+        base, end = int(doc[i:j].min()), int(ends[j - 1])
+        packed = codec.compress(np.ascontiguousarray(text[at:end]), asbytes=True) if text is not None else None
+        at = end
+        values = (int(place[i]), what, j - i, base, _planes(np.diff(h[i:j], prepend=0)), _planes(doc[i:j] - base), _planes(a[i:j]), _planes(size[i:j]), packed)
+        for column, v in zip(rows, values, strict=True):
+            column.append(v)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in _STRINGS.split(", ")])
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int, places: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings by the place of their key, and settled spans anywhere.
+
+    A minimizer's runs are one string each under the minimizer; windows that are
+    dealt singly are strings under their own hash, and a task sends but one place
+    of each.
+    """
+    singles: list[tuple[np.ndarray, ...]] = []
+    whole: list[tuple[np.ndarray, ...]] = []
+
+    def place_of(key: np.ndarray) -> np.ndarray:
+        return (mix(key.view(np.uint64)) % np.uint64(places)).astype(np.int64)
+
+    def single_windows() -> Iterator[pa.RecordBatch]:
+        text, doc, at, key = (np.concatenate(c) for c in zip(*singles, strict=True))
+        singles.clear()
+        order = np.lexsort((doc, key))
+        text, doc, at, key = text[order], doc[order], at[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        rep = np.repeat(first, np.diff(np.append(first, len(key))))
+        again = (doc != doc[rep]) & (text == text[rep]).all(axis=1)
+        if again.any():
+            d, a, b = _merged(doc[again], at[again], at[again] + length)
+            yield _packed_strings(_SETTLED, place_of(d * 1_000_003 + a), a * 0, d, a, b - a, None)
+        left = np.flatnonzero(~again)
+        yield _packed_strings(_PLACED, place_of(key[left]), key[left], doc[left], at[left], np.full(len(left), length), text[left].ravel())
+
+    def runs_so_far() -> Iterator[pa.RecordBatch]:
+        key, doc, at, n, text = (np.concatenate(c) for c in zip(*whole, strict=True))
+        whole.clear()
+        yield _packed_strings(_PLACED, place_of(key), key, doc, at, n, text)
+
+    size = held = 0
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j, b, row, start, at, count, h in _run_bytes(batch.column(1), batch.column(2)):
-            raw, ends = b.tobytes(), start + count + length - 1
-            place: dict[tuple[int, bytes], list[int]] = {}
-            for x, (k, s, e) in enumerate(zip(h.tolist(), start.tolist(), ends.tolist(), strict=True)):
-                place.setdefault((k, raw[s:e]), []).append(x)
-            order = np.array([x for p in place.values() for x in p], np.int64)
-            cuts = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in place.values()])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k for k, _ in place], pa.int64()), pa.array([s for _, s in place], pa.binary()),
-                pa.ListArray.from_arrays(cuts, pa.array(keys[i:j][row[order]])), pa.ListArray.from_arrays(cuts, pa.array(at[order])),
-            ], ["h", "s", "docs", "starts"])
+        batch = batch.filter(pc.is_valid(batch.column("__runs")))
+        if not batch.num_rows:
+            continue
+        keys, runs = batch.column("__key").to_numpy(zero_copy_only=False), batch.column("__runs")
+        offsets = runs.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        flat = runs.flatten()
+        pn, minimizer, alone = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pn", "h", "alone"))
+        for i, j, b, off in blocks(batch.column("text"), HASH_BYTES):
+            own = slice(offsets[i], offsets[j])
+            row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
+            if not len(row):
+                continue
+            doc, place, count, h, one = keys[i:j][row], pn[own] >> 8, pn[own] & 255, minimizer[own], alone[own]
+            start = off[row] + (place & ((1 << _PLACE_BITS) - 1))
+            if one.any():
+                n = count[one]
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                p = np.repeat(start[one], n) + inner
+                singles.append((np.lib.stride_tricks.sliding_window_view(b, length)[p], np.repeat(doc[one], n), np.repeat(place[one], n) + inner, window_hash(b, length)[p].view(np.int64)))
+                size += len(p)
+                if size >= SINGLES:
+                    yield from single_windows()
+                    size = 0
+            x = np.flatnonzero(~one)
+            if len(x):
+                n = count[x] + (length - 1)
+                whole.append((h[x], doc[x], place[x], n, _gathered(b, start[x], n)))
+                held += len(whole[-1][-1])
+                if held >= PACK_BYTES:
+                    yield from runs_so_far()
+                    held = 0
+    if size:
+        yield from single_windows()
+    if held:
+        yield from runs_so_far()
 
 
 def first_documents(lanes: list[list[bytes]], firsts: list[list[int]], length: int) -> list[list[np.ndarray]]:
@@ -303,14 +415,14 @@ def first_documents(lanes: list[list[bytes]], firsts: list[list[int]], length: i
     return out
 
 
-def _may_share(texts: list[bytes], minimizer: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings can hold a window that another string of the same minimizer holds too.
+def _may_share(texts: list[bytes], minimizer: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What part of each string to sort with which others: a label of the set, the first byte and the end of the part.
 
-    A window has at least half of its bytes outside the minimizer's gram on one
-    side of it, so strings that share one agree there. Strings that hold the gram
-    more than once, and those beside them, always stay.
+    Windows whose minimizer stands ``STEP`` neighbouring places deep in them share
+    the bytes around it; where no other string has those bytes, no other holds
+    such a window. Strings of a minimizer that one of them holds more than once
+    are one set of whole strings.
     """
-    side = (length - GRAM) // 2
     size = np.array([len(x) for x in texts])
     start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -320,115 +432,119 @@ def _may_share(texts: list[bytes], minimizer: np.ndarray, length: int) -> np.nda
     times = np.bincount(name[at], minlength=len(texts))
     place = np.zeros(len(texts), np.int64)
     place[name[at[::-1]]] = at[::-1]
-    _, lane = np.unique(minimizer, return_inverse=True)
-    odd = np.bincount(lane, weights=times != 1) > 0
-    keep = odd[lane]
-    for a, z in ((place - side, place), (place + GRAM, place + GRAM + side)):
-        ok = np.flatnonzero((a >= start) & (z <= start + size) & ~odd[lane])
+    _, one, lane = np.unique(minimizer, return_index=True, return_inverse=True)
+    odd = (np.bincount(lane, weights=times != 1) > 0)[lane]
+    label = np.where(odd, one[lane], np.arange(len(texts)))
+    begin, end = np.where(odd, start, start + size), np.where(odd, start + size, start)
+    sets = []
+    for least in range(0, length - GRAM + 1, STEP):
+        most = min(least + STEP - 1, length - GRAM)
+        a, z = place - least, place - most + length  # the bytes that all such windows have
+        ok = np.flatnonzero((a >= start) & (z <= start + size) & ~odd)
         if len(ok):
-            key = mix(slice_hash(flat, a[ok], z[ok]) ^ mix(lane[ok].astype(np.uint64) + np.uint64(1)))
-            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            keep[ok[count[back] > 1]] = True
-    return keep
-
-
-def _group_windows(lane: list[int], texts: list[bytes], first: np.ndarray, found: np.ndarray, base: np.ndarray, windows: np.ndarray, length: int) -> None:
-    """Fills in the smallest document of each window of very many strings by comparing the windows themselves."""
-    x = np.array(lane)
-    place = np.concatenate([base[n] + np.arange(windows[n]) for n in lane])
-    whole = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(texts[n], np.uint8), length) for n in lane])
-    _, same = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, length))).ravel(), return_inverse=True)
-    least = np.full(same.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, same, np.repeat(first[x], windows[x]))
-    found[place] = least[same]
-
-
-def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int, shift: int) -> Iterator[pa.RecordBatch]:
-    """(doc, a, b) of the windows that a smaller document holds too; a partition has all rows of its minimizers."""
-    whole = [b for b in batches if b.num_rows]
-    if not whole:
+            _, back, count = np.unique(mix(slice_hash(flat, a[ok], z[ok]) ^ mix(lane[ok].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+            several = count[back] > 1
+            ok, back = ok[several], back[several]
+            begin[ok] = np.minimum(begin[ok], np.maximum(start[ok], place[ok] - most))
+            end[ok] = np.maximum(end[ok], np.minimum(start[ok] + size[ok], place[ok] - least + length))
+            sets.append((ok, back, len(count)))
+    while sets:
+        before = label.copy()
+        for ok, back, n in sets:
+            smallest = np.full(n, len(texts))
+            np.minimum.at(smallest, back, label[ok])
+            label[ok] = smallest[back]
+        if (label == before).all():
+            break
+    return label, begin - start, end - start
+
+
+def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(doc, a, b) of the windows that a smaller document holds too; a partition has all rows of its keys.
+
+    Equal strings of a key have one name. Where a key has one name, the smallest
+    document settles all its windows; the names of other keys are suffix-sorted.
+    """
+    codec, parts = pa.Codec("zstd", 1), []
+    for batch in batches:
+        for r in batch.to_pylist():
+            n = r["n"]
+            h, doc, at, size = np.cumsum(_from_planes(r["h"], n)), _from_planes(r["doc"], n) + r["first_doc"], _from_planes(r["a"], n), _from_planes(r["size"], n)
+            if r["what"] == _SETTLED:
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(at + size)], ["doc", "a", "b"])
+            else:
+                parts.append((h, doc, at, size, np.frombuffer(codec.decompress(r["s"], int(size.sum()), asbytes=True), np.uint8)))
+    if not parts:
+        return
+    h, doc, at, size, raw = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    start = np.cumsum(size) - size
+    digest = np.concatenate([slice_hash(raw[start[k] : start[k] + int(size[k : k + PART].sum())], start[k : k + PART] - start[k], start[k : k + PART] - start[k] + size[k : k + PART]) for k in range(0, len(h), PART)])
+    order = np.lexsort((doc, digest, h))
+    h, doc, at, size, start, digest = (x[order] for x in (h, doc, at, size, start, digest))
+    same = np.flatnonzero((h[1:] == h[:-1]) & (digest[1:] == digest[:-1]) & (size[1:] == size[:-1])) + 1
+    same = same[_equal(raw, start[same], start[same - 1], size[same])]
+    new = np.ones(len(h), bool)
+    new[same] = False
+    name = np.cumsum(new) - 1
+    named = np.flatnonzero(new)  # rows are in order of document, so a name's first row has its smallest one
+    lane = np.flatnonzero(np.concatenate([[True], h[named[1:]] != h[named[:-1]]]))
+    names_of = np.diff(np.append(lane, len(named)))
+    single = np.repeat(names_of == 1, names_of)[name]
+    first = doc[named]
+    x = np.flatnonzero(single & (first[name] < doc))
+    if len(x):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(doc[x], at[x], at[x] + size[x])], ["doc", "a", "b"])
+    many = np.flatnonzero(np.repeat(names_of > 1, names_of))  # names
+    if not len(many):
         return
-    table = pa.Table.from_batches(whole).combine_chunks()
-    h, strings = table.column("h").to_numpy(), table.column("s").to_pylist()
-    docs = table.column("docs").combine_chunks()
-    docs = docs if isinstance(docs, pa.ListArray) else docs.chunk(0)
-    starts = table.column("starts").combine_chunks()
-    starts = starts if isinstance(starts, pa.ListArray) else starts.chunk(0)
-    cuts = docs.offsets.to_numpy().astype(np.int64)
-    cuts = cuts - cuts[0]
-    doc, start = docs.flatten().to_numpy(), starts.flatten().to_numpy()
-    least = np.minimum.reduceat(doc, cuts[:-1])
-    names: dict[tuple[int, bytes], int] = {}
-    row_name = np.array([names.setdefault(k, len(names)) for k in zip(h.tolist(), strings, strict=True)])
-    first = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(first, row_name, least)
-    texts = [s for _, s in names]
-    keep = _may_share(texts, np.array([k for k, _ in names], np.int64), length)
+    texts = [raw[start[r] : start[r] + size[r]].tobytes() for r in named[many].tolist()]
+    label, begin, end = (x.tolist() for x in _may_share(texts, h[named[many]], length))
+    windows = size[named[many]] - length + 1
+    base = np.cumsum(windows) - windows
+    found = np.repeat(first[many], windows)
     lanes: dict[int, list[int]] = {}
-    for n, (k, _) in enumerate(names):
-        if keep[n]:
+    for n, k in enumerate(label):
+        if end[n] > begin[n]:
             lanes.setdefault(k, []).append(n)
-    windows = np.array([len(s) for s in texts]) - length + 1
-    base = np.cumsum(windows) - windows
-    found = np.repeat(first, windows)
-    for x in lanes.values():
-        if len(x) > SORTED:
-            _group_windows(x, texts, first, found, base, windows, length)
-    several = sorted((x for x in lanes.values() if 1 < len(x) <= SORTED), key=lambda x: sum(len(texts[n]) for n in x))
-    at = 0
-    while at < len(several):
-        end, size = at, 0
-        while end < len(several) and (end == at or size < 1 << 19):
-            size += sum(len(texts[n]) for n in several[end])
-            end += 1
-        part = several[at:end]
-        got = first_documents([[texts[n] for n in x] for x in part], [[first[n] for n in x] for x in part], length)
-        for x, y in zip(part, got, strict=True):
+    several = sorted((x for x in lanes.values() if len(x) > 1), key=lambda x: sum(end[n] - begin[n] for n in x))
+    i = 0
+    while i < len(several):
+        j, held = i, 0
+        while j < len(several) and (j == i or held < 1 << 19):
+            held += sum(end[n] - begin[n] for n in several[j])
+            j += 1
+        got = first_documents([[texts[n][begin[n] : end[n]] for n in x] for x in several[i:j]], [[first[many[n]] for n in x] for x in several[i:j]], length)
+        for x, y in zip(several[i:j], got, strict=True):
             for n, f in zip(x, y, strict=True):
-                found[base[n] : base[n] + windows[n]] = f
-        at = end
-    name = np.repeat(row_name, np.diff(cuts))
-    step = max(1, (1 << 20) // RUN)
-    for at in range(0, len(doc), step):
-        n, d, s = name[at : at + step], doc[at : at + step], start[at : at + step]
+                found[base[n] + begin[n] : base[n] + begin[n] + len(f)] = f
+        i = j
+    rows = np.flatnonzero(~single)
+    of_many = np.cumsum(np.repeat(names_of > 1, names_of)) - 1  # by name
+    for k in range(0, len(rows), (1 << 20) // RUN):
+        r = rows[k : k + (1 << 20) // RUN]
+        n = of_many[name[r]]
         count = windows[n]
         place = np.repeat(np.arange(len(n)), count)
         inner = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        again = (found[base[n][place] + inner] >> shift) < (d[place] >> shift)
-        before = np.concatenate([[False], again[:-1]]) & (inner > 0)
-        after = np.concatenate([again[1:], [False]]) & (inner < count[place] - 1)
-        i, j = np.flatnonzero(again & ~before), np.flatnonzero(again & ~after)
-        if len(i):
-            p = place[i]
-            yield pa.RecordBatch.from_arrays([pa.array(d[p]), pa.array(s[p] + inner[i]), pa.array(s[p] + inner[j] + length)], ["doc", "a", "b"])
-
-
-def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc, a): a 128-bit digest of each window of the runs."""
-    half = length // 2
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j, b, row, start, at, count, _ in _run_bytes(batch.column(1), batch.column(2)):
-            one, two = window_hash(b, length), window_hash(b, half)
-            place = np.repeat(np.arange(len(row)), count)
-            inner = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-            p = start[place] + inner
-            w2 = mix(two[p] * np.uint64(0x9E3779B97F4A7C15) + two[p + length - half])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[p].view(np.int64)), pa.array(w2.view(np.int64)), pa.array(keys[i:j][row[place]]), pa.array(at[place] + inner)], ["w1", "w2", "doc", "a"]
-            )
-
-
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with a long ``__key`` that no two rows share, and how many low bits of it are not the id."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("__key"))
-    if ids.filter("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return docs.withColumn("__key", F.col("doc_id").cast("long")), 0
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
-    row = F.row_number().over(within) - 1
-    return docs.withColumn("__key", F.col("doc_id").cast("long") * (1 << _ROW_BITS) + row), _ROW_BITS
+        again = np.flatnonzero(found[base[n][place] + inner] < doc[r][place])
+        if len(again):
+            a = at[r][place[again]] + inner[again]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(doc[r][place[again]], a, a + length)], ["doc", "a", "b"])
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], int]:
+    """``docs`` with ``__key``, its id, and where ids repeat ``__row``, which tells rows of one id apart; these names; the bytes of all texts."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__key"), F.octet_length("text").alias("n"))
+    per = ids.groupBy("__key").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most, size = per.agg(F.max(F.when(F.col("__key").isNotNull(), F.col("rows"))), F.sum("n")).first()
+    keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    if (most or 0) < 2:
+        return keyed, ["__key"], size or 0
+    if most > 1 << (63 - 8 - _PLACE_BITS):
+        raise ValueError(f"a doc_id has {most} rows")
+    within = Window.partitionBy("__key").orderBy(F.xxhash64(F.col("text").cast("string")))
+    return keyed.withColumn("__row", F.when(F.col("__key").isNull(), F.lit(0)).otherwise(F.row_number().over(within) - 1).cast("long")), ["__key", "__row"], size or 0
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -437,35 +553,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte of a text is removed if a ``length``-byte string that covers it also
     starts in a row with a smaller doc_id. Strings are judged on the input and
     never cross rows. A null or empty text keeps nothing; a text shorter than
-    ``length`` is kept. Rows with the same doc_id do not count against each other
-    (ids up to 2**43 then). A null doc_id is neither judged nor a source. Columns
-    of the result's names are replaced, all others stay.
+    ``length`` is kept. Rows with the same doc_id do not count against each other;
+    an id may have up to 32,768 rows, more raise a ValueError. A null doc_id is
+    neither judged nor a source. Columns of the result's names are replaced, all
+    others stay.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans")
-    rows, shift = _numbered(docs.withColumn("text", F.col("text").cast("string")))
-    texts = rows.select("__key", "text")
-    met = stored(_met_runs(texts, length, shift), release=True)
-    whole = [F.col("doc"), F.col("a"), (F.col("a") + F.col("n") + (length - 1)).alias("b")]
-    spans = met.filter("kind = 0").select(*whole)
-    kinds = {r["kind"] for r in met.select("kind").distinct().collect()}
-
-    def with_runs(which: DataFrame) -> DataFrame:
-        runs = which.groupBy("doc").agg(F.collect_list(F.struct((F.col("a") * 256 + F.col("n")).alias("pn"), "h")).alias("runs"))
-        return texts.join(runs.hint("shuffle_hash"), texts["__key"] == runs["doc"]).select("__key", "text", "runs")
-
-    if 1 in kinds:
-        strings = with_runs(met.filter("kind = 1")).mapInArrow(lambda batches: _strings(batches, length), "h long, s binary, docs array<long>, starts array<long>")
-        spans = spans.unionByName(strings.repartition("h").mapInArrow(lambda batches: _sorted_spans(batches, length, shift), "doc long, a long, b long"))
-    if 2 in kinds:
-        hot = met.filter("kind = 2")
-        per = hot.groupBy("h").agg(F.min("doc").alias("least"), (F.min("s") == F.max("s")).alias("equal"))
-        smaller = F.shiftright("least", shift) < F.shiftright("doc", shift)
-        spans = spans.unionByName(hot.join(per.filter("equal"), "h").filter(smaller).select(*whole))
-        windows = with_runs(hot.join(per.filter("not equal").select("h"), "h", "left_semi")).mapInArrow(lambda batches: _window_digests(batches, length), "w1 long, w2 long, doc long, a long")
-        least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-        again = windows.join(least, ["w1", "w2"]).filter(smaller)
-        spans = spans.unionByName(again.select("doc", "a", (F.col("a") + length).alias("b")))
-    found = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    rows, keys, size = _numbered(docs.withColumn("text", F.col("text").cast("string")))
+    places = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PLACE_BYTES))
+    met = stored(_met_runs(rows.select("text", *keys), length, places))
+
+    def by_row(df: DataFrame, what: Column, name: str) -> DataFrame:
+        """All ``what`` of a row as one list."""
+        df = df.withColumnRenamed("doc", "__key")
+        df = df.withColumn("__row", F.shiftright("a", _PLACE_BITS)) if len(keys) > 1 else df
+        return df.groupBy(*keys).agg(F.collect_list(what).alias(name))
+
+    runs = by_row(met.filter("kind > 0"), F.struct((F.col("a") * 256 + F.col("n")).alias("pn"), "h", (F.col("kind") == 2).alias("alone")), "__runs")
+    # both joins deal out the same rows by the same key, with all columns, so that Spark deals them out once
+    strings = rows.join(runs, keys, "left").mapInArrow(lambda batches: _strings(batches, length, places), _STRINGS).repartitionById(places, F.col("place"))
+    spans = strings.mapInArrow(lambda batches: _sorted_spans(batches, length), "doc long, a long, b long").unionByName(
+        met.filter("kind = 0").select("doc", "a", (F.col("a") + F.col("n") + (length - 1)).alias("b"))
+    )
+    low = F.lit((1 << _PLACE_BITS) - 1)
+    found = by_row(spans, F.struct(F.col("a").bitwiseAND(low).alias("a"), F.col("b").bitwiseAND(low).alias("b")), "found")
     schema = StructType([
         *rows.select(*docs.columns).schema.fields, StructField("kept", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
@@ -503,8 +614,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [*names, "kept", "n_bytes", "n_removed", "spans"],
             )
 
-    if not shift and sorted(names) == ["doc_id", "text"]:  # the texts as the joins above deal them: dealt once
-        ended = texts.join(found.hint("shuffle_hash"), texts["__key"] == found["doc"], "left").withColumnRenamed("__key", "doc_id")
-    else:
-        ended = rows.join(found.hint("shuffle_hash"), rows["__key"] == found["doc"], "left")
-    return ended.select(*names, "found").mapInArrow(cut, schema)
+    return rows.join(found, keys, "left").select(*names, "found").mapInArrow(cut, schema)

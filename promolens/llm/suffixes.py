@@ -29,16 +29,18 @@ def _grouped(symbol: np.ndarray, lane: np.ndarray, first: np.ndarray, last: np.n
     group[order] = np.repeat(cuts, size[cuts])
     start_of = np.zeros(n + 1, np.int32)  # by a group's last slot
     start_of[cuts + size[cuts] - 1] = cuts
+    # a group's suffixes stand in its slots
+    at_slot, slot_of = order.astype(np.int32), np.empty(n, np.int32)
+    slot_of[order] = np.arange(n, dtype=np.int32)
     group[last] = -1  # a string's end is below everything
     group[0] = -1
     previous = np.arange(-1, n - 1, dtype=np.int32)
     current = start_of[last]
-    alive = current > first
-    waiting = np.flatnonzero(alive[lane] & (group >= 0)).astype(np.int32)
-    step = 0
-    while len(waiting):
-        found = group[waiting] == current[lane[waiting]]
-        members = waiting[found]
+    mark = np.zeros(n, np.int8)
+    going = np.flatnonzero(current > first)
+    while len(going):
+        many = size[current[going]]
+        members = at_slot[np.repeat(current[going] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
         at, own = previous[members], group[members]
         while True:
             on = group[at] >= own
@@ -60,20 +62,24 @@ def _grouped(symbol: np.ndarray, lane: np.ndarray, first: np.ndarray, last: np.n
             parts = np.flatnonzero(new_part)
             counts = np.diff(np.concatenate([parts, [k]]))
             starts = above[parts] + size[above[parts]] - (ends[parts] - parts)
-            size[above[whole]] -= moved
+            slots = np.repeat(above[whole] + size[above[whole]] - moved - whole, moved) + np.arange(k)
+            size[above[whole]] -= moved  # what is left of each old group
             rest = above[whole][size[above[whole]] > 0]
             start_of[rest + size[rest] - 1] = rest
             size[starts] = counts
             start_of[starts + counts - 1] = starts
             group[parents] = np.repeat(starts, counts)
-        going = np.flatnonzero(alive)
+            # the parents take their groups' last slots, in order; whoever stood there takes theirs
+            left = slot_of[parents]
+            mark[slots] |= 1
+            mark[left] |= 2
+            free, others = left[mark[left] == 2], at_slot[slots[mark[slots] == 1]]
+            mark[slots] = mark[left] = 0
+            at_slot[free], slot_of[others] = others, free
+            at_slot[slots], slot_of[parents] = parents, slots
         below = current[going] - 1
-        alive[going[below <= first[going]]] = False
-        current[going] = start_of[np.maximum(below, first[going])]
-        step += 1
-        waiting = waiting[~found]
-        if step % 16 == 0:
-            waiting = waiting[alive[lane[waiting]]]
+        going, below = going[below > first[going]], below[below > first[going]]
+        current[going] = start_of[below]
     return group, previous
 
 
