@@ -45,6 +45,8 @@ SHINGLE = 5
 MISS = 1e-8
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 18
+#: Rows of the second comparison that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _NONE = np.uint64(2**64 - 1)
 #: Pairs whose unions are sketched together.
 PAIRS = 1 << 13
@@ -264,7 +266,10 @@ def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int) -> D
     every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     whole = sized.join(parts, "leader").select("leader", "own", every_part.alias("part"), "doc_id", F.lit(1).alias("first"))
     keys = ["leader", "own", "part"]
-    rows = with_texts(asked.unionByName(whole), keys).select(*keys, "first", "doc_id", "text")
+    dealt = stored(asked.unionByName(whole))
+    if dealt.count() <= BROADCAST_ROWS:  # five numbers a row: the texts need not be dealt out once more
+        dealt = F.broadcast(dealt)
+    rows = with_texts(dealt, keys).select(*keys, "first", "doc_id", "text")
     return links.unionByName(rows.mapInPandas(compare_rest, "a long, b long"))
 
 
