@@ -104,4 +104,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Plain SQL for the queries that it can express: all pairs, all windows, reachability. The others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ grams AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM w),
+ shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM grams),
+ sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ near AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept FROM documents JOIN least ON documents.doc_id = least.a LEFT JOIN sizes ON sizes.doc_id = documents.doc_id""",
+    "op5_hyperplane_near_duplicates": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+ links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN degree ON vec_id = degree.a""",
+    "op8_suffix_grouping": """WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents), n AS (SELECT doc_id, t, octet_length(t) AS n FROM d),
+ windows AS MATERIALIZED (SELECT doc_id, i, md5(array_slice(t, i + 1, i + 50)) AS w FROM (SELECT doc_id, t, unnest(range(0, n - 49)) AS i FROM n)),
+ first AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY 1 HAVING count(*) > 1),
+ again AS (SELECT doc_id, i FROM windows JOIN first USING (w) WHERE least < doc_id),
+ marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM again),
+ numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+ spans AS MATERIALIZED (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY 1, 2),
+ gaps AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 1099511627776) AS b, k FROM (SELECT doc_id, k, a, b FROM spans UNION ALL SELECT doc_id, 0, -1, 0 FROM n)),
+ kept AS (SELECT doc_id, string_agg(hex(array_slice(t, gaps.a + 1, least(gaps.b, n.n))), '' ORDER BY k) AS h FROM gaps JOIN n USING (doc_id) GROUP BY 1),
+ removed AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM spans GROUP BY 1)
+ SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM n JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+}
