@@ -16,7 +16,7 @@ from promolens.llm.packing import harmonic_pack
 from promolens.llm.pii import find_pii, masked
 from promolens.llm.queries import table, tokenizer_file
 from promolens.llm.repeats import remove_repeats
-from promolens.llm.shared import stored
+from promolens.llm.shared import drop_stored, stored
 
 
 def _with_text(docs: DataFrame, text: F.Column, columns: list[str]) -> DataFrame:
@@ -27,20 +27,40 @@ def _with_text(docs: DataFrame, text: F.Column, columns: list[str]) -> DataFrame
     return out.select(*columns)
 
 
+#: A text of at least so many characters whose cosine with every language is below this is in none of them: three
+#: standard deviations of unrelated vectors (1 / sqrt(1024) each). Shorter texts say too little to be rejected.
+LONG_TEXT, MIN_SCORE = 200, 0.1
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go."""
+    """Documents in no learned language go (no text, no letter, or long and like none); the others get theirs in ``lang``.
+
+    Without any labelled document nothing is learned: then only documents without
+    a letter go and ``lang`` stays. Nulls in other columns stay, repeated rows are
+    judged one by one.
+    """
     profiles = fit_profiles(docs, ~held_out(docs["doc_id"]))
-    return predict_language(docs, profiles).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    if not profiles:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict_language(docs, profiles)
+    foreign = (F.length("text") >= LONG_TEXT) & (F.col("score") < MIN_SCORE)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & ~foreign).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    dropped = minhash_near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (similarity of 0.8 or more) the document with the smallest id stays.
+
+    Rows without a text or an id stay; rows that share an id stay or go together.
+    """
+    dropped = minhash_near_duplicates(docs, num=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; documents that are left blank go."""
+    """Passages that an earlier document holds are cut out; documents that are left blank go.
+
+    Rows without an id are neither judged nor a source, rows of one id not against each other.
+    """
     cut = remove_repeats(docs)
     # a cut may fall into a character: what is left of it goes too, unless the text had such marks before
     valid = F.make_valid_utf8(F.col("kept").cast("string"))
@@ -51,13 +71,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; a null text stays null. All rows stay."""
     found = find_pii(docs)
     return _with_text(found, masked(F.col("text"), F.col("pii")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024."""
+    """Token sequences of at most 1024; a null text is the end id alone, repeated rows are packed one by one."""
     return harmonic_pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -77,7 +97,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if k:
+                drop_stored(before)
     return docs
