@@ -4,7 +4,9 @@ Word uni- and bigrams of every document are hashed into ``buckets`` counts. Two
 smoothed multinomials are estimated over those buckets: one from trusted
 documents (the target), one from the whole raw corpus. A document's score is the
 mean over its n-grams of log p_target - log p_raw, so it does not depend on
-length; it is kept if the score reaches ``threshold`` and the base rules hold.
+length; it is kept if the score reaches the threshold and the base rules hold.
+The threshold is the one that parts the labelled good documents from the labelled
+bad ones best; a good one is scored without its own share of the target.
 
 The two passes over the texts move no text: the first sends at most ``buckets``
 rows of counts from each task, the second only reads the finished table of
@@ -13,6 +15,7 @@ rows of counts from each task, the second only reads the finished table of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +30,17 @@ BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
 #: Pseudo-counts of the target model.
 SMOOTHING = 1000.0
-#: Between the lowest clean and the highest junk scores of the labelled rows.
+#: Taken where good or bad labels are missing.
 THRESHOLD = -0.08
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> list[int]:
-    """Ids of documents labelled good and not toxic: the ``most`` first by hash of the id."""
-    rows = (
-        labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-        .select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    )
+def labelled_ids(labels: DataFrame, good: bool, most: int = MAX_TRUSTED) -> list[int]:
+    """Ids of documents labelled good and not toxic, or bad: the ``most`` first by hash of the id."""
+    which = "quality = 1 and coalesce(toxic, 0) = 0" if good else "quality = 0"
+    rows = labels.filter(f"{which} and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     return sorted(r[0] for r in rows)
 
 
@@ -73,14 +73,12 @@ def ngram_counts(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) ->
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p_target - log p_raw per bucket; all zero when no document is trusted.
+def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p_target - log p_raw per bucket of counts; all zero when no document is trusted.
 
     The target is smoothed by ``smoothing`` n-grams drawn like the raw corpus.
     """
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for bucket, r, t in counts.collect():  # at most ``buckets`` rows
-        raw[bucket], target[bucket] = r, t
+    buckets = len(raw)
     if not target.sum():
         return np.zeros(buckets)
     share = raw / raw.sum()
@@ -122,16 +120,65 @@ def measure(b: np.ndarray, off: np.ndarray, ratios: np.ndarray, threshold: float
     return [w.count, per_doc(w.inner & LEADING[b], off), per_doc(_SYMBOL[b], off), dup_lines, repeat, grams, score, failed, ~failed & (score >= threshold)]
 
 
-def llr_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, most_trusted: int = MAX_TRUSTED) -> DataFrame:
+def best_threshold(good: np.ndarray, bad: np.ndarray, default: float = THRESHOLD) -> float:
+    """The score from which on documents are kept: most good ones kept and bad ones not, as shares; of several the lowest.
+
+    It lies half-way between neighbouring scores. Without good or bad scores it is ``default``.
+    """
+    if not len(good) or not len(bad):
+        return default
+    cuts = np.unique(np.concatenate([good, bad]))
+    cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
+    kept = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
+    return float(cuts[np.argmax(np.round(kept + np.searchsorted(np.sort(bad), cuts) / len(bad), 12))])
+
+
+def fit_threshold(docs: DataFrame, good: list[int], bad: list[int], raw: np.ndarray, target: np.ndarray, default: float = THRESHOLD) -> float:
+    """``best_threshold`` of the labelled documents that the base rules do not reject; a score of each comes to the driver."""
+    if not good or not bad or not target.sum():
+        return default
+    trusted, ratios = np.array(good, np.int64), log_ratios(raw, target)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({*good, *bad})], "doc_id long")  # bounded by MAX_TRUSTED
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.isin(batch.column(0).to_numpy(zero_copy_only=False), trusted)
+            for i, j, b, off in blocks(batch.column(1)):
+                columns = measure(b, off, ratios, 0.0)
+                llr, failed = columns[6], columns[7]
+                doc, bucket = _buckets(Words(b, off), len(raw))
+                for d in np.flatnonzero(known[i:j]):
+                    own = bucket[doc == d]
+                    if len(own):
+                        used, times = np.unique(own, return_counts=True)
+                        rest = target.copy()
+                        rest[used] -= times
+                        llr[d] = log_ratios(raw, rest)[own].mean()
+                yield pa.RecordBatch.from_arrays([pa.array(known[i:j]), pa.array(llr), pa.array(failed)], ["good", "llr", "failed"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi")
+    scores = rows.mapInArrow(score, "good boolean, llr double, failed boolean").filter("not failed").toPandas()
+    known, llr = scores.good.to_numpy(bool), scores.llr.to_numpy(float)
+    return best_threshold(llr[known], llr[~known], default)
+
+
+def llr_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, most_trusted: int = MAX_TRUSTED) -> DataFrame:
     """One row per row of ``docs`` with base measures, the ratio and the verdict.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality and toxic; other
-    columns are ignored. A null or empty text has no words, fails the base rules
-    and scores 0. A null doc_id stays null and is never trusted. Repeated rows
-    each get a row. With no trusted document every score is 0 and the base rules
-    decide alone. The result is deterministic for given tables.
+    columns are ignored. ``threshold`` is fitted on at most ``most_trusted`` good
+    and as many bad documents where it is not given. A null or empty text has no
+    words, fails the base rules and scores 0. A null doc_id stays null and is never
+    trusted. Repeated rows each get a row. With no trusted document every score is
+    0 and the base rules decide alone. The result is deterministic for given tables.
     """
-    ratios = log_ratios(ngram_counts(docs, trusted_ids(labels, most_trusted), buckets), buckets)
+    good = labelled_ids(labels, True, most_trusted)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for bucket, r, t in ngram_counts(docs, good, buckets).collect():  # at most ``buckets`` rows
+        raw[bucket], target[bucket] = r, t
+    ratios = log_ratios(raw, target)
+    if threshold is None:
+        threshold = fit_threshold(docs, good, labelled_ids(labels, False, most_trusted), raw, target) if target.sum() else -math.inf
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
