@@ -45,6 +45,50 @@ def test_quality_separates(spark):
     assert kept == {k for k, _ in good}
 
 
+def test_quality_threshold_and_ratios_in_plain_loops(spark):
+    """The ratio, the scores without a document's own share, and the threshold, document by document."""
+    rng = np.random.default_rng(2)
+    words = {True: [f"good{k}" for k in range(60)], False: [f"bad{k}" for k in range(60)], None: [f"w{k}" for k in range(30)]}
+    rows, labelled = [], []
+    for k in range(90):
+        kind = k % 3 != 0
+        rows.append((k, " ".join(rng.choice(words[kind] if rng.random() < 0.6 else words[None]) for _ in range(rng.integers(12, 60)))))
+        if k < 60:
+            labelled.append((k, int(kind), 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        b = np.frombuffer(text.encode(), np.uint8)
+        return quality._buckets(quality.Words(b, np.array([0, len(b)])), quality.BUCKETS)[1].tolist()
+
+    raw, target = Counter(), Counter()
+    for k, t in rows:
+        raw.update(grams(t))
+        if k < 60 and k % 3:
+            target.update(grams(t))
+    n = sum(raw.values())
+
+    def score(t, own):
+        without = target - Counter(grams(t)) if own else target
+        m = sum(without.values())
+        logs = [np.log((without[g] + 1000 * raw[g] / n) / (m + 1000)) - np.log(raw[g] / n) for g in grams(t)]
+        return sum(logs) / len(logs)
+
+    fine = [k for k, t in rows if not (len(t.split()) < 10)]
+    repeated = {r["doc_id"] for r in quality.llr_quality(docs, labels).filter("base_failed").collect()}
+    good = sorted(score(rows[k][1], True) for k in fine if k < 60 and k % 3 and k not in repeated)
+    bad = sorted(score(rows[k][1], False) for k in fine if k < 60 and k % 3 == 0 and k not in repeated)
+    every = sorted({*good, *bad})
+    cuts = [every[0] - 1, *((a + b) / 2 for a, b in zip(every, every[1:])), every[-1] + 1]
+    best = max(cuts, key=lambda c: (round(sum(g >= c for g in good) / len(good) + sum(b < c for b in bad) / len(bad), 12), -c))
+    for r in quality.llr_quality(docs, labels).collect():
+        plain = score(rows[r["doc_id"]][1], False)
+        assert abs(r["llr"] - plain) < 1e-9
+        if abs(plain - best) > 1e-9:
+            assert r["kept"] == (plain >= best and not r["base_failed"])
+    assert quality.best_threshold(np.zeros(0), np.ones(3)) == quality.THRESHOLD
+
+
 def test_minhash_against_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(120)]
