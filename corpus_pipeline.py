@@ -7,7 +7,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolens.llm.langid import UNDETERMINED, fit_profiles, held_out, predict_language
@@ -19,10 +19,22 @@ from promolens.llm.repeats import remove_repeats
 from promolens.llm.shared import drop_stored, stored
 
 
-def _with_text(docs: DataFrame, text: F.Column, columns: list[str]) -> DataFrame:
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that are called like an operator's results renamed, and all columns by their own names again."""
+    taken, back = {c.lower() for c in docs.columns}, []
+    for c in docs.columns:
+        other = c
+        while other.lower() in results or other != c and other.lower() in taken:
+            other += "_"
+        docs = docs.withColumnRenamed(c, other) if other != c else docs
+        back.append(F.col(f"`{other}`").alias(c))
+    return docs, back
+
+
+def _with_text(docs: DataFrame, text: Column, columns: list[Column]) -> DataFrame:
     """``docs`` with another text, its length in ``n_chars``, and the given columns."""
     out = docs.withColumn("text", text)
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
 
@@ -42,9 +54,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = fit_profiles(docs, ~held_out(docs["doc_id"]))
     if not profiles:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    docs, columns = _aside(docs, "lang_pred", "score")
     found = predict_language(docs, profiles)
     foreign = (F.length("text") >= LONG_TEXT) & (F.col("score") < MIN_SCORE)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & ~foreign).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & ~foreign).withColumn("lang", F.col("lang_pred")).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,19 +74,21 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id are neither judged nor a source, rows of one id not against each other.
     """
+    docs, columns = _aside(docs, "kept", "n_bytes", "n_removed", "spans")
     cut = remove_repeats(docs)
     # a cut may fall into a character: what is left of it goes too, unless the text had such marks before
     valid = F.make_valid_utf8(F.col("kept").cast("string"))
     left = F.when(F.contains(F.col("text"), F.lit("\ufffd")), valid).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
     text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
-    out = _with_text(cut, text, [*docs.columns, "n_removed"])
-    return out.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    left_some = (F.col("n_removed") == 0) | (F.trim("__left") != "")
+    return _with_text(cut.withColumn("__left", text).filter(left_some), F.col("__left"), columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; a null text stays null. All rows stay."""
+    docs, columns = _aside(docs, "pii")
     found = find_pii(docs)
-    return _with_text(found, masked(F.col("text"), F.col("pii")), docs.columns)
+    return _with_text(found, masked(F.col("text"), F.col("pii")), columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
