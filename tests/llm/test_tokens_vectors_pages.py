@@ -165,6 +165,94 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(html.main_text(page), str)
 
 
+def random_tree(rng, depth=0):
+    """(tag, attributes, children or [(text, in a link)]) of a made page."""
+    if depth and (depth > 4 or rng.random() < 0.45):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            words = " ".join(str(rng.choice(["plain", "words", "and,", "some,", "more"])) for _ in range(rng.integers(1, 30)))
+            parts.append((words, bool(rng.random() < 0.25)))
+        return ("p", "", parts)
+    tag = str(rng.choice(["div", "section", "article", "nav", "blockquote", "div"])) if depth else "div"
+    attributes = str(rng.choice(["", "", ' class="sidebar left"', ' id="story"', ' role="banner"']))
+    return (tag, attributes, [random_tree(rng, depth + 1) for _ in range(rng.integers(1, 5))])
+
+
+def as_html(node):
+    tag, attributes, inner = node
+    body = " ".join(f"<a href=x>{t}</a>" if link else t for t, link in inner) if tag == "p" else "\n".join(map(as_html, inner))
+    return f"<{tag}{attributes}>{body}</{tag}>"
+
+
+def plain_scores(tree):
+    """The article by scoring the known tree, node by node."""
+    nodes = []  # parent, tag, own text, own link characters
+
+    def walk(node, parent):
+        tag, attributes, inner = node
+        if tag == "nav" or "sidebar" in attributes or "banner" in attributes:
+            return
+        k = len(nodes)
+        text = " ".join(t for t, _ in inner) if tag == "p" else ""
+        nodes.append((parent, tag, text, min(len(text), sum(len(t) for t, link in inner if link)) if tag == "p" else 0))
+        if tag != "p":
+            for child in inner:
+                walk(child, k)
+
+    nodes.append((-1, "", "", 0))
+    walk(tree, 0)
+    points = {}
+    for parent, tag, text, links in nodes:
+        if text:
+            own = (1 - links / len(text)) * (min(len(text) / 100, 3) + text.count(",") + min(len(text) / 25, 1))
+            for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+                if parent >= 0:
+                    points[parent] = points.get(parent, 0) + own * share
+                    parent = nodes[parent][0]
+    if not points:
+        return ""
+
+    def below(k):
+        return [j for j in range(k, len(nodes)) if j == k or any(j in x for x in [chain(j)] if k in x)]
+
+    def chain(j):
+        out = set()
+        while j >= 0:
+            out.add(j)
+            j = nodes[j][0]
+        return out
+
+    def density(k):
+        return sum(nodes[j][3] for j in below(k)) / max(1, sum(len(nodes[j][2]) for j in below(k)))
+
+    prior = {"article": 10, "div": 5, "section": 5, "blockquote": 3}
+    score = {k: (points.get(k, 0) + prior.get(nodes[k][1], 0)) * (1 - density(k)) for k in range(len(nodes))}
+    best = min(points, key=lambda k: (-score[k], k))
+    articles = [k for k in sorted(chain(best), reverse=True) if nodes[k][1] == "article"]
+    best = articles[0] if articles else best
+    kept = [best]
+    for k in range(1, len(nodes)):
+        if nodes[k][0] == nodes[best][0] and k != best and (k in points or nodes[k][2]):
+            size = sum(len(nodes[j][2]) for j in below(k))
+            if score[k] >= max(10, score[best] * 0.2) or nodes[k][1] == "p" and (size > 80 and density(k) < 0.25 or 25 < size <= 80 and density(k) == 0):
+                kept.append(k)
+    return "\n\n".join(t for k, (_, _, t, _) in enumerate(nodes) if t and any(x in chain(k) for x in kept))
+
+
+def test_main_text_against_plain_scoring():
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(600):
+        tree = random_tree(rng)
+        texts.append(html.main_text(as_html(tree)))
+        assert texts[-1] == plain_scores(tree)
+    assert sum(map(bool, texts)) > 250
+
+
+def test_pages_of_an_empty_table(spark):
+    assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages_table(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "x"), (1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "x"), (None, "v", "", "x")]
     out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
