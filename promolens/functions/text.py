@@ -16,8 +16,17 @@ def squash(c: Column) -> Column:
 
 
 def fingerprint_url(url: Column) -> Column:
-    """16 hex digits that ignore letter case, outer blanks and trailing slashes."""
-    return F.substring(F.sha1(F.lower(F.regexp_replace(F.trim(url), "/+$", ""))), 1, 16)
+    """16 hex digits that ignore letter case, outer white space and trailing slashes."""
+    return F.substring(F.sha1(F.lower(F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", ""))), 1, 16)
+
+
+#: Characters of titles in comparisons, digests and messages.
+COMPARISON_TITLE, DIGEST_TITLE, MESSAGE_TITLE = 40, 55, 60
+
+
+def shorten(c: Column, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.substring(c, 1, most)
 
 
 def canonical_url(base: Column, href: Column) -> Column:

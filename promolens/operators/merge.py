@@ -66,6 +66,18 @@ def merge_brochure_pages(current: DataFrame, incoming: DataFrame, as_of: datetim
     return merge_by_key(current, dedupe_first(pages, ["external_id"], ["page_number", "image_url"]), ["external_id"], keep=["created_at"], as_of=as_of)
 
 
+def merge_analyses(current: DataFrame, incoming: DataFrame, offers: DataFrame, as_of: datetime) -> DataFrame:
+    """Upsert analyses on offer_id for offers that are there; one analysis for each, the first by its response."""
+    known = incoming.join(offers.select(F.col("id").alias("offer_id")).distinct(), "offer_id", "left_semi")
+    return merge_by_key(current, dedupe_first(known, ["offer_id"], ["raw_response"]), ["offer_id"], keep=["created_at"], as_of=as_of)
+
+
+def merge_labels(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Upsert labels on offer and model version; of repeated ones the newest."""
+    keys = ["external_id", "model_version"]
+    return merge_by_key(current, dedupe_first(incoming, keys, [F.desc("classified_at"), "category", "subcategory"]), keys)
+
+
 def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not known yet."""
     return incoming.join(known.select(key), key, "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.querytext import BROCHURE_WORDS
+from promolens.functions.text import COMPARISON_TITLE, shorten
 from promolens.functions.vectors import cosine, dot, norm
 
 from .filters import currently_valid, like_any, optional_filters
@@ -147,4 +148,4 @@ def source_list(results: DataFrame, order: str = "rank", limit: int = 5) -> Data
 
 
 def comparison_rows(results: DataFrame, limit: int = 6) -> DataFrame:
-    return results.orderBy(F.desc("similarity"), "id").limit(limit).select(F.substring("title", 1, 40).alias("title"), "price", "discount_percent", "store", "deal_verdict")
+    return results.orderBy(F.desc("similarity"), "id").limit(limit).select(shorten(F.col("title"), COMPARISON_TITLE).alias("title"), "price", "discount_percent", "store", "deal_verdict")

@@ -162,12 +162,12 @@ def bargain_radar(offers: DataFrame, buckets: Sequence[str], minimum: float | No
     return rows.filter(~F.col("bucket").isin(*buckets) & (F.col("trust") == "trusted") & (F.col("eff") >= minimum)).orderBy(F.desc("eff"), "external_id").limit(limit)
 
 
-def feed_ids(*feeds: DataFrame, key: str = "external_id") -> DataFrame:
-    """The ids of the offers that any of several feeds shows, each once."""
-    every = feeds[0].select(key)
-    for feed in feeds[1:]:
-        every = every.unionByName(feed.select(key))
-    return every.distinct()
+def feed_ids(*feeds: DataFrame, key: str = "external_id", limit: int = 100) -> DataFrame:
+    """The ids of the offers that any of several feeds shows, each once: the first ``limit``, feed by feed in order of id."""
+    every = feeds[0].select(key, F.lit(0).alias("feed"))
+    for n, feed in enumerate(feeds[1:], 1):
+        every = every.unionByName(feed.select(key, F.lit(n).alias("feed")))
+    return every.groupBy(key).agg(F.min("feed").alias("feed")).orderBy("feed", key).limit(limit).select(key)
 
 
 def report_lists(offers: DataFrame, as_of: datetime) -> dict[str, DataFrame]:

@@ -11,12 +11,12 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolens.functions import prices, querytext, text, validity, vectors
+from promolens.functions import prices, querytext, taxonomy, text, validity, vectors
 from promolens.operators import alerts, history, labels, merge, search, stats
 from promolens.schema import OFFERS, align_schema, validate
 from promolens.streaming import jobs
 
-from .queries import _MATCHES, _VECTORS, _alerts, _cents, _matches, _offers, _read, _vector_offers, AS_OF, OFFERS_SQL, query
+from .queries import _MATCHES, _VECTORS, _alerts, _cents, _matches, _offers, _pick, _pick_col, _read, _vector_offers, AS_OF, OFFERS_SQL, query
 
 
 
@@ -272,9 +272,60 @@ def aligned_rows(spark, sf_dir):
     return align_schema(rows, OFFERS).select("external_id", _cents("price").alias("cents"), "store")
 
 
+#: Titles and categories with their buckets, written by hand.
+SAMPLES = (
+    ("Android Tablet 10 Zoll", None, "Elektronik & Multimedia", "Smartphone & Tablet"), ("Wodka 0,7 l", None, "Getränke", "Spirituosen"), ("Barilla Pasta", None, "Lebensmittel", "Grundnahrung & Konserven"),
+    ("Räucherlachs", None, "Lebensmittel", "Fisch"), ("Bohrmaschine 600 W", None, "Garten & Heimwerken", "Werkzeug & Heimwerken"), ("Babybrei Banane", None, "Baby & Kind", "Baby-Nahrung"),
+    ("Pampers Windeln", None, "Baby & Kind", "Windeln & Pflege"), ("Hundefutter Rind", None, "Tier", "Hund"), ("Katzenstreu", None, "Tier", "Katze"), ("Vogelfutter", None, "Tier", "Sonstige Tiere"),
+    ("Gartenstuhl Holz", None, "Garten & Heimwerken", "Gartenmöbel"), ("Waschmittel flüssig", None, "Haushalt & Reinigung", "Waschmittel"), ("Zahnpasta", None, "Drogerie & Kosmetik", "Körperpflege"),
+    ("Lippenstift rot", None, "Drogerie & Kosmetik", "Kosmetik & Make-up"), ("Fußball Größe 5", None, "Mode, Sport & Freizeit", "Sport & Fitness"), ("Fernseher 55 Zoll", None, "Elektronik & Multimedia", "TV & Audio"),
+    ("Kühlschrank", None, "Elektronik & Multimedia", "Haushaltsgeräte"), ("Winterreifen", None, "Sonstiges", "Auto & Mobilität"), ("Tiefkühlpizza", None, "Lebensmittel", "Tiefkühl"),
+    ("Gouda Käse", None, "Lebensmittel", "Milchprodukte & Käse"), ("Hähnchenbrust", None, "Lebensmittel", "Fleisch & Wurst"), ("Mineralwasser", None, "Getränke", "Wasser & Säfte"),
+    ("Rotwein trocken", None, "Getränke", "Wein & Sekt"), ("Filterkaffee", None, "Getränke", "Kaffee & Tee"), ("Xyz", "actimel", "Lebensmittel", "Milchprodukte & Käse"),
+    ("Xyz", "hund", "Tier", "Hund"), ("Xyz", "akku-rasenmaeher", "Garten & Heimwerken", "Gartenwerkzeug"), ("Xyz", "arzneimittel", "Drogerie & Kosmetik", "Gesundheit & Apotheke"),
+    ("Xyz", "ariel", "Haushalt & Reinigung", "Waschmittel"), ("Xyz", "adidas", "Mode, Sport & Freizeit", "Kleidung & Schuhe"), ("Xyz", "unbekannt", "Sonstiges", "Sonstige"), ("Bier Pils", "hund", "Getränke", "Bier"),
+)
+
+
+@query("sample_categories", f"SELECT p_partkey, {_pick(tuple(x[2] for x in SAMPLES), 'p_partkey')} AS bucket, {_pick(tuple(x[3] for x in SAMPLES), 'p_partkey')} AS subcategory FROM part")
+def sample_categories(spark, sf_dir):
+    """Each part under one of the sample titles and categories."""
+    title, category = (_pick_col(tuple(x[n] for x in SAMPLES), _k()) for n in (0, 1))
+    rows = _part(spark, sf_dir).select("p_partkey", title.alias("title"), category.alias("category"))
+    return rows.withColumn("pair", taxonomy.classify(F.col("title"), F.col("category"))).select("p_partkey", "pair.bucket", "pair.subcategory")
+
+
+@query("short_titles", "SELECT o_orderkey, left(t, 55) AS digest, left(t, 60) AS message FROM (SELECT o_orderkey, repeat('Angebot ' || o_orderkey || ' ', 9) AS t FROM orders)")
+def short_titles(spark, sf_dir):
+    title = F.repeat(F.concat(F.lit("Angebot "), _str("o_orderkey"), F.lit(" ")), 9)
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.shorten(title, text.DIGEST_TITLE).alias("digest"), text.shorten(title, text.MESSAGE_TITLE).alias("message"))
+
+
 # merges, history, alerts
 
 
+@query("merge_analyses", """WITH cur AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0), inc AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 2 = 0 AND p_size % 5 <> 0)
+ SELECT coalesce(cur.k, inc.k) AS offer_id, CASE WHEN inc.k IS NULL THEN 'alt' ELSE 'neu' END AS brand, inc.k IS NOT NULL AS updated FROM cur FULL JOIN inc ON cur.k = inc.k""")
+def merge_analyses(spark, sf_dir):
+    """Analyses of offers that are not there are left out."""
+    part, old = _part(spark, sf_dir), F.lit(datetime(2023, 1, 1, tzinfo=timezone.utc)).cast("timestamp")
+    current = part.filter(_k() % 3 == 0).select(_k().alias("offer_id"), F.lit("alt").alias("brand"), F.lit("{}").alias("raw_response"), old.alias("created_at"), old.alias("updated_at"))
+    incoming = part.filter(_k() % 2 == 0).select(_k().alias("offer_id"), F.lit("neu").alias("brand"), F.lit("{1}").alias("raw_response"))
+    twice = incoming.unionByName(incoming.withColumns({"brand": F.lit("zweite"), "raw_response": F.lit("{2}")}))
+    rows = merge.merge_analyses(current, twice, part.filter("p_size % 5 <> 0").select(_k().alias("id")), AS_OF)
+    return rows.select("offer_id", "brand", (F.col("updated_at") == F.lit(AS_OF).cast("timestamp")).alias("updated"))
+
+
+@query("merge_labels", """WITH cur AS (SELECT user_id, event_type, max(ts) AS at FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2), inc AS (SELECT user_id, event_type, max(ts) AS at FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2)
+ SELECT coalesce(i.user_id, c.user_id) AS external_id, coalesce(i.event_type, c.event_type) AS model_version, CASE WHEN i.user_id IS NULL THEN 'alt' ELSE 'neu' END AS category FROM cur c FULL JOIN inc i ON c.user_id = i.user_id AND c.event_type = i.event_type""")
+def merge_labels(spark, sf_dir):
+    events, cut = _read(spark, sf_dir, "events"), F.lit(datetime(2024, 1, 20, tzinfo=timezone.utc))
+    rows = events.select(F.col("user_id").alias("external_id"), F.col("event_type").alias("model_version"), F.lit("x").alias("subcategory"), F.col("ts").cast("timestamp").alias("classified_at"))
+    current = merge.dedupe_first(rows.filter(F.col("classified_at") < cut), ["external_id", "model_version"], ["classified_at"]).withColumn("category", F.lit("alt"))
+    incoming = rows.filter(F.col("classified_at") >= cut).withColumn("category", F.lit("neu"))
+    return merge.merge_labels(current, incoming).select("external_id", "model_version", "category")
+
+
 @query("price_observations", f"WITH {OFFERS_SQL} SELECT external_id, cents, store, '2024-01-20' AS day FROM offers")
 def price_observations(spark, sf_dir):
     none = F.lit(None).cast("decimal(10,2)")
