@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import rule_text
+from .vectors import bind
 
 #: Buckets and their subcategories.
 TAXONOMY: dict[str, tuple[str, ...]] = {
@@ -271,14 +272,20 @@ def classify(title: Column, category: Column | None = None, brands: Sequence[tup
     The category is the title where it is null; without a category column its rules are left out.
     One regular expression per rule, first rule wins, all native expressions.
     """
-    raw = F.coalesce(title, F.lit(""))
-    padded = F.concat(F.lit(" "), rule_text(title), F.lit(" "))
-    hits = [F.when(raw.rlike(rf"(?iu)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"), _pair(b, s)) for b, s, p in brands]
-    hits += [F.when(padded.rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in titles]
+    def padded(c: Column) -> Column:
+        return F.concat(F.lit(" "), rule_text(c), F.lit(" "))
+
+    def rules(t: Column) -> Column:
+        hits = [F.when(t["raw"].rlike(rf"(?iu)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"), _pair(b, s)) for b, s, p in brands]
+        hits += [F.when(t["title"].rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in titles]
+        if category is not None:
+            hits += [F.when(t["category"].rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in categories]
+        return F.coalesce(*hits, _pair(*DEFAULT))
+
+    texts = [F.coalesce(title, F.lit("")).alias("raw"), padded(title).alias("title")]
     if category is not None:
-        other = F.concat(F.lit(" "), rule_text(F.coalesce(category, title)), F.lit(" "))
-        hits += [F.when(other.rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in categories]
-    return F.coalesce(*hits, _pair(*DEFAULT))
+        texts.append(padded(F.coalesce(category, title)).alias("category"))
+    return bind(F.struct(*texts), rules)  # the texts are made once for all rules
 
 
 def store_class(store: Column) -> Column:

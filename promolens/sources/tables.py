@@ -16,11 +16,13 @@ class Snapshots:
 
     A version is a folder ``v=<number>-<id>`` that Spark's writer commits as a whole
     (its _SUCCESS file comes last). The batch that made it is in its name, so a
-    batch that is replayed finds its own version and writes nothing.
+    batch that is replayed finds its own version and writes nothing. The newest
+    ``keep`` versions stay, older ones are deleted after a write; one writer at a
+    time is assumed, as a stream's checkpoint grants it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 5):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), max(2, keep)
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -51,6 +53,9 @@ class Snapshots:
         number = int(done[-1][2:12]) + 1 if done else 1
         name = f"v={number:010d}-{tag}"
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        _, fs = self._fs()
+        for old in self.versions()[: -self.keep]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
         return name
 
 

@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from promolens.operators.stats import feed_ids
+from promolens.sources.tables import Snapshots
 from promolens.streaming.ingest import daily_counts, match_alerts_stream
 from promolens.streaming.jobs import run_digest
 
@@ -60,6 +61,14 @@ def test_daily_counts_of_a_stream(spark, tmp_path):
     assert {(str(r["day"]), r["n"]) for r in spark.table("days").collect()} == {("2024-01-01", 4), ("2024-01-02", 3), ("2024-01-03", 3)}
 
 
+def test_old_snapshots_go(spark, tmp_path):
+    table = Snapshots(spark, f"{tmp_path}/t", keep=3)
+    for k in range(6):
+        table.write(spark.range(k + 1), f"b{k}")
+    assert [v.split("-")[1] for v in table.versions()] == ["b3", "b4", "b5"] and table.read(spark.range(1).schema).count() == 6
+    assert table.write(spark.range(99), "b4").endswith("-b4") and table.read(spark.range(1).schema).count() == 6
+
+
 def test_union_of_feeds(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "external_id long") for xs in ([1, 2, 2], [2, 3]))
     assert sorted(r[0] for r in feed_ids(a, b).collect()) == [1, 2, 3]
