@@ -4,12 +4,19 @@ Equal vectors collapse into classes first. Each table cuts a vector's signs
 against random hyperplanes into a bucket; the number of hyperplanes follows the
 number of classes, so that buckets stay small at every size, and the number of
 tables follows the hyperplanes, so that a pair at the threshold shares no bucket
-with probability ``MISS`` at most, at every size. Buckets hold signatures, not vectors; one larger than ``BLOCK`` is dealt
-in pairs of blocks that are units of their own. Pairs whose signatures differ in
-more signs than six standard deviations allow are out, the others are verified
-by exact cosine in double precision. Links are written once for each pair of
-classes; degrees are sums over them, and components come from the distributed
-algorithm shared with other operators.
+with probability ``MISS`` at most, at every size. Buckets hold signatures, not
+vectors; one larger than ``BLOCK`` is dealt in pairs of blocks that are units of
+their own. Pairs whose signatures differ in more signs than six standard
+deviations allow are out, the others are verified by exact cosine in double
+precision.
+
+Clusters of very near vectors would have all their pairs verified. So a first
+round joins vectors to balls: a vector is in a ball if its verified angle with
+the ball's centre, the smallest vector of some bucket, is at most half of the
+threshold's. Any two members are linked then, whatever their own cosine, and
+only pairs that are not of one ball are looked for. Degrees are sums over the
+pairs and the balls; components come from the distributed algorithm shared with
+other operators.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ SIGNS = 256
 BLOCK = 512
 #: Rows of a unit, at most, that is compared together with others.
 SMALL = 64
+#: Tables of the first round, at most; a vector that they miss is in no ball.
+BALL_TABLES = 16
 #: Mean number of classes in a bucket that the number of hyperplanes aims at.
 BUCKET = 16
 _SEED = 20021
@@ -49,8 +58,11 @@ def table_count(bits: int, cosine: float) -> int:
     return 1 if common == 1 else math.ceil(math.log(MISS) / math.log1p(-common))
 
 
+_SIG = [f"s{k}" for k in range(SIGNS // 64)]
+
+
 def _buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(tab, bucket, rep, sig) for each table; vectors of another length hash apart."""
+    """(tab, bucket, rep, ball, signature in words of 64) for each table; vectors of another length hash apart."""
 
     def hash_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -58,32 +70,56 @@ def _buckets(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
             for size, part in pdf.groupby(pdf["v"].map(len), sort=False):
                 if size not in planes:
                     planes[size] = np.random.default_rng((_SEED, size)).standard_normal((size, max(tables * bits, SIGNS)))
-                unit, rep = _unit(np.stack(part["v"].to_numpy()).astype(np.float64)), part["rep"].to_numpy()
-                sig = [x.tobytes() for x in np.packbits(unit @ planes[size][:, :SIGNS] >= 0, axis=1)]
+                unit = _unit(np.stack(part["v"].to_numpy()).astype(np.float64))
+                sig = np.packbits(unit @ planes[size][:, :SIGNS] >= 0, axis=1).view(np.int64)
+                columns = {"rep": part["rep"].to_numpy(), "ball": part["ball"].to_numpy(), **{c: sig[:, k] for k, c in enumerate(_SIG)}}
                 for t in range(tables):  # one table's signs at a time: there may be hundreds of tables
                     signs = unit @ planes[size][:, t * bits : (t + 1) * bits] >= 0
-                    yield pd.DataFrame({"tab": t, "bucket": (signs << np.arange(bits)).sum(axis=1) + (size << bits), "rep": rep, "sig": sig})
+                    yield pd.DataFrame({"tab": t, "bucket": (signs << np.arange(bits)).sum(axis=1) + (size << bits), **columns})
 
-    return vectors.select("rep", "v").mapInPandas(hash_, "tab int, bucket long, rep long, sig binary")
+    return vectors.select("rep", "ball", "v").mapInPandas(hash_, "tab int, bucket long, rep long, ball long, " + ", ".join(f"{c} long" for c in _SIG))
 
 
-def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
-    """(a, b) class pairs, a < b, whose signatures differ in few enough signs, from all buckets."""
+def _most(cosine: float) -> float:
+    """In how many signs of their signatures vectors at ``cosine`` differ, but for six standard deviations."""
     differ = math.acos(cosine) / math.pi
-    most = SIGNS * differ + 6 * math.sqrt(SIGNS * differ * (1 - differ))
+    return SIGNS * differ + 6 * math.sqrt(SIGNS * differ * (1 - differ))
+
+
+def _balls(vectors: DataFrame, bits: int, tables: int, cosine: float) -> DataFrame:
+    """(rep, ball): vectors with their ball's centre; centres are in their own balls."""
+    within = math.cos(math.acos(cosine) / 2) + 1e-9  # twice this angle is less than the threshold's
+    placed = _buckets(vectors, bits, tables)
+    first = placed.groupBy("tab", "bucket").agg(F.min(F.struct("rep", *_SIG)).alias("first"))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in _SIG), F.lit(0))
+    near = placed.join(first, ["tab", "bucket"]).filter((F.col("rep") != F.col("first.rep")) & (differ <= _most(min(within, 1.0))))
+    pairs = near.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    joined = stored(_verified(pairs, vectors, within).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("ball")))
+    # a centre that is itself in a ball is none
+    members = joined.join(joined.select(F.col("rep").alias("ball")), "ball", "left_anti").select("rep", "ball")
+    return members.unionByName(members.select(F.col("ball").alias("rep"), "ball").distinct())
+
+
+def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
+    """(a, b) class pairs, a < b, not of one ball, whose signatures differ in few enough signs, from all buckets."""
+    most = _most(cosine)
     sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     keys = ["tab", "bucket", "p", "q"]
     rows = (
         placed.join(sizes, ["tab", "bucket"])
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("tab", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "sig")
+        .select("tab", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "ball", *_SIG)
         .repartition(*keys).sortWithinPartitions(*keys, "own", "rep")
     )
 
-    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
-        x = np.unpackbits(np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(rep), -1), axis=1).astype(np.float32) * 2 - 1
+    def pairs_of(rep: np.ndarray, ball: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        apart = ball[i] != ball[j]
+        i, j = i[apart], j[apart]
+        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+
+    def unit(rep: np.ndarray, ball: np.ndarray, sig: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        x = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
         first = own == own[0]
         if first.all():
             i, j = np.nonzero(np.triu(x @ x.T >= SIGNS - 2 * most, 1))
@@ -91,7 +127,7 @@ def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
             cut = int(first.sum())
             i, j = np.nonzero(x[:cut] @ x[cut:].T >= SIGNS - 2 * most)
             j = j + cut
-        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+        return pairs_of(rep, ball, i, j)
 
     def units(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Whole units: pairs within small ones at once, by their distance in the order; others each by itself."""
@@ -99,18 +135,18 @@ def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
         cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1])
         size = np.diff(np.append(cuts, len(pdf)))
         small = (size <= SMALL) & (code[cuts, 2] == code[cuts, 3])
+        rep, ball, own, sig = pdf["rep"].to_numpy(), pdf["ball"].to_numpy(), pdf["own"].to_numpy(), np.ascontiguousarray(pdf[_SIG].to_numpy())
         for at, n in zip(cuts[~small], size[~small], strict=True):
             if n > 1:
-                yield unit(pdf.iloc[at : at + n])
-        rep, sig = pdf["rep"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
+                yield unit(rep[at : at + n], ball[at : at + n], sig[at : at + n], own[at : at + n])
         i = np.flatnonzero(np.repeat(small, size))
         left = np.repeat(cuts + size, size) - np.arange(len(pdf))
         for d in range(1, SMALL):
             i = i[left[i] > d]
             if not len(i):
                 break
-            near = i[np.bitwise_count(sig[i] ^ sig[i + d]).sum(axis=1) <= most]
-            yield pd.DataFrame({"a": np.minimum(rep[near], rep[near + d]), "b": np.maximum(rep[near], rep[near + d])})
+            near = i[np.bitwise_count((sig[i] ^ sig[i + d]).view(np.uint64)).sum(axis=1) <= most]
+            yield pairs_of(rep, ball, near, near + d)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Units arrive in order; one is complete when the next begins."""
@@ -173,10 +209,14 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     n = vectors.count()
     bits = min(40, max(4, round(math.log2(max(n, 1) / BUCKET))))
     tables = tables or table_count(bits, cosine)
-    pairs = stored(_verified(_candidates(_buckets(vectors, bits, tables), cosine), vectors, cosine))
+    balls = stored(_balls(vectors.withColumn("ball", F.col("rep")), bits, min(tables, BALL_TABLES), cosine))
+    placed = _buckets(vectors.join(balls, "rep", "left").withColumn("ball", F.coalesce("ball", "rep")), bits, tables)  # a vector of no ball is its own
+    pairs = stored(_verified(_candidates(placed, cosine), vectors, cosine))
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
-    degree = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").groupBy("rep").agg(F.sum("m").alias("others"))
-    label = components(pairs, "a", "b")
+    sizes = vectors.select("rep", "m").join(balls, "rep")
+    of_ball = sizes.join(sizes.groupBy("ball").agg(F.sum("m").alias("total")), "ball").select("rep", (F.col("total") - F.col("m")).alias("m"))
+    degree = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").select("rep", "m").unionByName(of_ball).groupBy("rep").agg(F.sum("m").alias("others"))
+    label = components(pairs.unionByName(balls.select(F.col("ball").alias("a"), F.col("rep").alias("b"))), "a", "b")
     by_class = (
         classes.join(degree, "rep", "left").join(label, F.col("rep") == F.col("id"), "left")
         .select("key", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
