@@ -120,6 +120,28 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tight_clusters_are_balls(spark, monkeypatch):
+    """Very near vectors, chains of them, and neighbours just within the threshold, negative ids too: as all pairs say, from few pairs."""
+    rng = np.random.default_rng(21)
+
+    def near(v, spread):
+        return (v + spread * rng.standard_normal(32)).tolist()
+
+    centres = rng.standard_normal((6, 32)) * 4
+    rows = [(int(k) - 150, near(centres[k % 6], [0.05, 0.3, 1.0, 1.6][k % 4])) for k in rng.permutation(300)]
+    step = centres[0] / np.linalg.norm(centres[0])
+    side = centres[1] - (centres[1] @ step) * step
+    side /= np.linalg.norm(side)
+    rows += [(1000 + k, (np.cos(0.12 * k) * step + np.sin(0.12 * k) * side).tolist()) for k in range(20)]
+    made = []
+    verified = embeddings._verified
+    monkeypatch.setattr(embeddings, "_verified", lambda pairs, *rest: made.append(verified(pairs, *rest)) or made[-1])
+    got = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    expected = brute_links(rows, 0.9)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()), key=str) == expected
+    assert made[-1].count() < sum(n for _, n, _ in expected) / 2
+
+
 def test_vectors_of_a_large_table(spark, monkeypatch):
     """As many hyperplanes as ten million classes have: no pair at the threshold may be lost."""
     rng = np.random.default_rng(12)
