@@ -297,7 +297,7 @@ def _packed_strings(what: int, place: np.ndarray, h: np.ndarray, doc: np.ndarray
         text = _gathered(text, (np.cumsum(size) - size)[order], size[order])
     place, h, doc, a, size = (x[order] for x in (place, h, doc, a, size))
     cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    ends, codec, at = np.cumsum(size), pa.Codec("zstd", 1), 0
+    ends, codec, at = np.cumsum(size), pa.Codec("zstd", 3), 0
     rows: list[list] = [[] for _ in range(9)]
     for i, j in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
         base, end = int(doc[i:j].min()), int(ends[j - 1])
@@ -465,7 +465,7 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     Equal strings of a key have one name. Where a key has one name, the smallest
     document settles all its windows; the names of other keys are suffix-sorted.
     """
-    codec, parts = pa.Codec("zstd", 1), []
+    codec, parts = pa.Codec("zstd"), []
     for batch in batches:
         for r in batch.to_pylist():
             n = r["n"]
@@ -576,7 +576,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         met.filter("kind = 0").select("doc", "a", (F.col("a") + F.col("n") + (length - 1)).alias("b"))
     )
     low = F.lit((1 << _PLACE_BITS) - 1)
-    found = by_row(spans, F.struct(F.col("a").bitwiseAND(low).alias("a"), F.col("b").bitwiseAND(low).alias("b")), "found")
+    found = by_row(spans, F.struct(F.col("a").bitwiseAND(low).alias("a"), F.col("b").bitwiseAND(low).alias("b")), "__found")
     schema = StructType([
         *rows.select(*docs.columns).schema.fields, StructField("kept", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
@@ -614,4 +614,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [*names, "kept", "n_bytes", "n_removed", "spans"],
             )
 
-    return rows.join(found, keys, "left").select(*names, "found").mapInArrow(cut, schema)
+    return rows.join(found, keys, "left").select(*names, "__found").mapInArrow(cut, schema)
