@@ -60,9 +60,10 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, list[str]]:
     return tiktoken.Encoding("file", pat_str=_WORD, mergeable_ranks=ranks, special_tokens=specials), list(specials)
 
 
-@lru_cache(2)
-def _library(path: str) -> Tokenizer:
+@lru_cache(4)
+def _library(path: str, specials: bool = True) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not specials
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -76,12 +77,12 @@ def _has_long_run(b: np.ndarray) -> bool:
     return any(int(np.diff(np.flatnonzero(stop), prepend=-1, append=len(b)).max()) > LONG_RUN for stop in (blank, ~blank & (b < 128)))
 
 
-def encode_ids(text: str, path: str) -> bytes:
-    """Ids of a text as little-endian 32-bit numbers; special symbols in it are encoded as such."""
+def encode_ids(text: str, path: str, specials: bool = True) -> bytes:
+    """Ids of a text as little-endian 32-bit numbers; special symbols in it are encoded as such, or as plain text without ``specials``."""
     if len(text) * 4 >= LONG_RUN and _has_long_run(np.frombuffer(text.encode(), np.uint8)):
-        return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    encoding, specials = _encoder(path)
-    allowed = "all" if any(s in text for s in specials) else set()
+        return np.array(_library(path, specials).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    encoding, symbols = _encoder(path)
+    allowed = "all" if specials and any(s in text for s in symbols) else set()
     return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 

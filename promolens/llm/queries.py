@@ -91,6 +91,29 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return predict_language(out, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_tokenizers
+
+    out = align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op12_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idfiles import read_token_ids, temporary_folder, write_token_ids
+
+    folder = temporary_folder(spark)
+    write_token_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+def op13_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restore_documents
+
+    return restore_documents(fill_in_middle(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -102,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_grouping": op8_suffix_grouping,
     "op9_checked_pii": op9_checked_pii,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
+    "op11_anchored_alignment": op11_anchored_alignment,
+    "op12_bit_plane_files": op12_bit_plane_files,
+    "op13_piece_table_fim": op13_piece_table_fim,
 }
 
 #: Plain SQL for the queries that it can express: all pairs, all windows, reachability. The others are tested against brute force.
@@ -132,4 +158,12 @@ ORACLE_SQL: dict[str, str] = {
  kept AS (SELECT doc_id, string_agg(hex(array_slice(t, gaps.a + 1, least(gaps.b, n.n))), '' ORDER BY k) AS h FROM gaps JOIN n USING (doc_id) GROUP BY 1),
  removed AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM spans GROUP BY 1)
  SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM n JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op13_piece_table_fim": r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ h AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM w),
+ cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ parts AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM cuts)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM parts""",
 }
