@@ -1,7 +1,12 @@
 """Main text of web pages by tree scoring.
 
 A page is read once into a tree. Elements that are never article text (menus,
-scripts, forms, adverts and so on, by tag, role, class or id) are set aside.
+scripts, asides and so on, by tag or role) are set aside. Classes, ids and forms
+only raise a suspicion. A name whose head is a word such as sidebar or comments
+("post-comments", but not "has-sidebar") sets its element aside, unless the
+page's heading or main element is in it or nothing else is left; a name that has
+such a word elsewhere does so for little text or much link text, and costs points
+otherwise. A form is set aside unless it holds the heading or most of the page.
 Every paragraph gives points for its length and commas to its parent, half to
 the grandparent and less further up; a container's points are discounted by the
 share of its text that is link text. The best container, and the siblings that
@@ -12,8 +17,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +47,7 @@ _SIBLING = {
     "option": (frozenset(["option"]), frozenset(["select", "optgroup", "datalist"])),
 }
 _DROP = frozenset(
-    "head title script style noscript template svg math canvas nav footer aside form iframe select datalist button textarea input object embed "
+    "head title script style noscript template svg math canvas nav footer aside iframe select datalist button textarea input object embed "
     "applet audio video dialog menu map noembed noframes xmp".split()
 )
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -51,21 +57,50 @@ _DROP_WORDS = re.compile(
     r"footer\w*|masthead|topbar|cookies?|consent|gdpr|notice\w*|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|share|sharing|social\w*|related|recommended|"
     r"recommendations|widgets?|pagination|pager|login|signin|signup|register|searchform|searchbox|toolbar|hidden|paywall|outbrain|taboola|tagcloud|skiplink"
 )
+#: Words before such a word that tell how a page is laid out, and words behind it that leave it the head of the name; fixed values.
+_LAYOUT = frozenset("has have with no not without hide show is single overflow visually".split())
+_BEHIND = frozenset(
+    "main left right top bottom wrapper wrap container box block blocks section area list item items inner outer content body holder group row col column panel bar form site page primary secondary first "
+    "last small large fixed sticky mobile desktop template thread link links title heading slot unit zone posts articles stories".split()
+)
+#: Such words that are also common for containers of articles: never the head of a name by themselves.
+_VAGUE = re.compile(r"hidden|widgets?|rail|overlay\w*|modal\w*|paywall|promo\w*|notice\w*|subscri\w*|share|register|menu\w*|banner\w*")
+_NO_HEAD = re.compile(r"widgets?|rail|overlay\w*")
+#: Characters of text up to which, and share of link text from which on, a name with such a word sets an element aside.
+LITTLE, LINKED = 200, 0.5
+NONE, FAINT, STRONG, FORM = range(4)
 _ROOTS = frozenset(["html", "body", "main"])
 _PRIOR = {"article": 10.0, "main": 10.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "body": -5.0, "html": -10.0}
 _COMMA = re.compile("[,،、，]")
 LEVELS = 5
 
 
+def suspicion(name: str) -> int:
+    """What one name of class or id tells of an element."""
+    words = [w for w in _SPLIT.split(name) if w]
+    marked = [bool(_DROP_WORDS.fullmatch(w)) for w in words]
+    if not any(marked):
+        return NONE
+    while len(words) > 1 and (words[-1] in _BEHIND or words[-1].isdigit()) and not marked[-1]:
+        words.pop()
+        marked.pop()
+    if len(words) > 1 and words[-2] in _LAYOUT:
+        return NONE
+    if not marked[-1]:
+        return FAINT
+    vague = _VAGUE.fullmatch(words[-1]) if len(words) == 1 else _NO_HEAD.fullmatch(words[-1]) and not all(marked)
+    return FAINT if vague else STRONG
+
+
 class _Page:
     """The tree of a page: parallel lists over elements in document order, and the text blocks."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.end, self.dropped = ["#root"], [-1], [0], [False]
+        self.tag, self.parent, self.end, self.dropped, self.suspect, self.owner = ["#root"], [-1], [0], [False], [NONE], [0]
         self.texts: list[tuple[int, int, bool, str]] = []  # element, block, in a link, text
         self.block = 0
-        self.stack, self.open = [0], Counter()
-        self.links = 0
+        self.stack: list[int] = [0]
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
         at, n = 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -94,32 +129,28 @@ class _Page:
     def text(self, raw: str) -> None:
         element = self.stack[-1]
         if not self.dropped[element]:
-            self.texts.append((element, self.block, self.links > 0, raw))
+            self.texts.append((element, self.block, bool(self.open["a"]), html.unescape(raw)))
 
     def pop(self) -> None:
         element = self.stack.pop()
         name = self.tag[element]
         self.end[element] = len(self.tag)
-        self.open[name] -= 1
-        self.links -= name == "a"
+        self.open[name].pop()
         self.block += name in _BLOCK
 
-    def pop_to(self, names: frozenset, boundary: frozenset) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            name = self.tag[self.stack[k]]
-            if name in names:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if name in boundary:
-                return
+    def pop_to(self, names: Iterable[str], boundary: Iterable[str]) -> None:
+        """Closes the innermost open element of ``names``, unless one of ``boundary`` is open inside it."""
+        inner = max((self.open[x][-1] for x in names if self.open[x]), default=0)
+        if inner and inner > max((self.open[x][-1] for x in boundary if self.open[x]), default=0):
+            while len(self.stack) > inner:
+                self.pop()
 
     def start(self, name: str, attributes: str) -> None:
-        if name == "a" and self.links:
-            self.pop_to(frozenset("a"), _BLOCK)
-        if name in _CLOSES_P and self.open["p"] > 0:
-            self.pop_to(frozenset("p"), frozenset(["table", "td", "th", "button"]))
-        if name in _SIBLING and self.open[name] + self.open["dt"] + self.open["td"] + self.open["th"] + self.open["dd"] > 0:
+        if name == "a" and self.open["a"]:
+            self.pop_to(("a",), _BLOCK)
+        if name in _CLOSES_P and self.open["p"]:
+            self.pop_to(("p",), ("table", "td", "th", "button"))
+        if name in _SIBLING:
             self.pop_to(*_SIBLING[name])
         self.block += name in _BLOCK
         above = self.stack[-1]
@@ -129,68 +160,92 @@ class _Page:
         self.tag.append(name)
         self.parent.append(above)
         self.end.append(element + 1)
-        self.dropped.append(self.dropped[above] or self.unwanted(name, attributes))
+        self.owner.append(element if name in _BLOCK else self.owner[above])
+        unwanted, suspect = self.judged(name, attributes)
+        self.dropped.append(self.dropped[above] or unwanted)
+        self.suspect.append(suspect)
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             return
+        self.open[name].append(len(self.stack))
         self.stack.append(element)
-        self.open[name] += 1
-        self.links += name == "a"
 
     def close(self, name: str) -> None:
-        if self.open[name] > 0 and name not in ("body", "html"):
+        if self.open[name] and name not in ("body", "html"):
             while True:
                 element = self.stack[-1]
                 self.pop()
                 if self.tag[element] == name:
                     break
 
-    def unwanted(self, name: str, attributes: str) -> bool:
+    def judged(self, name: str, attributes: str) -> tuple[bool, int]:
+        """Whether an element is never article text, and the suspicion that its names raise."""
         if name in _DROP or name == "header" and not self.open["article"]:
-            return True
+            return True, NONE
+        suspect = FORM if name == "form" else NONE
         if not attributes or name in _ROOTS:
-            return False
+            return False, suspect
         for m in _ATTRIBUTE.finditer(attributes):
             key = m[1].lower()
             value = (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                if any(_DROP_WORDS.fullmatch(w) for w in _SPLIT.split(value)):
-                    return True
+                if suspect != FORM:
+                    suspect = max([suspect, *map(suspicion, value.split())])
             elif key == "role" and value in _DROP_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return True, NONE
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return True, NONE
+        return False, suspect
 
     def blocks(self) -> list[tuple[int, str, int]]:
         """(innermost element around the block, text, characters in links), in page order."""
         out: list[tuple[int, str, int]] = []
         i = 0
         while i < len(self.texts):
-            j, owner = i, self.texts[i][0]
+            j, owner = i, self.owner[self.texts[i][0]]
             while j < len(self.texts) and self.texts[j][1] == self.texts[i][1]:
                 j += 1
-            text = _SPACE.sub(" ", html.unescape("".join(t[3] for t in self.texts[i:j]))).strip()
+            text = _SPACE.sub(" ", "".join(t[3] for t in self.texts[i:j])).strip()
             if text:
-                while owner and self.tag[owner] not in _BLOCK:
-                    owner = self.parent[owner]
                 links = sum(len(_SPACE.sub(" ", t[3])) for t in self.texts[i:j] if t[2])
                 out.append((owner, text, min(links, len(text))))
             i = j
         return out
 
 
-def main_text(source: str) -> str:
-    """The article of a page, its blocks joined by two line ends; empty if there is none."""
-    page = _Page(source)
-    blocks = page.blocks()
+def _sums(page: _Page, blocks: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Characters of text and of link text in every element."""
+    size, linked = [0] * len(page.tag), [0] * len(page.tag)
+    for owner, text, links in blocks:
+        size[owner] += len(text)
+        linked[owner] += links
+    for k in range(len(page.tag) - 1, 0, -1):
+        size[page.parent[k]] += size[k]
+        linked[page.parent[k]] += linked[k]
+    return size, linked
+
+
+def _set_aside(page: _Page, size: list[int], linked: list[int], strong: bool) -> list[bool]:
+    """Elements that their suspicion sets aside, with all that is in them."""
+    heads = [tag in ("h1", "main") and not dropped and size[k] > 0 for k, (tag, dropped) in enumerate(zip(page.tag, page.dropped, strict=True))]
+    for k in range(len(page.tag) - 1, 0, -1):
+        heads[page.parent[k]] |= heads[k]
+    out = [False] * len(page.tag)
+    for k in range(1, len(out)):
+        suspect = page.suspect[k]
+        out[k] = out[page.parent[k]] or suspect != NONE and not heads[k] and (
+            2 * size[k] <= size[0] if suspect == FORM else suspect == STRONG and strong or size[k] <= LITTLE or linked[k] >= LINKED * size[k]
+        )
+    return out
+
+
+def _article(page: _Page, blocks: list[tuple[int, str, int]]) -> str:
+    """The best container's blocks and those of the siblings that score well beside it."""
     if not blocks:
         return ""
     n = len(page.tag)
     points: dict[int, float] = {}
-    size, linked = [0] * n, [0] * n
+    size, linked = _sums(page, blocks)
     for owner, text, links in blocks:
-        size[owner] += len(text)
-        linked[owner] += links
         own = (1 - links / len(text)) * (min(len(text) / 100, 3) + len(_COMMA.findall(text)) + min(len(text) / 25, 1))
         up = page.parent[owner] if page.tag[owner] in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt") and owner else owner
         for level in range(LEVELS):
@@ -198,12 +253,10 @@ def main_text(source: str) -> str:
                 break
             points[up] = points.get(up, 0.0) + own / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up = page.parent[up]
-    for k in range(n - 1, 0, -1):
-        size[page.parent[k]] += size[k]
-        linked[page.parent[k]] += linked[k]
 
     def score(k: int) -> float:
-        return (points.get(k, 0.0) + _PRIOR.get(page.tag[k], 0.0)) * (1 - linked[k] / max(size[k], 1))
+        prior = _PRIOR.get(page.tag[k], 0.0) - 5.0 * (page.suspect[k] in (FAINT, STRONG))
+        return (points.get(k, 0.0) + prior) * (1 - linked[k] / max(size[k], 1))
 
     best = max(points, key=lambda k: (score(k), -k))
     up = best
@@ -213,14 +266,33 @@ def main_text(source: str) -> str:
             break
         up = page.parent[up]
     least, top = max(10.0, score(best) * 0.2), page.parent[best]
-    kept = [(best, page.end[best])]
+    edges = [0] * (n + 1)  # where kept elements begin and end
+    edges[best] += 1
+    edges[page.end[best]] -= 1
     if top >= 0:
         for k in points.keys() | {owner for owner, _, _ in blocks}:
             if page.parent[k] == top and k != best:
                 density = linked[k] / max(size[k], 1)
                 if score(k) >= least and page.tag[k] not in ("ul", "ol", "dl") or page.tag[k] == "p" and (size[k] > 80 and density < 0.25 or 25 < size[k] <= 80 and not density):
-                    kept.append((k, page.end[k]))
-    return "\n\n".join(text for owner, text, _ in blocks if any(a <= owner < b for a, b in kept) or owner == best)
+                    edges[k] += 1
+                    edges[page.end[k]] -= 1
+    kept = list(accumulate(edges))
+    return "\n\n".join(text for owner, text, _ in blocks if kept[owner])
+
+
+def main_text(source: str) -> str:
+    """The article of a page, its blocks joined by two line ends; empty if there is none."""
+    page = _Page(source)
+    blocks = page.blocks()
+    size, linked = _sums(page, blocks)
+    aside = _set_aside(page, size, linked, True)
+    text = _article(page, [x for x in blocks if not aside[x[0]]])
+    if len(text) <= LITTLE < size[0]:  # the article may be in an element with such a name
+        aside = _set_aside(page, size, linked, False)
+        other = _article(page, [x for x in blocks if not aside[x[0]]])
+        if len(other) > 4 * len(text):
+            return other
+    return text
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -229,7 +301,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     A null or empty page, or one without article text, has the empty text.
     Character references are decoded, white space in a block becomes one space.
     Repeated rows each get a row; null ids and addresses stay; other columns are
-    ignored. Each page is read by itself, its memory follows its own length.
+    ignored; an empty table gives no rows. Each page is read by itself; its time and
+    memory follow its own length, however deep it is nested.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
