@@ -190,8 +190,9 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     null or zero, or holds a null or a non-finite component, has no link; nor have
     vectors of different lengths. n_links counts the other vectors linked
     directly, equal vectors too. component_id is the smallest vec_id that can be
-    reached. Rows that repeat a vec_id with an equal vector count as vectors of
-    their own in n_links; a row with a null vec_id gets no component, takes no
+    reached. Every row is a vector of its own: rows that repeat a vec_id, with an
+    equal vector or another one, each have their links and their component, and
+    count in n_links of others; a row with a null vec_id gets no component, takes no
     part, and is kept. Other columns are ignored; an empty table gives no rows.
     """
     if not 0 < cosine <= 1:
@@ -204,8 +205,12 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     # equal vectors: one class, by a 128-bit digest of the components (-0.0 counts as 0.0)
     keyed = usable.withColumn("v", F.expr("transform(v, x -> x + 0D)")).withColumn("key", F.md5(F.expr("array_join(transform(v, x -> cast(x as string)), ',')")))
     members = stored(keyed)
-    classes = members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    vectors = stored(members.join(classes, "key").filter("vec_id = rep").dropDuplicates(["key"]).select("rep", "m", "v"))
+    classes = members.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    # a class has a number of its own: rows that repeat a vec_id may be in several classes
+    numbered = stored(
+        members.join(classes, "key").filter("vec_id = least").dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("rep"), "key", "least", "m", "v")
+    )
+    vectors = numbered.select("rep", "m", "v")
     n = vectors.count()
     bits = min(40, max(4, round(math.log2(max(n, 1) / BUCKET))))
     tables = tables or table_count(bits, cosine)
@@ -217,9 +222,11 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     of_ball = sizes.join(sizes.groupBy("ball").agg(F.sum("m").alias("total")), "ball").select("rep", (F.col("total") - F.col("m")).alias("m"))
     degree = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").select("rep", "m").unionByName(of_ball).groupBy("rep").agg(F.sum("m").alias("others"))
     label = components(pairs.unionByName(balls.select(F.col("ball").alias("a"), F.col("rep").alias("b"))), "a", "b")
+    placed_in = numbered.select("rep", "key", "least", "m").join(label, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component_id", "rep")).drop("id", "component_id")
+    least = placed_in.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = (
-        classes.join(degree, "rep", "left").join(label, F.col("rep") == F.col("id"), "left")
-        .select("key", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+        placed_in.join(degree, "rep", "left").join(least, "component")
+        .select("key", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     )
     linked = members.select("vec_id", "key").join(by_class, "key").select("vec_id", "n_links", "component_id", F.expr("vec_id = component_id").alias("kept"))
     alone = base.filter(~F.coalesce(good, F.lit(False))).select(

@@ -306,3 +306,20 @@ def test_pages_table(spark):
     out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert out.columns == ["page_id", "url", "text"] and out.count() == 4
     assert out.filter(F.col("text") == "").count() == 2
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Each row is a vector of its own, whatever rows share its vec_id."""
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 0.0])]
+    got = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False)]
+    centres = rng.standard_normal((30, 16))
+    rows = [(int(rng.integers(0, 40)), (centres[rng.integers(30)] + 0.15 * rng.standard_normal(16) * rng.integers(0, 2)).tolist()) for _ in range(200)]
+    unique = brute_links([(k, v) for k, (_, v) in enumerate(rows)], 0.9)
+    members = {}
+    for k, _, root in unique:
+        members.setdefault(root, []).append(rows[k][0])
+    expected = sorted((rows[k][0], n, min(members[root])) for k, n, root in unique)
+    got = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == expected
