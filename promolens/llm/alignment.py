@@ -18,11 +18,14 @@ for each block, of a join that Spark may split.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -34,8 +37,8 @@ from .shared import stored
 from .textops import blocks, mix, running_hash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 1 << 22
-#: Remembered windows and words of a worker, at most, and the ids or letters from which on none is remembered.
+BLOCK = 1 << 21
+#: Words that a worker remembers the pieces of, at most, and the letters from which on a word is not remembered.
 MEMO, LONG = 200_000, 64
 
 
@@ -85,58 +88,66 @@ class Pieces:
             bytes([int(s[3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) or model.is_unknown(k) else s.replace("▁", " ").encode()
             for k, s in enumerate(names)
         ])
-        self.by_word = not any("▁" in s.lstrip("▁") for s in names) and b"".join(map(self._word, (" a", "  b", " "))) == self._whole("a  b ")
+        self.by_word = not any("▁" in s.lstrip("▁") for s in names) and b"".join(self._of_words([" a", "  b", " "])) == self._whole(["a  b "])[0]
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, num_threads=1), "<u4").tobytes()
-
-    def _word(self, w: str) -> bytes:
-        """A word with the spaces before it; the model puts one before it, but before nothing."""
-        return self._whole(w[1:]) if len(w) > 1 else np.array([self.model.piece_to_id("▁")], "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text or not self.by_word or "▁" in text:  # which the model takes for a space
-            return self._whole(text)
-        known, out = self.known, []
-        for w in self._WORD.findall(" " + text):
-            ids = known.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) < LONG:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Words with the spaces before them; the model puts one before a text, but before nothing."""
+        alone = array("I", [self.model.piece_to_id("▁")]).tobytes()
+        return [x if len(w) > 1 else alone for w, x in zip(words, self._whole([w[1:] for w in words]), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as numbers of 32 bits."""
+        plain = [bool(t) and self.by_word and "▁" not in t for t in texts]  # the model takes that sign for a space
+        words = [self._WORD.findall(" " + t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        new = list(set().union(*words).difference(self.known))
+        found = dict(zip(new, self._of_words(new), strict=True))
+        known = self.known
+        out = [b"".join([known[x] if x in known else found[x] for x in w]) for w in words]
+        for k, ok in enumerate(plain):
+            if not ok and texts[k]:
+                out[k] = self._whole([texts[k]])[0]
+        room = MEMO - len(self.known)
+        self.known.update(islice(((w, x) for w, x in found.items() if len(w) < LONG), room))
+        return out
 
 
 @lru_cache(2)
-def _tokenizers(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, dict]:
-    return ByteLevel(a_path), Pieces(b_path), {}
+def _tokenizers(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
+    return ByteLevel(a_path), Pieces(b_path)
 
 
-def align(a: list[int], b: list[int], a_length: np.ndarray, b_length: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """Groups and links of two lists of ids that cover the same bytes.
+def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links and groups of two lists of ids, given the bytes until each token's end.
 
-    A group ends where tokens of both end. One link joins the tokens over each
-    stretch that no token's end cuts.
+    Returns the links' pairs of ids and byte ends, in the order of the text, and
+    the symbols that write the groups with the number of symbols until each
+    token of A. A group ends where tokens of both end; one link joins the two
+    tokens over each stretch that no token's end cuts.
     """
-    groups, links, i, j, ends_a, ends_b, first_a, first_b = [], [], 0, 0, int(a_length[a[0]]), int(b_length[b[0]]), 0, 0
-    while True:
-        links.append((a[i], b[j]))
-        step = ends_a - ends_b
-        if not step:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-            first_a, first_b = i + 1, j + 1
-            if first_a == len(a):
-                return ";".join(groups), links
-        if step <= 0:
-            i += 1
-            ends_a += int(a_length[a[i]])
-        if step >= 0:
-            j += 1
-            ends_b += int(b_length[b[j]])
+    of_a, of_b = np.searchsorted(b_ends, a_ends), np.searchsorted(a_ends, b_ends)  # the token of the other side that ends there or later
+    a_shared, b_shared = b_ends[of_a] == a_ends, a_ends[of_b] == b_ends
+    ends = np.concatenate([a_ends, b_ends[~b_shared]])
+    pairs = np.concatenate([a << 32 | b[of_a], a[of_b[~b_shared]] << 32 | b[~b_shared]])
+    order = np.argsort(ends, kind="stable")
+    # a group's tokens of A stand before its tokens of B
+    a_group, b_group = (np.cumsum(x) - x for x in (a_shared, b_shared))
+    b_before = np.concatenate([[0], np.flatnonzero(b_shared) + 1])
+    a_until = np.flatnonzero(a_shared) + 1
+    symbols = np.empty(len(a) + len(b), np.int64)
+    a_place = np.arange(len(a)) + b_before[a_group]
+    symbols[a_place] = 2 * a + a_shared
+    symbols[np.arange(len(b)) + a_until[b_group]] = -(2 * b + b_shared) - 1
+    return pairs[order], ends[order], symbols, a_place
+
+
+@lru_cache(2)
+def _symbols(n_a: int, n_b: int) -> pa.Array:
+    """How each symbol is written: id of A with , or |, id of B with , or ; or nothing."""
+    return pa.array([f"{k}{sign}" for k in range(n_a) for sign in ",|"] + [f"{k}{sign}" for sign in (",", ";", "") for k in range(n_b)])
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +169,7 @@ def _distinct(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarr
 
 
 BLOCK_SCHEMA = (
-    "block long, docs array<long>, n_a array<long>, n_b array<long>, n_windows array<long>, windows binary, groups binary, n_links binary, links binary, pairs array<long>, pair_links array<long>"
+    "block long, docs array<long>, n_a array<long>, n_b array<long>, n_windows array<long>, windows binary, n_symbols binary, symbols binary, n_links binary, links binary, pairs array<long>, pair_links array<long>"
 )
 
 
@@ -172,16 +183,22 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
 
 
+def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of n from each start, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(n) else 0)
+
+
 def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     """One block's row without its number and documents."""
-    one, two, memo = _tokenizers(a_path, b_path)
+    one, two = _tokenizers(a_path, b_path)
     va, vb = one.vocabulary, two.vocabulary
+    strings = [raw.decode("utf-8", "replace") for raw in texts]
     a_ids, b_ids, spans = [], [], []
-    for raw in texts:
-        text = raw.decode("utf-8", "replace")
+    for raw, text, pieces in zip(texts, strings, two.encode(strings), strict=True):
         a = b = np.zeros(0, "<u4")
         if text:
-            a, b, whole = np.frombuffer(one.encode(text), "<u4"), np.frombuffer(two.encode(text), "<u4"), b" " + raw
+            a, b, whole = np.frombuffer(one.encode(text), "<u4"), np.frombuffer(pieces, "<u4"), b" " + raw
             if va.length[a].sum() != len(whole) or vb.length[b].sum() != len(whole) or va.join(a).tobytes() != whole or vb.join(b).tobytes() != whole:
                 a = b = np.zeros(0, "<u4")
         a_ids.append(a)
@@ -191,7 +208,7 @@ def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     a, b = np.concatenate(a_ids).astype(np.int64), np.concatenate(b_ids).astype(np.int64)
     if not len(a):
         zeros, none = np.zeros(len(texts), np.int64), _packed(np.zeros(0))
-        return zeros, zeros, zeros, none, zstandard.compress(b""), none, none, [], []
+        return zeros, zeros, zeros, none, none, none, none, none, [], []
     ends_a, ends_b, doc_ends = np.cumsum(va.length[a]), np.cumsum(vb.length[b]), np.cumsum(spans)
     at = np.zeros(ends_a[-1] + 1, np.uint8)
     at[ends_a] += 1
@@ -207,55 +224,50 @@ def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     order = np.argsort(-uses, kind="stable")  # frequent windows get small numbers
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    a_from, b_from = np.concatenate([[0], a_cut[:-1]]), np.concatenate([[0], b_cut[:-1]])
-    texts_of, links = [], []
-    for k in first[order].tolist():
-        x, y = a[a_from[k] : a_cut[k]], b[b_from[k] : b_cut[k]]
-        key = (x.tobytes(), y.tobytes()) if len(x) + len(y) < LONG else None
-        found = memo.get(key)
-        if found is None:
-            groups, pairs = align(x.tolist(), y.tolist(), va.length, vb.length)
-            found = groups, np.array([p << 32 | q for p, q in pairs], np.int64)
-            if key:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[key] = found
-        texts_of.append(found[0])
-        links.append(found[1])
-    n_links = np.array([len(x) for x in links])
-    pairs, place = np.unique(np.concatenate(links), return_inverse=True)
+    first, uses = first[order], uses[order]
+    # each distinct window once, one after the other
+    a_n, b_n = np.diff(a_cut, prepend=0)[first], np.diff(b_cut, prepend=0)[first]
+    a, b = a[_runs(a_cut[first] - a_n, a_n)], b[_runs(b_cut[first] - b_n, b_n)]
+    ends_a, ends_b = np.cumsum(va.length[a]), np.cumsum(vb.length[b])
+    found, ends, symbols, a_place = align(a, b, ends_a, ends_b)
+    n_links = np.diff(np.searchsorted(ends, ends_a[np.cumsum(a_n) - 1], "right"), prepend=0)
+    pairs, place = np.unique(found, return_inverse=True)
     total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, place, np.repeat(uses[order], n_links))
-    return n_a, n_b, n_windows, _packed(rank[number]), zstandard.compress("\n".join(texts_of).encode(), 3), _packed(n_links), _packed(place), pairs, total
+    np.add.at(total, place, np.repeat(uses, n_links))
+    of_b = symbols < 0
+    symbols[of_b] = 2 * len(va.tokens) - 1 - symbols[of_b]
+    of_b = symbols >= 2 * len(va.tokens)
+    code = symbols[of_b] - 2 * len(va.tokens)
+    symbols[of_b] = 2 * len(va.tokens) + (code & 1) * len(vb.tokens) + (code >> 1)
+    return n_a, n_b, n_windows, _packed(rank[number]), _packed(a_n + b_n), _packed(symbols), _packed(n_links), _packed(place), pairs, total
 
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-def _documents(row: dict, pos: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    """The documents of one block, given its pairs' counts."""
+def _documents(row: dict, pos: np.ndarray, count: np.ndarray, best: np.ndarray, n_a: int, n_b: int) -> pa.RecordBatch:
+    """The documents of one block, given its pairs' counts and the sizes of the vocabularies."""
     counts, bests = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
     counts[pos], bests[pos] = count, best
-    windows, n_links, links = (_unpacked(row[c]) for c in ("windows", "n_links", "links"))
-    groups = zstandard.decompress(row["groups"]).decode().split("\n")
-    n_groups = np.array([g.count("|") for g in groups], np.int64)
-    ends = np.cumsum(n_links)
+    windows, n_symbols, symbols, n_links, links = (_unpacked(row[c]) for c in ("windows", "n_symbols", "symbols", "n_links", "links"))
+    closes = (symbols >= 2 * n_a + n_b).astype(np.int64)
 
-    def per_window(x: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(x[links])])
-        return sums[ends] - sums[ends - n_links]
+    def per_window(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        sums, ends = np.concatenate([[0], np.cumsum(x)]), np.cumsum(n)
+        return sums[ends] - sums[ends - n]
 
-    until = np.cumsum(row["n_windows"])
-    since = until - np.array(row["n_windows"], np.int64)
+    until = np.cumsum(row["n_windows"], dtype=np.int64)
 
     def per_document(x: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(x[windows] if len(windows) else [])]).astype(np.int64)
-        return sums[until] - sums[since]
-
-    names = [groups[k] for k in windows.tolist()]
-    texts = [";".join(names[i:j]) for i, j in zip(since.tolist(), until.tolist(), strict=True)]
-    values = [per_document(x) for x in (n_groups, n_links, per_window(bests), per_window(counts))]
-    columns = [pa.array(row["docs"], pa.int64()), pa.array(row["n_a"], pa.int64()), pa.array(row["n_b"], pa.int64()), *map(pa.array, values), pa.array(texts, pa.string())]
+        return np.diff(np.concatenate([[0], np.cumsum(x[windows])])[until], prepend=0)
+
+    values = [per_document(x) for x in (per_window(closes, n_symbols), n_links, per_window(bests[links], n_links), per_window(counts[links], n_links), n_symbols)]
+    written = symbols[_runs((np.cumsum(n_symbols) - n_symbols)[windows], n_symbols[windows])]
+    ends = np.cumsum(values.pop())
+    last = np.unique(ends[ends > 0]) - 1
+    written[last] += n_b  # no sign behind a document's last group
+    groups = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), _symbols(n_a, n_b).take(pa.array(written))), "")
+    columns = [pa.array(row["docs"], pa.int64()), pa.array(row["n_a"], pa.int64()), pa.array(row["n_b"], pa.int64()), *map(pa.array, values), groups]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -271,12 +283,12 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     byte has no tokens: zeros and an empty string. Strings of special symbols are
     plain text. Repeated rows count and get a row each, a null doc_id stays, other
     columns are ignored, an empty table gives no rows. A text without spaces is
-    one window, which takes linear time and is not remembered.
+    one window.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, number = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")], TaskContext.get().partitionId() << 32
-        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 5, *[pa.list_(pa.int64())] * 2]
         for batch in batches:
             for i, j, b, off in blocks(batch.column(1), BLOCK):
                 raw = b.tobytes()
@@ -296,7 +308,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = [right.column(c).to_numpy() for c in ("pos", "count", "best")]
-        return pa.Table.from_batches([_documents(row, *numbers) for row in left.to_pylist()])
+        sizes = [len(x.vocabulary.tokens) for x in _tokenizers(a_path, b_path)]
+        return pa.Table.from_batches([_documents(row, *numbers, *sizes) for row in left.to_pylist()])
 
     whole = found.drop("pair_links")
     return whole.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(finish, RESULT)
