@@ -1,7 +1,8 @@
-"""Stored tables: Parquet snapshots with an atomic switch, partitioned history, JSON."""
+"""Stored tables: Parquet snapshots with an atomic switch, partitioned and bucketed history."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import datetime
 
@@ -74,3 +75,40 @@ def read_history(spark: SparkSession, path: str, schema: StructType, since: date
     if since is not None:
         rows = rows.filter((F.col("month") >= since.strftime("%Y-%m")) & (F.col("observed_at") >= F.lit(since).cast("timestamp")))
     return rows.drop("month", "batch")
+
+
+def compact_history(spark: SparkSession, path: str, schema: StructType, table: str, location: str, buckets: int) -> DataFrame:
+    """Rewrites a history of many small folders into one file for each of ``buckets`` buckets of external_id, sorted by time.
+
+    A join or grouping on external_id over the result, which is returned and
+    registered as ``table``, needs no shuffle of it. ``buckets`` should not be
+    below the session's number of shuffle partitions, or Spark deals both sides
+    anew. The rows go to a new ``location``; the history stays as it is.
+    """
+    rows = read_history(spark, path, schema).repartition(buckets, "external_id")
+    writer = rows.write.format("parquet").mode("errorifexists").option("path", location)
+    writer.bucketBy(buckets, "external_id").sortBy("external_id", "observed_at").saveAsTable(table)
+    return spark.table(table)
+
+
+def open_compacted(spark: SparkSession, schema: StructType, table: str, location: str, buckets: int) -> DataFrame:
+    """A compacted history in another session: registers the files that are there."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (external_id) SORTED BY (external_id, observed_at) INTO {buckets} BUCKETS LOCATION '{location}'"
+    )
+    return spark.table(table)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir`` that is deleted when the application ends; for a local master without that setting a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="promolens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/promolens/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
