@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,7 @@ SUPERMARKETS = (
 )
 DRUGSTORES = ("dm", "rossmann", r"müller\b", "budni")
 
-#: (bucket, subcategory, pattern); first match wins. Words end where ASCII letters, digits or _ do.
+#: Fixed values: (bucket, subcategory, pattern); first match wins. Words end where ASCII letters, digits or _ do.
 BRAND_RULES: tuple[tuple[str, str, str], ...] = (
     ("Elektronik & Multimedia", "Smartphone & Tablet", "iphone|ipad|airpods?"),
     ("Elektronik & Multimedia", "Computer & Drucker", "macbook|imac|mac mini"),
@@ -245,15 +246,40 @@ def source_bucket(category: Column, path: Column) -> Column:
     return F.coalesce(mapped(SOURCE_TOP), F.when(mapped(SOURCE_DEFAULT).isNotNull(), F.coalesce(third, mapped(SOURCE_DEFAULT))))
 
 
-def _keyword_pattern(words: Sequence[str]) -> str:
-    """One alternation over padded text: whole words, and longer keywords anywhere."""
-    import re
+def _keyword(word: str) -> str:
+    """A keyword as it stands in padded text: a whole word if it is short, else anywhere."""
+    k = re.sub(r"\s+", " ", re.sub("[-_./]", " ", word.lower().replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss"))).strip()
+    return k if len(k) > 4 else f" {k} "
 
-    parts = []
-    for w in words:
-        k = re.sub(r"\s+", " ", re.sub("[-_./]", " ", w.lower().replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss"))).strip()
-        parts.append(re.escape(k) if len(k) > 4 else f" {re.escape(k)} ")
-    return "|".join(parts)
+
+def _first_at(keywords: dict[str, int], depth: int = 0) -> str:
+    """A pattern that matches, where some of the keywords begin, the one with the least number."""
+    end = min((n for k, n in keywords.items() if len(k) == depth), default=None)
+    # whatever goes on after a keyword with a lower number can never be the first one
+    longer = {k: n for k, n in keywords.items() if len(k) > depth and (end is None or n < end)}
+    nexts: dict[str, dict[str, int]] = {}
+    for k, n in longer.items():
+        nexts.setdefault(k[depth], {})[k] = n
+    branches = [re.escape(c) + _first_at(some, depth + 1) for c, some in nexts.items()] + ([""] if end is not None else [])
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+def _first_rule(text: Column, rules: Rules) -> Column:
+    """The pair of the first rule of which a keyword is in the padded text, or null.
+
+    One pass: at each place a look-ahead gives the keyword of the lowest rule that
+    begins there; the lowest rule of all places is the first one.
+    """
+    number: dict[str, int] = {}
+    for k, (_, _, words) in enumerate(rules):
+        for w in words:
+            number.setdefault(_keyword(w), k)
+    if not number:
+        return F.lit(None).cast("struct<bucket:string,subcategory:string>")
+    found = F.regexp_extract_all(text, F.lit(f"(?=({_first_at(number)}))"), F.lit(1))
+    numbers = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])
+    pairs = F.array(*[_pair(b, s) for b, s, _ in rules])
+    return bind(found, lambda f: F.when(F.size(f) > 0, F.get(pairs, F.array_min(F.transform(f, lambda w: numbers[w])))))
 
 
 def keyword_rules(rules: DataFrame) -> Rules:
@@ -269,22 +295,22 @@ def _pair(bucket: str, subcategory: str) -> Column:
 def classify(title: Column, category: Column | None = None, brands: Sequence[tuple[str, str, str]] = BRAND_RULES, titles: Rules = KEYWORD_RULES, categories: Rules = CATEGORY_RULES) -> Column:
     """struct(bucket, subcategory): brands in the title, then title keywords, then category keywords.
 
-    The category is the title where it is null; without a category column its rules are left out.
-    One regular expression per rule, first rule wins, all native expressions.
+    The category is the title where it is null or no category column is given.
+    Titles without any brand take one regular expression for brands and one for
+    each set of keywords.
     """
     def padded(c: Column) -> Column:
         return F.concat(F.lit(" "), rule_text(c), F.lit(" "))
 
+    def bounded(patterns: Sequence[str]) -> str:
+        return rf"(?iu)(?<![A-Za-z0-9_])(?:{'|'.join(patterns)})(?![A-Za-z0-9_])"
+
     def rules(t: Column) -> Column:
-        hits = [F.when(t["raw"].rlike(rf"(?iu)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"), _pair(b, s)) for b, s, p in brands]
-        hits += [F.when(t["title"].rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in titles]
-        if category is not None:
-            hits += [F.when(t["category"].rlike(_keyword_pattern(w)), _pair(b, s)) for b, s, w in categories]
-        return F.coalesce(*hits, _pair(*DEFAULT))
-
-    texts = [F.coalesce(title, F.lit("")).alias("raw"), padded(title).alias("title")]
-    if category is not None:
-        texts.append(padded(F.coalesce(category, title)).alias("category"))
+        brand = F.coalesce(*[F.when(t["raw"].rlike(bounded([p])), _pair(b, s)) for b, s, p in brands], F.lit(None)) if brands else F.lit(None)
+        hits = [F.when(t["raw"].rlike(bounded([f"(?:{p})" for _, _, p in brands])), brand)] if brands else []
+        return F.coalesce(*hits, _first_rule(t["title"], titles), _first_rule(t["category"], categories), _pair(*DEFAULT))
+
+    texts = [F.coalesce(title, F.lit("")).alias("raw"), padded(title).alias("title"), padded(F.coalesce(category, title) if category is not None else title).alias("category")]
     return bind(F.struct(*texts), rules)  # the texts are made once for all rules
 
 

@@ -382,21 +382,22 @@ def market_kpis(spark, sf_dir):
     return rows.select("total", "current", "upcoming", "stores", "discounted", "pool", F.floor(F.col("mean_discount") * 10).cast("long").alias("mean_tenths"))
 
 
-def _rule_sql() -> str:
-    """The classifier as a DuckDB CASE over title and category."""
+def _rule_sql(title: str = "title", category: str = "category") -> str:
+    """The classifier as a DuckDB CASE over a title and a category, rule by rule."""
     norm = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(lower({0}), '[-_./]', ' ', 'g'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '\\s+', ' ', 'g'))"
     out = []
     for k, (b, s, p) in enumerate(taxonomy.BRAND_RULES):
         pattern = p.replace("'", "''")
-        out.append(f"WHEN regexp_matches(title, '(?i)(^|[^A-Za-z0-9_])({pattern})($|[^A-Za-z0-9_])') THEN {_sql(b + '/' + s)}")
-    for b, s, words in taxonomy.KEYWORD_RULES:
+        out.append(f"WHEN regexp_matches({title}, '(?i)(^|[^A-Za-z0-9_])({pattern})($|[^A-Za-z0-9_])') THEN {_sql(b + '/' + s)}")
+    stages = [(title, rule) for rule in taxonomy.KEYWORD_RULES] + [(f"coalesce({category}, {title})", rule) for rule in taxonomy.CATEGORY_RULES]
+    for source, (b, s, words) in stages:
         tests = []
         for w in words:
             key = w.lower()
             for x, y in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("-", " "), ("_", " "), (".", " "), ("/", " ")):
                 key = key.replace(x, y)
             key = " ".join(key.split())
-            padded = f"(' ' || {norm.format('title')} || ' ')"
+            padded = f"(' ' || {norm.format(source)} || ' ')"
             tests.append(f"contains({padded}, {_sql(key if len(key) > 4 else f' {key} ')})")
         out.append(f"WHEN {' OR '.join(tests)} THEN {_sql(b + '/' + s)}")
     return "CASE " + " ".join(out) + " ELSE 'Sonstiges/Sonstige' END"
@@ -414,6 +415,17 @@ def classify_titles(spark, sf_dir):
     return _offers(spark, sf_dir).select("external_id", "title", F.concat_ws("/", pair["bucket"], pair["subcategory"]).alias("pair"))
 
 
+_WORDS = ("actimel", "Akku-Rasenmäher", "Angebot", "Bio-Lachs", "hund", "Alpro Drink", "Fischöl", "apfeltasche", "Frosch", "Aktenschrank", "Florida-Eis", "ariel")
+
+
+@query("classify_texts", f"""WITH t AS (SELECT p_partkey AS external_id, {_pick(_WORDS, 'p_partkey')} || ' ' || p_name AS text FROM part)
+ SELECT external_id, {_rule_sql('text', 'NULL')} AS pair FROM t""")
+def classify_texts(spark, sf_dir):
+    """One text that is title and category at once."""
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("external_id"), F.concat_ws(" ", _pick_col(_WORDS, F.col("p_partkey")), F.col("p_name")).alias("text"))
+    return rows.withColumn("pair", taxonomy.classify(F.col("text"))).select("external_id", F.concat_ws("/", "pair.bucket", "pair.subcategory").alias("pair"))
+
+
 @query("source_bucket", f"WITH {OFFERS_SQL} SELECT external_id, {_SOURCE_SQL} AS bucket FROM offers")
 def source_bucket(spark, sf_dir):
     return _offers(spark, sf_dir).select("external_id", taxonomy.source_bucket(F.col("source_category"), F.col("source_category_path")).alias("bucket"))
