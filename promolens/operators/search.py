@@ -15,8 +15,8 @@ from promolens.functions.vectors import cosine, dot, norm
 
 from .filters import currently_valid, like_any, optional_filters
 
-#: Queries that one broadcast takes, about.
-MAX_BROADCAST_QUERIES = 10_000
+#: Bytes of query vectors that one broadcast takes, about.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def with_analysis(offers: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -48,10 +48,12 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
     ``queries`` has query_id, vector and cutoff; max_price, category, stores and
     min_discount narrow a query where they are there and not null. Plain
     conditions come before the cosine. Queries are the small side: they are counted
-    first and broadcast in blocks of about ``MAX_BROADCAST_QUERIES`` at most, each
-    against all offers. Ranks are cut in each task before the shuffle.
+    first and broadcast in blocks of about ``MAX_BROADCAST_BYTES`` at most, each
+    against all offers. Ranks are cut in each task before the shuffle. Many offers
+    are better searched by a ``VectorIndex``.
     """
-    parts = -(-queries.count() // MAX_BROADCAST_QUERIES)
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector").cast("long")).alias("components")).first()
+    parts = -(-(8 * (size["components"] or 0) + 200 * size["n"]) // MAX_BROADCAST_BYTES)
     if parts > 1:  # as many blocks of queries, each broadcast by itself
         block = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
         found = [_nearest(queries.filter(block == n), offers, k, digits) for n in range(2 * parts)]

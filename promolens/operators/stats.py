@@ -121,7 +121,7 @@ def taxonomy_coverage(offers: DataFrame) -> DataFrame:
 
 def age_text(at: Column, as_of: datetime) -> Column:
     """Age in minutes, hours or days."""
-    minutes = F.greatest(F.lit(0), F.round((F.lit(as_of).cast("timestamp").cast("double") - at.cast("double")) / 60).cast("long"))
+    minutes = F.greatest(F.lit(0), F.round((F.lit(as_of).cast("timestamp").cast("double") - at.cast("timestamp").cast("double")) / 60).cast("long"))
     hours = F.round(minutes / 60).cast("long")
     return (
         F.when(at.isNull(), "unbekannt").when(minutes < 60, F.concat(F.lit("vor "), minutes.cast("string"), F.lit(" min")))

@@ -16,7 +16,7 @@ from promolens.operators import alerts, history, labels, merge, search, stats
 from promolens.schema import OFFERS, align_schema, validate
 from promolens.streaming import jobs
 
-from .queries import _MATCHES, _VECTORS, _alerts, _cents, _matches, _offers, _pick, _pick_col, _read, _vector_offers, AS_OF, OFFERS_SQL, query
+from .queries import _MATCHES, _VECTORS, _alerts, _cents, _matches, _offers, _pick, _pick_col, _read, _vector_offers, ALERT_SQL, AS_OF, OFFERS_SQL, query, TAGS_SQL
 
 
 
@@ -90,13 +90,17 @@ def embedding_texts_missing(spark, sf_dir):
     return made.select("p_partkey", F.col("embedding").isNotNull().alias("has_vector"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dims"))
 
 
-@query("vector_length", f"WITH {_VECTORS} SELECT id, true AS unit FROM o")
+@query("vector_length", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+ SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS length, len(v) AS size, true AS unit, true AS same FROM e""")
 def vector_length(spark, sf_dir):
-    """Made vectors have length 1, equal texts equal vectors."""
-    rows = _vector_offers(spark, sf_dir).filter("is_active").select("id", F.concat(F.lit("Offer "), _str("id")).alias("body"))
+    """Lengths of the given vectors; vectors made of texts have length 1, and equal words give equal ones."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("Offer "), _str("vec_id")).alias("body"))
     v = vectors.hashed_embedding(F.col("body"))
     same = vectors.hashed_embedding(F.concat(F.lit("OFFER, "), _str("id")))
-    return rows.select("id", ((F.abs(vectors.norm(v) - 1) < 1e-6) & (v == same)).alias("unit"))
+    return rows.select(
+        "id", F.round(vectors.norm(F.col("embedding")), 5).alias("length"), F.size("embedding").cast("long").alias("size"),
+        (F.abs(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-6).alias("unit"), (v == same).alias("same"),
+    )
 
 
 # prices
@@ -415,7 +419,7 @@ def new_users(spark, sf_dir):
 
 
 @query("run_digest", f"""WITH {_MATCHES}, sent AS (SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY alert_id, rank) AS ids, count(*) AS n FROM matches WHERE rank <= 5 AND user_id % 5 <> 0 GROUP BY 1)
- SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'sent' ELSE 'skipped' END AS status, ids AS offer_ids, n || ' Angebote' AS payload_summary, CASE WHEN user_id % 2 = 0 THEN (SELECT count(*) FROM embeddings e WHERE e.label = 3 AND e.vec_id % 7 = user_id) ELSE 0 END AS touched FROM sent""")
+ SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'sent' ELSE 'skipped' END AS status, ids AS offer_ids, n || ' Angebote' AS payload_summary, CASE WHEN user_id % 2 = 0 THEN (SELECT count(*) FROM embeddings e WHERE e.vec_id % 20 = 0 AND e.vec_id % 7 = user_id) ELSE 0 END AS touched FROM sent""")
 def run_digest(spark, sf_dir):
     """The whole weekly job: reachable alerts, matches, digests, log rows, alerts touched."""
     rows = _alerts(spark, sf_dir).withColumn("last_triggered_at", F.lit(None).cast("timestamp"))
@@ -493,23 +497,20 @@ def clean_keywords(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", F.array_join(querytext.clean_keywords(words), ",").alias("words"))
 
 
-@query("review_queries", """SELECT conv_id, turn, conv_id % 3 <> 2 AS is_review, CASE conv_id % 3 WHEN 0 THEN 'lidl,edeka' ELSE 'lidl,aldi,edeka' END AS stores, CASE conv_id % 3 WHEN 0 THEN 'manual' ELSE 'auto' END AS mode FROM conversations""")
+_REVIEWS = ("Bitte den Katalog von Edeka und LIDL manuell prüfen", "/review", "nur der Katalog", "danke", "catalog review of Aldi")
+
+
+@query("review_queries", f"""WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || {_pick(_REVIEWS, 'conv_id')}) AS t FROM conversations), s AS (SELECT *, list_filter(['lidl', 'aldi', 'edeka'], lambda x: contains(t, x)) AS named FROM m)
+ SELECT conv_id, turn, contains(t, '/review') OR ((contains(t, 'katalog') OR contains(t, 'catalog')) AND (contains(t, 'review') OR contains(t, 'prüf') OR contains(t, 'pruef'))) AS is_review,
+ array_to_string(CASE WHEN len(named) > 0 THEN named ELSE ['lidl', 'aldi', 'edeka'] END, ',') AS stores, CASE WHEN contains(t, 'manual') OR contains(t, 'manuell') THEN 'manual' ELSE 'auto' END AS mode FROM s""")
 def review_queries(spark, sf_dir):
-    k = F.col("conv_id") % 3
-    said = F.when(k == 0, "Bitte den Katalog von Edeka und LIDL manuell prüfen").when(k == 1, "/review").otherwise("nur der Katalog")
+    """The messages, each with a request behind it."""
+    said = F.concat_ws(" ", F.coalesce("text", F.lit("")), _pick_col(_REVIEWS, F.col("conv_id")))
     rows = querytext.tag_queries(_read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text")))
     return rows.select("conv_id", "turn", "is_review", F.array_join("review_stores", ",").alias("stores"), F.col("review_mode").alias("mode"))
 
 
-@query("message_tags", """WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations), f AS (SELECT *,
-  contains(t, 'benachrichtig') OR contains(t, 'alert') OR contains(t, 'erinner') OR contains(t, 'sobald') AS alert FROM m)
- SELECT conv_id, turn, CASE WHEN t = '' THEN 'unknown' WHEN contains(t, 'lade') OR contains(t, 'aktualisiere') OR contains(t, 'neue angebote') OR contains(t, 'scan') OR contains(t, 'scrape') THEN 'scrape'
-  WHEN contains(t, 'vergleich') OR contains(t, 'unterschied') OR contains(t, 'welch') OR contains(t, 'besser') THEN 'compare'
-  WHEN alert AND (contains(t, 'lösch') OR contains(t, 'entfern') OR contains(t, 'deaktiviere')) THEN 'delete_alert'
-  WHEN alert AND (contains(t, 'zeig') OR contains(t, 'mein') OR contains(t, 'list') OR contains(t, 'übersicht')) THEN 'list_alerts' WHEN alert THEN 'set_alert' ELSE 'query' END AS intent,
- contains(t, 'prospekt') OR contains(t, 'katalog') OR contains(t, 'seite') OR contains(t, 'flyer') AS is_brochure,
- array_to_string(list_filter(['lidl', 'edeka', 'aldi', 'rewe', 'penny', 'netto'], lambda s: contains(t, s)), ',') AS stores,
- TRY_CAST(replace(nullif(regexp_extract(t, 'unter\\s+([0-9,.]+)', 1), ''), ',', '.') AS DOUBLE) AS price_cap FROM f""")
+@query("message_tags", f"""WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations), f AS (SELECT *, {ALERT_SQL} FROM m) SELECT conv_id, turn, {TAGS_SQL} FROM f""")
 def message_tags(spark, sf_dir):
     """The real messages, as they are."""
     rows = querytext.tag_queries(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))

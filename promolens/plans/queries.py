@@ -179,6 +179,13 @@ def pending_labels_first(spark, sf_dir):
     return labels.pending_labels(_offers(spark, sf_dir), done, "2001", 50).select("external_id", "title")
 
 
+@query("pending_labels_forced", f"WITH {OFFERS_SQL} SELECT external_id, title FROM offers WHERE is_active")
+def pending_labels_forced(spark, sf_dir):
+    """All active offers again, whatever labels they have."""
+    done = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("external_id"), F.year("l_shipdate").cast("string").alias("model_version"))
+    return labels.pending_labels(_offers(spark, sf_dir), done, "2001", force=True).select("external_id", "title")
+
+
 @query("dedupe_first_seen", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def dedupe_first_seen(spark, sf_dir):
     return merge.dedupe_first(_read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
@@ -300,16 +307,17 @@ def search_offers_since(spark, sf_dir):
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved searches: the vectors of one category."""
+    """Saved searches: the vectors whose id is divisible by 20."""
     v = F.col("vec_id")
-    return _read(spark, sf_dir, "embeddings").filter("label = 3").select(
+    return _read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(
         v.alias("id"), (v % 7).alias("user_id"), F.concat(F.lit("a"), v.cast("string")).alias("name"), F.col("embedding").alias("query_embedding"), F.lit(0.1).alias("similarity_threshold"),
         F.when(v % 3 != 0, F.lit(70)).cast("decimal(10,2)").alias("max_price"), F.lit(True).alias("is_active"),
-        F.when(v % 2 == 0, F.array(F.lit("s1"), F.lit("s2"))).alias("stores"), F.when(v % 5 == 0, F.lit(30)).cast("decimal(5,1)").alias("min_discount"), F.lit(None).cast("array<string>").alias("categories"),
+        F.when(v % 40 == 0, F.array(F.lit("s1"), F.lit("s2"))).alias("stores"), F.when(v % 100 == 0, F.lit(30)).cast("decimal(5,1)").alias("min_discount"), F.lit(None).cast("array<string>").alias("categories"),
     )
 
 
-_MATCHES = f"""{_VECTORS}, a AS (SELECT vec_id AS alert_id, vec_id % 7 AS user_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id % 3 <> 0 THEN 70 END AS max_price, vec_id % 2 = 0 AS picky, CASE WHEN vec_id % 5 = 0 THEN 30 END AS min_discount FROM embeddings WHERE label = 3),
+_ALERTS = f"""{_VECTORS}, a AS (SELECT vec_id AS alert_id, vec_id % 7 AS user_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id % 3 <> 0 THEN 70 END AS max_price, vec_id % 40 = 0 AS picky, CASE WHEN vec_id % 100 = 0 THEN 30 END AS min_discount FROM embeddings WHERE vec_id % 20 = 0)"""
+_MATCHES = f"""{_ALERTS},
  pairs AS (SELECT alert_id, user_id, id, round(list_cosine_similarity(e, v), 6) AS similarity FROM o, a WHERE hour >= 300 AND (max_price IS NULL OR price <= max_price) AND (NOT picky OR store IN ('s1', 's2')) AND (min_discount IS NULL OR discount >= min_discount)),
  matches AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY similarity DESC, id) AS rank FROM pairs WHERE similarity >= 0.1 QUALIFY rank <= 8)"""
 
@@ -323,6 +331,14 @@ def alert_topk(spark, sf_dir):
     return _matches(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("alert_topk_loose", f"""WITH {_ALERTS}, pairs AS (SELECT alert_id, id, round(list_cosine_similarity(e, v), 6) AS similarity FROM o, a WHERE hour >= 300 AND (max_price IS NULL OR price <= max_price))
+ SELECT alert_id, id, similarity, row_number() OVER (PARTITION BY alert_id ORDER BY similarity DESC, id) AS rank FROM pairs WHERE similarity >= 0.1 QUALIFY rank <= 8""")
+def alert_topk_loose(spark, sf_dir):
+    """Without the alerts' stores and least discounts."""
+    rows = alerts.match_alerts(_alerts(spark, sf_dir), _vector_offers(spark, sf_dir), AS_OF, days=7, strict=False, digits=6)
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("alert_digests", f"""WITH {_MATCHES}, sections AS (SELECT alert_id, user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids, count(*) AS n FROM matches WHERE rank <= 5 GROUP BY 1, 2)
  SELECT user_id, string_agg(alert_id || ':' || ids, ';' ORDER BY alert_id) AS sections, CAST(sum(n) AS BIGINT) AS n_offers FROM sections GROUP BY 1""")
 def alert_digests(spark, sf_dir):
@@ -563,12 +579,24 @@ def discover_keywords(spark, sf_dir):
 _PHRASES = ("Vergleiche bitte", "Sag Bescheid sobald", "unter 3,50 Euro bei Lidl", "Aktuelle Angebote im Prospekt", "lade neue", "was kostet es", "lösch den alert", "zeig mein alert bei Edeka und Rewe")
 
 
-@query("tag_queries", f"""WITH m AS (SELECT conv_id, turn, {_pick(_PHRASES, 'conv_id')} AS t FROM conversations)
- SELECT conv_id, turn, CASE t WHEN 'Vergleiche bitte' THEN 'compare' WHEN 'Sag Bescheid sobald' THEN 'set_alert' WHEN 'lade neue' THEN 'scrape' WHEN 'lösch den alert' THEN 'delete_alert' WHEN 'zeig mein alert bei Edeka und Rewe' THEN 'list_alerts' ELSE 'query' END AS intent,
- CASE WHEN t LIKE 'unter 3,50%' THEN 3.5 END AS price_cap, t = 'Aktuelle Angebote im Prospekt' AS is_generic, t LIKE '%Prospekt%' AS is_brochure,
- CASE WHEN t LIKE '%Lidl' THEN 'lidl' WHEN t LIKE '%Edeka%' THEN 'edeka,rewe' ELSE '' END AS stores FROM m""")
+#: What ``tag_queries`` finds in a lower-case text t, for DuckDB.
+TAGS_SQL = """CASE WHEN t = '' THEN 'unknown' WHEN contains(t, 'lade') OR contains(t, 'aktualisiere') OR contains(t, 'neue angebote') OR contains(t, 'scan') OR contains(t, 'scrape') THEN 'scrape'
+  WHEN contains(t, 'vergleich') OR contains(t, 'unterschied') OR contains(t, 'welch') OR contains(t, 'besser') THEN 'compare'
+  WHEN alert AND (contains(t, 'lösch') OR contains(t, 'entfern') OR contains(t, 'deaktiviere')) THEN 'delete_alert'
+  WHEN alert AND (contains(t, 'zeig') OR contains(t, 'mein') OR contains(t, 'list') OR contains(t, 'übersicht')) THEN 'list_alerts' WHEN alert THEN 'set_alert' ELSE 'query' END AS intent,
+ contains(t, 'prospekt') OR contains(t, 'katalog') OR contains(t, 'seite') OR contains(t, 'flyer') AS is_brochure,
+ array_to_string(list_filter(['lidl', 'edeka', 'aldi', 'rewe', 'penny', 'netto'], lambda s: contains(t, s)), ',') AS stores,
+ TRY_CAST(replace(nullif(regexp_extract(t, 'unter\\s+([0-9,.]+)', 1), ''), ',', '.') AS DOUBLE) AS price_cap"""
+ALERT_SQL = "contains(t, 'benachrichtig') OR contains(t, 'alert') OR contains(t, 'erinner') OR contains(t, 'sobald') AS alert"
+
+
+@query("tag_queries", f"""WITH m AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || {_pick(_PHRASES, 'conv_id')}) AS t FROM conversations), f AS (SELECT *, {ALERT_SQL} FROM m)
+ SELECT conv_id, turn, {TAGS_SQL}, contains(t, 'was ist gerade im angebot') OR contains(t, 'was ist aktuell im angebot') OR contains(t, 'aktuelle angebote') OR contains(t, 'gerade im angebot') OR contains(t, 'heute im angebot')
+  OR contains(t, 'welche angebote gibt es') OR contains(t, 'zeige aktuelle angebote') AS is_generic FROM f""")
 def tag_queries(spark, sf_dir):
-    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", _pick_col(_PHRASES, F.col("conv_id")).alias("text"))
+    """The messages, each with a request behind it."""
+    said = F.concat_ws(" ", F.coalesce("text", F.lit("")), _pick_col(_PHRASES, F.col("conv_id")))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text"))
     return querytext.tag_queries(rows).select("conv_id", "turn", "intent", "price_cap", "is_generic", "is_brochure", F.array_join("stores", ",").alias("stores"))
 
 
@@ -578,13 +606,19 @@ def brochure_search(spark, sf_dir):
     return search.search_brochure_pages(pages, "Prospekt Licensed, Apache", ["src1"]).select(F.col("external_id").alias("doc_id"), "store")
 
 
-@query("freshness", "SELECT strftime(max(ts), '%Y-%m-%d') AS day, 'vor 26 Tagen' AS age FROM events")
+@query("freshness", """WITH u AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1), m AS (SELECT user_id, seen, greatest(0, round(epoch(TIMESTAMP '2024-02-03 12:00:00' - seen) / 60)) AS minutes FROM u)
+ SELECT user_id, strftime(seen, '%Y-%m-%d') AS day, CASE WHEN minutes < 60 THEN 'vor ' || CAST(minutes AS BIGINT) || ' min' WHEN round(minutes / 60) < 36 THEN 'vor ' || CAST(round(minutes / 60) AS BIGINT) || ' h'
+  ELSE 'vor ' || CAST(round(round(minutes / 60) / 24) AS BIGINT) || ' Tagen' END AS age FROM m""")
 def freshness(spark, sf_dir):
-    rows = _read(spark, sf_dir, "events").agg(F.max("ts").alias("last_seen_at"))
-    shifted = rows.select(F.date_format("last_seen_at", "yyyy-MM-dd").alias("day"), F.date_trunc("day", "last_seen_at").alias("at"))
-    last = _read(spark, sf_dir, "events").agg(F.max(F.date_trunc("day", "ts"))).first()[0]
-    as_of = datetime.fromtimestamp((last or AS_OF).replace(tzinfo=timezone.utc).timestamp() + 26 * 86400, timezone.utc)
-    return shifted.select("day", stats.age_text(F.col("at"), as_of).alias("age"))
+    """How long ago every user was last seen."""
+    rows = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
+    return rows.select("user_id", F.date_format("at", "yyyy-MM-dd").alias("day"), stats.age_text(F.col("at"), datetime(2024, 2, 3, 12, tzinfo=timezone.utc)).alias("age"))
+
+
+@query("newest_sighting", "SELECT strftime(max(ts), '%Y-%m-%d %H:%M') AS seen, 'vor ' || CAST(round(round(round(epoch(TIMESTAMP '2024-03-03 12:00:00' - max(ts)) / 60) / 60) / 24) AS BIGINT) || ' Tagen' AS age FROM events")
+def newest_sighting(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("ts").alias("last_seen_at"))
+    return stats.freshness(rows, datetime(2024, 3, 3, 12, tzinfo=timezone.utc)).select(F.date_format("last_seen_at", "yyyy-MM-dd HH:mm").alias("seen"), "age")
 
 
 @query("review_summary", "SELECT user_id AS review_session_id, count(*) FILTER (WHERE event_type = 'click') AS approved, count(*) FILTER (WHERE event_type = 'error') AS rejected, count(*) FILTER (WHERE event_type = 'view') AS flagged, count(*) AS total FROM events GROUP BY 1")
@@ -609,11 +643,13 @@ def taxonomy_coverage(spark, sf_dir):
     return stats.taxonomy_coverage(_offers(spark, sf_dir))
 
 
-@query("label_batches", "WITH n AS (SELECT count(*) AS n FROM part WHERE p_size % 10 <> 0) SELECT CAST(n AS BIGINT) AS offers, true AS within_size FROM n")
+@query("label_batches", f"WITH {OFFERS_SQL} SELECT external_id, title, store, 1 AS payloads, true AS within_size FROM offers WHERE is_active")
 def label_batches(spark, sf_dir):
+    """Every offer in one payload, as it was, and no payload above its size."""
     batches = labels.label_batches(_offers(spark, sf_dir).filter("is_active").select("external_id", "title", "store"))
-    ids = F.size(F.from_json("payload", "array<struct<external_id:long>>"))
-    return batches.agg(F.sum(ids).cast("long").alias("offers"), (F.max("n") <= 25).alias("within_size"))
+    inside = F.inline(F.from_json("payload", "array<struct<external_id:long,title:string,store:string>>"))
+    rows = batches.select("shard", "batch", "n", inside)
+    return rows.groupBy("external_id", "title", "store").agg(F.count_distinct("shard", "batch").alias("payloads"), (F.max("n") <= 25).alias("within_size"))
 
 
 @query("validate_labels", """WITH r AS (SELECT p_partkey AS offer_id, p_partkey % 4 AS k FROM part) SELECT offer_id, CASE WHEN k = 0 THEN 'Bier' ELSE 'Wasser & Säfte' END AS subcategory, k <> 0 AS coerced FROM r WHERE k IN (0, 1)""")
@@ -746,7 +782,7 @@ def notification_log(spark, sf_dir):
     return rows.select("user_id", "status", F.array_join(F.col("offer_ids").cast("array<string>"), ",").alias("offer_ids"), "payload_summary")
 
 
-@query("touch_alerts", f"WITH {_MATCHES}, had AS (SELECT DISTINCT user_id FROM matches WHERE rank <= 5) SELECT vec_id AS id, vec_id % 7 IN (SELECT user_id FROM had) AS touched FROM embeddings WHERE label = 3")
+@query("touch_alerts", f"WITH {_MATCHES}, had AS (SELECT DISTINCT user_id FROM matches WHERE rank <= 5) SELECT vec_id AS id, vec_id % 7 IN (SELECT user_id FROM had) AS touched FROM embeddings WHERE vec_id % 20 = 0")
 def touch_alerts(spark, sf_dir):
     rows = _alerts(spark, sf_dir).withColumn("last_triggered_at", F.lit(None).cast("timestamp"))
     digests = alerts.build_digests(_matches(spark, sf_dir), rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolens.operators import history, scores
+from promolens.operators.vector_index import VectorIndex
 from promolens.sources.buckets import BucketTable
 from promolens.sources.tables import append_history, compact_history, work_folder
 
@@ -75,3 +76,17 @@ def compacted_scores(spark, sf_dir):
  SELECT external_id, strftime(day, '%Y-%m-%d') AS day, price, n AS observations, CASE WHEN n >= 3 THEN (2 * below * 1000 + n) // (2 * n) END AS percentile_tenths FROM c""")
 def daily_price_percentiles(spark, sf_dir):
     return history.daily_percentiles(_history(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query("indexed_nearest", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ p AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity FROM e, e AS q WHERE q.id % 20 = 0)
+ SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity >= 0.6 QUALIFY rank <= 8""")
+def indexed_nearest(spark, sf_dir):
+    """Vectors whose id is divisible by 20 against all, through a stored index filled by two batches."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, work_folder(spark))
+    index.fit(rows)
+    for batch in (0, 1):
+        index.insert(rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == batch), f"b{batch}")
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.search(asked, 8, 0.6, digits=6).withColumn("rank", F.col("rank").cast("long"))
