@@ -106,6 +106,12 @@ class BucketTable:
         """The newest version, or an older one that is still there; an empty table before the first."""
         return self._rows(self.manifest(version))
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of some keys; only their buckets are read."""
+        asked = keys.select(*self.keys)
+        touched = [r[0] for r in asked.select(self._bucket().alias(BUCKET)).distinct().collect()]
+        return self._rows(self.manifest(), touched).join(asked, self.keys, "left_semi")
+
     def files(self, version: int | None = None) -> dict[int, str]:
         """The folder of each bucket that has rows."""
         return {int(b): f"data/{folder}/{BUCKET}={b}" for b, folder in self.manifest(version)["folders"].items()}

@@ -14,39 +14,57 @@ from promolens.operators.alerts import match_alerts
 from promolens.operators.history import append_price_history
 from promolens.operators.merge import dedupe_first, merge_by_key, merge_offers
 from promolens.schema import ALERTS, OFFERS, align_schema
+from promolens.sources.buckets import BucketTable
 from promolens.sources.listings import dedupe_offers, explode_listing_items, extract_listing_json, normalize_items
 from promolens.sources.tables import Snapshots, append_history
 
 PAGES = "url string, html string, keyword string, keyword_rank int, scraped_at timestamp"
 
 
-def run_ingest_stream(spark: SparkSession, landing: str, offers_path: str, history_path: str, checkpoint: str, base: str, clock: Callable[[DataFrame], datetime]) -> StreamingQuery:
+def _with_vectors(merged: DataFrame) -> DataFrame:
+    return align_schema(embed_missing(merged, offer_text(F.col("title"), F.col("category"), F.col("store"))), OFFERS)
+
+
+def run_ingest_stream(
+    spark: SparkSession, landing: str, offers_path: str, history_path: str, checkpoint: str, base: str, clock: Callable[[DataFrame], datetime], buckets: int | None = None
+) -> StreamingQuery:
     """Pages that arrive in ``landing`` become offers, vectors and observations.
 
-    Each micro-batch is normalised, deduplicated, merged into the offers' next
-    snapshot, and appended to the history; a replayed batch changes nothing.
-    ``clock`` gives a batch's point in time. Runs until what is there is read.
+    Each micro-batch is normalised, deduplicated, merged into the offers, and
+    appended to the history; a replayed batch changes nothing. With ``buckets``
+    the offers are a ``BucketTable`` of that many: a micro-batch then reads and
+    writes the buckets of its own keys only. Without, they are snapshots, and each
+    one is a copy of the whole table. ``clock`` gives a batch's point in time.
+    Runs until what is there is read.
     """
-    offers = Snapshots(spark, offers_path)
+    snapshots = Snapshots(spark, offers_path)
 
-    def step(batch: DataFrame, number: int) -> None:
+    def normalised(batch: DataFrame, at: datetime) -> DataFrame:
+        items = explode_listing_items(extract_listing_json(batch.drop("scraped_at")))
+        return align_schema(dedupe_offers(normalize_items(items, at, base)), OFFERS)
+
+    def into_snapshots(batch: DataFrame, number: int) -> None:
         tag = f"b{number}"
-        if any(v.endswith(f"-{tag}") for v in offers.versions()):
-            merged_now = offers.read(OFFERS)
-        else:
+        if not any(v.endswith(f"-{tag}") for v in snapshots.versions()):
             at = clock(batch)
-            items = explode_listing_items(extract_listing_json(batch.drop("scraped_at")))
-            rows = dedupe_offers(normalize_items(items, at, base))
-            merged = merge_offers(offers.read(OFFERS), align_schema(rows, OFFERS), at)
-            vectors = embed_missing(merged, offer_text(F.col("title"), F.col("category"), F.col("store")))
-            offers.write(align_schema(vectors, OFFERS), tag)
-            merged_now = offers.read(OFFERS)
+            snapshots.write(_with_vectors(merge_offers(snapshots.read(OFFERS), normalised(batch, at), at)), tag)
+        merged_now = snapshots.read(OFFERS)
         at = merged_now.agg(F.max("last_seen_at")).first()[0]
         if at is not None:
             append_history(append_price_history(merged_now.filter(F.col("last_seen_at") == F.lit(at)), at), history_path, tag)
 
+    def into_buckets(batch: DataFrame, number: int) -> None:
+        table = BucketTable(spark, offers_path, OFFERS, ["external_id"], buckets)
+        at = clock(batch)
+        rows = normalised(batch, at).filter("external_id is not null").persist()
+        try:
+            table.rewrite(rows, lambda current, new: _with_vectors(merge_offers(current, new, at)), ("ingest", number))
+            append_history(append_price_history(table.lookup(rows.select("external_id").distinct()), at), history_path, f"b{number}")
+        finally:
+            rows.unpersist()
+
     pages = spark.readStream.schema(PAGES).parquet(landing)
-    return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(into_buckets if buckets else into_snapshots).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_alert_stream(spark: SparkSession, landing: str, alerts_path: str, checkpoint: str) -> StreamingQuery:
