@@ -8,8 +8,8 @@ worked out once for each pair of tuples and remembered.
 
 A link's count is a sum over the corpus, so there are two passes. The first deals
 texts in blocks of about ``BLOCK`` bytes and stores one row per block: the block's
-distinct windows with their links, its documents as lists of window numbers, and
-its distinct pairs of ids with their numbers of links. The pairs are summed over
+distinct windows as the symbols that write their groups, its documents as lists of
+window numbers, and its distinct pairs of ids with their numbers of links. The pairs are summed over
 all blocks; then the sums of the pairs that a block has go back to it, by a join
 on the pair and a grouping by the block. A pair that is in all blocks is one row
 for each block, of a join that Spark may split.
@@ -37,9 +37,9 @@ from .shared import stored
 from .textops import blocks, mix, running_hash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Words that a worker remembers the pieces of, at most, and the letters from which on a word is not remembered.
-MEMO, LONG = 200_000, 64
+MEMO, LONG = 100_000, 64
 
 
 class Vocabulary:
@@ -120,12 +120,11 @@ def _tokenizers(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(a_path), Pieces(b_path)
 
 
-def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links and groups of two lists of ids, given the bytes until each token's end.
 
     Returns the links' pairs of ids and byte ends, in the order of the text, and
-    the symbols that write the groups with the number of symbols until each
-    token of A. A group ends where tokens of both end; one link joins the two
+    the symbols that write the groups (ids of B below zero). A group ends where tokens of both end; one link joins the two
     tokens over each stretch that no token's end cuts.
     """
     of_a, of_b = np.searchsorted(b_ends, a_ends), np.searchsorted(a_ends, b_ends)  # the token of the other side that ends there or later
@@ -138,10 +137,9 @@ def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray)
     b_before = np.concatenate([[0], np.flatnonzero(b_shared) + 1])
     a_until = np.flatnonzero(a_shared) + 1
     symbols = np.empty(len(a) + len(b), np.int64)
-    a_place = np.arange(len(a)) + b_before[a_group]
-    symbols[a_place] = 2 * a + a_shared
+    symbols[np.arange(len(a)) + b_before[a_group]] = 2 * a + a_shared
     symbols[np.arange(len(b)) + a_until[b_group]] = -(2 * b + b_shared) - 1
-    return pairs[order], ends[order], symbols, a_place
+    return pairs[order], ends[order], symbols
 
 
 @lru_cache(2)
@@ -169,7 +167,7 @@ def _distinct(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarr
 
 
 BLOCK_SCHEMA = (
-    "block long, docs array<long>, n_a array<long>, n_b array<long>, n_windows array<long>, windows binary, n_symbols binary, symbols binary, n_links binary, links binary, pairs array<long>, pair_links array<long>"
+    "block long, docs array<long>, n_a array<long>, n_b array<long>, n_windows array<long>, windows binary, n_symbols binary, symbols binary, pairs array<long>, pair_links array<long>"
 )
 
 
@@ -208,7 +206,7 @@ def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     a, b = np.concatenate(a_ids).astype(np.int64), np.concatenate(b_ids).astype(np.int64)
     if not len(a):
         zeros, none = np.zeros(len(texts), np.int64), _packed(np.zeros(0))
-        return zeros, zeros, zeros, none, none, none, none, none, [], []
+        return zeros, zeros, zeros, none, none, none, [], []
     ends_a, ends_b, doc_ends = np.cumsum(va.length[a]), np.cumsum(vb.length[b]), np.cumsum(spans)
     at = np.zeros(ends_a[-1] + 1, np.uint8)
     at[ends_a] += 1
@@ -229,9 +227,9 @@ def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     a_n, b_n = np.diff(a_cut, prepend=0)[first], np.diff(b_cut, prepend=0)[first]
     a, b = a[_runs(a_cut[first] - a_n, a_n)], b[_runs(b_cut[first] - b_n, b_n)]
     ends_a, ends_b = np.cumsum(va.length[a]), np.cumsum(vb.length[b])
-    found, ends, symbols, a_place = align(a, b, ends_a, ends_b)
+    found, ends, symbols = align(a, b, ends_a, ends_b)
     n_links = np.diff(np.searchsorted(ends, ends_a[np.cumsum(a_n) - 1], "right"), prepend=0)
-    pairs, place = np.unique(found, return_inverse=True)
+    pairs, place = np.unique(found, return_inverse=True)  # in ascending order
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, place, np.repeat(uses, n_links))
     of_b = symbols < 0
@@ -239,18 +237,27 @@ def _block(texts: list[bytes], a_path: str, b_path: str) -> tuple:
     of_b = symbols >= 2 * len(va.tokens)
     code = symbols[of_b] - 2 * len(va.tokens)
     symbols[of_b] = 2 * len(va.tokens) + (code & 1) * len(vb.tokens) + (code >> 1)
-    return n_a, n_b, n_windows, _packed(rank[number]), _packed(a_n + b_n), _packed(symbols), _packed(n_links), _packed(place), pairs, total
+    return n_a, n_b, n_windows, _packed(rank[number]), _packed(a_n + b_n), _packed(symbols), pairs, total
 
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-def _documents(row: dict, pos: np.ndarray, count: np.ndarray, best: np.ndarray, n_a: int, n_b: int) -> pa.RecordBatch:
-    """The documents of one block, given its pairs' counts and the sizes of the vocabularies."""
+def _documents(row: dict, pos: np.ndarray, count: np.ndarray, best: np.ndarray, va: Vocabulary, vb: Vocabulary) -> pa.RecordBatch:
+    """The documents of one block, given its pairs' counts; the windows' links follow from their symbols."""
+    n_a, n_b = len(va.tokens), len(vb.tokens)
     counts, bests = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
     counts[pos], bests[pos] = count, best
-    windows, n_symbols, symbols, n_links, links = (_unpacked(row[c]) for c in ("windows", "n_symbols", "symbols", "n_links", "links"))
+    windows, n_symbols, symbols = (_unpacked(row[c]) for c in ("windows", "n_symbols", "symbols"))
     closes = (symbols >= 2 * n_a + n_b).astype(np.int64)
+    of_a = symbols < 2 * n_a
+    a, b = symbols[of_a] >> 1, (symbols[~of_a] - 2 * n_a) % n_b
+    links, n_links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(a):
+        ends_a = np.cumsum(va.length[a])
+        found, ends, _ = align(a, b, ends_a, np.cumsum(vb.length[b]))
+        links = np.searchsorted(np.array(row["pairs"], np.int64), found)
+        n_links = np.diff(np.searchsorted(ends, ends_a[np.cumsum(of_a)[np.cumsum(n_symbols) - 1] - 1], "right"), prepend=0)
 
     def per_window(x: np.ndarray, n: np.ndarray) -> np.ndarray:
         sums, ends = np.concatenate([[0], np.cumsum(x)]), np.cumsum(n)
@@ -288,7 +295,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, number = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")], TaskContext.get().partitionId() << 32
-        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 5, *[pa.list_(pa.int64())] * 2]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
         for batch in batches:
             for i, j, b, off in blocks(batch.column(1), BLOCK):
                 raw = b.tobytes()
@@ -308,8 +315,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = [right.column(c).to_numpy() for c in ("pos", "count", "best")]
-        sizes = [len(x.vocabulary.tokens) for x in _tokenizers(a_path, b_path)]
-        return pa.Table.from_batches([_documents(row, *numbers, *sizes) for row in left.to_pylist()])
+        words = [x.vocabulary for x in _tokenizers(a_path, b_path)]
+        return pa.Table.from_batches([_documents(row, *numbers, *words) for row in left.to_pylist()])
 
     whole = found.drop("pair_links")
     return whole.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(finish, RESULT)
