@@ -52,6 +52,14 @@ def reachable(alerts: DataFrame, users: DataFrame) -> DataFrame:
     return alerts.filter("is_active").join(u, "user_id")
 
 
+def alert_queries(alerts: DataFrame, strict: bool = True) -> DataFrame:
+    """Active alerts with a vector as search queries: (query_id, vector, cutoff and conditions)."""
+    return alerts.filter("is_active and query_embedding is not null").select(
+        F.col("id").alias("query_id"), F.col("query_embedding").alias("vector"), F.col("similarity_threshold").cast("double").alias("cutoff"), "max_price",
+        F.get("categories", F.lit(0)).alias("category"), *(["stores", "min_discount"] if strict else []),
+    )
+
+
 def match_alerts(alerts: DataFrame, offers: DataFrame, as_of: datetime, days: int = 7, k: int = 8, strict: bool = True, digits: int | None = None) -> DataFrame:
     """(alert_id, id, similarity, rank): the k best offers of the last ``days`` days for each alert.
 
@@ -60,11 +68,7 @@ def match_alerts(alerts: DataFrame, offers: DataFrame, as_of: datetime, days: in
     """
     since = datetime.fromtimestamp(as_of.timestamp() - days * 86400, as_of.tzinfo)
     recent = optional_filters(offers, since=since)
-    queries = alerts.filter("is_active and query_embedding is not null").select(
-        F.col("id").alias("query_id"), F.col("query_embedding").alias("vector"), F.col("similarity_threshold").cast("double").alias("cutoff"), "max_price",
-        F.get("categories", F.lit(0)).alias("category"), *(["stores", "min_discount"] if strict else []),
-    )
-    return nearest(queries, recent, k, digits).withColumnRenamed("query_id", "alert_id")
+    return nearest(alert_queries(alerts, strict), recent, k, digits).withColumnRenamed("query_id", "alert_id")
 
 
 def build_digests(matches: DataFrame, alerts: DataFrame, shown: int = 5) -> DataFrame:

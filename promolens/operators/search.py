@@ -60,9 +60,8 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
         return reduce(DataFrame.unionByName, found)
     return _nearest(queries, offers, k, digits)
 
-
-def _nearest(queries: DataFrame, offers: DataFrame, k: int, digits: int | None) -> DataFrame:
-    """``nearest`` for at most as many queries as one broadcast takes."""
+def scored_pairs(queries: DataFrame, offers: DataFrame, digits: int | None = None) -> DataFrame:
+    """Offers with each query whose conditions they meet, and their ``similarity``; queries are broadcast, offers may be a stream."""
     rules = {
         "max_price": lambda q: F.col("price") <= q,
         "category": lambda q: F.contains(F.lower("category"), F.lower(q)),
@@ -81,7 +80,12 @@ def _nearest(queries: DataFrame, offers: DataFrame, k: int, digits: int | None)
     pairs = rows.join(F.broadcast(q), cond)
     value = dot(F.col("embedding"), F.col("vector")) / F.nullif(F.col("o_norm") * F.col("q_norm"), F.lit(0.0))
     value = F.when((F.size("embedding") == F.size("vector")) & ~F.isnan(value), value)
-    scored = pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value)
+    return pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value)
+
+
+def _nearest(queries: DataFrame, offers: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """``nearest`` for at most as many queries as one broadcast takes."""
+    scored = scored_pairs(queries, offers, digits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
     # what is below the cutoff ranks last, so it can go after the ranks are cut
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("similarity") >= F.col("cutoff"))
