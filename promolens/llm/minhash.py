@@ -17,11 +17,17 @@ alone need no list.
 The lists with the same smallest document, the leader, are one group. A group is
 dealt in blocks of about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles, each
 with a copy of the leader. Documents that their block connects with the leader
-are in one component whatever else they are linked with, so only the others are
-compared once more, with the whole group, block by block. A block returns no
-more than a spanning forest of its verified links. So no group lies in one task,
-pairs are never emitted as rows, and a group of variants of one document takes
-time in proportion to its size.
+are in one component whatever else they are linked with, so only the others, the
+rest, are compared once more, with the whole group, block by block. A block
+returns no more than a spanning forest of its verified links. So no group lies in
+one task, pairs are never emitted as rows, and a group of variants of one document
+takes time in proportion to its size.
+
+A group whose rest fills more than ``PARTS`` blocks, such as pages that share a
+template and are not linked at all, is cut finer first: by full sets, of which two
+linked documents must share one of the rarest n - ceil(n * threshold) + 1 values.
+Values of the template are not among these, so pages of one template alone meet
+no more.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ SHINGLE = 5
 MISS = 1e-8
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 18
+#: Blocks of a group's rest from which on the group is cut finer.
+PARTS = 4
 #: Rows of the second comparison that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _NONE = np.uint64(2**64 - 1)
@@ -215,8 +223,26 @@ def _sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [s for _, _, b, off in blocks(pa.array(pdf["text"], pa.string())) for s in _sets(b, off)]
 
 
-def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links that connect what the verified links of all groups connect."""
+def finer_groups(rest: DataFrame, members: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(leader, doc_id, n_shingles) as ``groups``, by the full sets of all documents in the groups of ``rest``; only with one of the rest in it."""
+    inside = members.join(rest.select("leader").distinct(), "leader", "left_semi").select("doc_id").distinct()
+    full = stored(sketches(docs.select(F.col("doc_id").cast("long"), "text").join(inside, "doc_id", "left_semi"), 1 << 40))
+    finer = stored(groups(full, num, den))
+    useful = finer.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("leader").distinct()
+    return stored(finer.join(useful, "leader", "left_semi"))
+
+
+def rest_units(rest: DataFrame, sized: DataFrame) -> DataFrame:
+    """(leader, own, part, doc_id, first): parts of the rest with each block of their group."""
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asked = rest.select("leader", every_block.alias("own"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", F.lit(0).alias("first"))
+    parts = rest.select("leader", "parts").distinct()
+    return asked.unionByName(sized.join(parts, "leader").select("leader", "own", every_part.alias("part"), "doc_id", F.lit(1).alias("first")))
+
+
+def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int, finer: bool = True) -> DataFrame:
+    """(a, b) links that connect what the verified links of all groups connect; groups of much rest are cut ``finer`` once."""
     least = least_common(num, den)
     per = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     sized = members.join(per, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -260,13 +286,15 @@ def verified_links(members: DataFrame, docs: DataFrame, num: int, den: int) -> D
     rest = found.filter("rest").select(F.col("a").alias("leader"), F.col("b").alias("doc_id")).join(sized, ["leader", "doc_id"])
     if rest.isEmpty():
         return links
-    rest = stored(rest.select("leader", "doc_id", "n_shingles", "blocks"))
     parts = rest.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    asked = rest.join(parts, "leader").select("leader", every_block.alias("own"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", F.lit(0).alias("first"))
-    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    whole = sized.join(parts, "leader").select("leader", "own", every_part.alias("part"), "doc_id", F.lit(1).alias("first"))
+    rest = stored(rest.select("leader", "doc_id", "n_shingles", "blocks").join(parts, "leader"))
+    if finer:
+        large = rest.filter(F.col("parts") > PARTS)
+        if not large.isEmpty():
+            links = links.unionByName(verified_links(finer_groups(large, members, docs, num, den), docs, num, den, False))
+            rest = rest.filter(F.col("parts") <= PARTS)
     keys = ["leader", "own", "part"]
-    dealt = stored(asked.unionByName(whole))
+    dealt = stored(rest_units(rest, sized))
     if dealt.count() <= BROADCAST_ROWS:  # five numbers a row: the texts need not be dealt out once more
         dealt = F.broadcast(dealt)
     rows = with_texts(dealt, keys).select(*keys, "first", "doc_id", "text")

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from promolens.llm import alignment, fim, idfiles
+from promolens.llm import alignment, fim, idfiles, minhash
 
 BYTE_FILE, PIECE_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 MORE = [
@@ -221,3 +221,69 @@ def test_two_forms_occur(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words, to be cut").alias("text"))
     count = {r["form"]: r["count"] for r in fim.fill_in_middle(df).groupBy("form").count().collect()}
     assert 1500 > count["psm"] > 1350 and 430 > count["spm"] > 300 and 250 > count["plain"] > 150
+
+
+# --- near duplicates with a template
+
+
+def template_pages(n, seed=0, families=0):
+    """Pages of 180 common words in pieces and 90 own ones; every tenth of ``families`` has a near copy."""
+    rng = np.random.default_rng(seed)
+    common = [f"common{k}" for k in range(180)]
+    rows = []
+    for k in range(n):
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 90)]
+        rows.append((k, " ".join(common[:90] + own + common[90:])))
+        if k < families:
+            rows.append((n + k, " ".join(common[:90] + own[:-1] + ["other"] + common[90:])))
+    return rows
+
+
+def brute_components(rows):
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets, root = [shingles(t) for _, t in rows], {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(rows[x][0]), find(rows[y][0])))
+                root[b] = a
+    return {d: find(d) for d, _ in rows}
+
+
+def test_groups_are_cut_finer_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PARTS", 1)
+    cut = []
+    finer = minhash.finer_groups
+    monkeypatch.setattr(minhash, "finer_groups", lambda *a: cut.append(finer(*a)) or cut[-1])
+    rows = template_pages(150, families=40)
+    rows += [(1000 + k, t.replace("common7 ", "changed ")) for k, t in rows[:30]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.minhash_near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+    assert len(cut) == 1
+
+
+def test_pages_of_one_template_take_linear_work(spark, monkeypatch):
+    """Rows that are dealt for the second comparison, none linked: proportional to the pages."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    dealt = []
+    units = minhash.rest_units
+    monkeypatch.setattr(minhash, "rest_units", lambda *a: dealt.append(units(*a)) or dealt[-1])
+    counts = []
+    for n in (400, 800, 1600):
+        dealt.clear()
+        out = minhash.minhash_near_duplicates(spark.createDataFrame(template_pages(n, n), "doc_id long, text string").repartition(4))
+        assert out.filter("kept").count() == n
+        counts.append(sum(x.count() for x in dealt))
+    assert counts[2] <= 5 * max(counts[0], 1600)
