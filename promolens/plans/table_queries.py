@@ -8,12 +8,13 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promolens.operators import history, scores
+from promolens.operators import history, scores, search
+from promolens.operators.text_index import SubstringIndex
 from promolens.operators.vector_index import VectorIndex
 from promolens.sources.buckets import BucketTable
 from promolens.sources.tables import append_history, compact_history, work_folder
 
-from .queries import _history, _read, _score_columns, ORACLE, query
+from .queries import _history, _offers, _read, _score_columns, _tenths, ORACLE, query
 
 _BATCHES = (datetime(2024, 1, 8, tzinfo=timezone.utc), datetime(2024, 1, 20, tzinfo=timezone.utc))
 
@@ -90,3 +91,26 @@ def indexed_nearest(spark, sf_dir):
         index.insert(rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == batch), f"b{batch}")
     asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     return index.search(asked, 8, 0.6, digits=6).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("indexed_keywords", ORACLE["keyword_candidates"])
+def indexed_keywords(spark, sf_dir):
+    """Titles with one of two words, from a trigram index that two batches filled."""
+    offers, words = _offers(spark, sf_dir), ["ring", "Milch"]
+    index = SubstringIndex(spark, work_folder(spark), offers.schema, "external_id", ["title"], 16)
+    for batch in (0, 1):
+        index.insert(offers.filter(F.col("external_id") % 2 == batch), batch)
+    return search.keyword_candidates(index.rows(words), words).select("external_id", "title", _tenths("discount_percent").alias("tenths"))
+
+
+@query("indexed_brochures", ORACLE["brochure_search"])
+def indexed_brochures(spark, sf_dir):
+    """Pages with a word of the query, from a trigram index of all texts."""
+    none = F.lit(None).cast("string")
+    pages = _read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("external_id"), F.col("text").alias("title"), none.alias("brochure_title"), F.col("source").alias("store"), F.col("n_chars").alias("scraped_at"), F.col("doc_id").alias("page_number")
+    )
+    index = SubstringIndex(spark, work_folder(spark), pages.schema, "external_id", ["title", "brochure_title", "store"], 16)
+    index.insert(pages, 0)
+    found = search.search_brochure_pages(index.rows(["licensed", "apache"]), "Prospekt Licensed, Apache", ["src1"])
+    return found.select(F.col("external_id").alias("doc_id"), "store")
