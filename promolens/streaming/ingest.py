@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,8 @@ def _with_vectors(merged: DataFrame) -> DataFrame:
 
 
 def run_ingest_stream(
-    spark: SparkSession, landing: str, offers_path: str, history_path: str, checkpoint: str, base: str, clock: Callable[[DataFrame], datetime], buckets: int | None = None
+    spark: SparkSession, landing: str, offers_path: str, history_path: str, checkpoint: str, base: str, clock: Callable[[DataFrame], datetime], buckets: int | None = None,
+    once_within: timedelta | None = None,
 ) -> StreamingQuery:
     """Pages that arrive in ``landing`` become offers, vectors and observations.
 
@@ -34,9 +35,13 @@ def run_ingest_stream(
     appended to the history; a replayed batch changes nothing. With ``buckets``
     the offers are a ``BucketTable`` of that many: a micro-batch then reads and
     writes the buckets of its own keys only. Without, they are snapshots, and each
-    one is a copy of the whole table. ``clock`` gives a batch's point in time.
+    one is a copy of the whole table. With ``once_within``, which needs buckets, an
+    item that an earlier batch saw less than that time ago goes no further; what was
+    seen is in the offers themselves, so a restart keeps it. ``clock`` gives a batch's point in time.
     Runs until what is there is read.
     """
+    if once_within is not None and not buckets:
+        raise ValueError("once_within needs buckets")
     snapshots = Snapshots(spark, offers_path)
 
     def normalised(batch: DataFrame, at: datetime) -> DataFrame:
@@ -56,7 +61,14 @@ def run_ingest_stream(
     def into_buckets(batch: DataFrame, number: int) -> None:
         table = BucketTable(spark, offers_path, OFFERS, ["external_id"], buckets)
         at = clock(batch)
-        rows = normalised(batch, at).filter("external_id is not null").persist()
+        rows = normalised(batch, at).filter("external_id is not null")
+        if once_within is not None:
+            known, now = table.lookup(rows.select("external_id").distinct()), F.lit(at).cast("timestamp")
+            if table.manifest()["batches"].get("ingest", -1) >= number:  # merged before a failure: only what this batch brought
+                rows = rows.join(known.filter(F.col("last_seen_at") == now).select("external_id"), "external_id", "left_semi")
+            else:
+                rows = rows.join(known.filter(F.col("last_seen_at") > now - F.expr(f"interval {int(once_within.total_seconds())} seconds")).select("external_id"), "external_id", "left_anti")
+        rows = rows.persist()
         try:
             table.rewrite(rows, lambda current, new: _with_vectors(merge_offers(current, new, at)), ("ingest", number))
             append_history(append_price_history(table.lookup(rows.select("external_id").distinct()), at), history_path, f"b{number}")

@@ -277,6 +277,28 @@ def test_ingest_into_buckets_equals_snapshots(spark, tmp_path):
     assert len(tables["buckets"][0]) == 41 and len(tables["buckets"][1]) == 42
 
 
+def test_items_of_an_earlier_batch_go_no_further(spark, tmp_path):
+    def item(k, price):
+        return {"id": str(k), "type": "OFFER", "title": f"Milch {k}", "brand": "Marke", "publisherName": "Lidl", "prices": {"mainPrice": price}}
+
+    landing, base = f"file://{tmp_path}/landing", "https://offers.example"
+    paths = (landing, f"file://{tmp_path}/offers", f"file://{tmp_path}/history", f"file://{tmp_path}/check")
+
+    def clock(batch):
+        return batch.agg(F.max("scraped_at")).first()[0].astimezone(timezone.utc)
+
+    expected = {}
+    for n, (keys, price, hours) in enumerate(((range(4), 1.0, 0), ((2, 3, 4), 2.0, 10), ((2, 4, 5), 3.0, 30))):
+        spark.createDataFrame([(f"u{n}", page([item(k, price) for k in keys]), "milch", 0, AT + timedelta(hours=hours))], PAGES).write.mode("append").parquet(landing)
+        run_ingest_stream(spark, *paths, base, clock, 8, timedelta(hours=24)).awaitTermination()
+        expected |= {0: {"0": 1.0, "1": 1.0, "2": 1.0, "3": 1.0}, 1: {"4": 2.0}, 2: {"2": 3.0, "5": 3.0}}[n]
+        got = {r["external_id"]: float(r["price"]) for r in BucketTable(spark, paths[1], OFFERS, ["external_id"]).read().collect()}
+        assert got == expected
+    assert read_history(spark, paths[2], PRICE_HISTORY).count() == 7
+    with pytest.raises(ValueError, match="buckets"):
+        run_ingest_stream(spark, *paths, base, clock, None, timedelta(hours=1))
+
+
 def test_lookup_reads_the_buckets_of_its_keys(spark, tmp_path):
     table = BucketTable(spark, f"file://{tmp_path}/t", items(spark, [1], "a").schema, ["k"], 16)
     table.merge(items(spark, range(100), "a"))
