@@ -280,7 +280,8 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
     A null or empty text has no ids. The strings of special symbols in a text are
     encoded as those symbols. Repeated rows each get a row, a null doc_id stays;
-    other columns are ignored. ``path`` is a tokenizer file the driver can read.
+    other columns are ignored; an empty table gives no rows. Very long texts and
+    words take time in proportion to their length. ``path`` is a tokenizer file the driver can read.
     """
     table = docs.sparkSession.sparkContext.broadcast(compile_automaton(path))
 

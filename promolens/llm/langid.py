@@ -139,7 +139,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFr
     All columns of ``docs`` stay. A null text, or one without a letter, gets
     ``und`` and 0, as does every text when there are no profiles; ties go to the
     language that sorts first. Repeated rows each get their row. A row's result
-    depends on its text and the profiles alone, however the table is dealt.
+    depends on its text and the profiles alone, however the table is dealt. Texts
+    are read whole, however long; an empty table gives no rows.
     """
     names = list(profiles)
     protos = _unit(np.stack([profiles[k] for k in names])) if names else np.zeros((0, DIM))

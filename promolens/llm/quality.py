@@ -171,6 +171,8 @@ def llr_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, thre
     words, fails the base rules and scores 0. A null doc_id stays null and is never
     trusted. Repeated rows each get a row. With no trusted document every score is
     0 and the base rules decide alone. The result is deterministic for given tables.
+    Texts are read whole, block by block; a very long one is a block of its own. An
+    empty table gives no rows.
     """
     good = labelled_ids(labels, True, most_trusted)
     raw, target = np.zeros(buckets), np.zeros(buckets)

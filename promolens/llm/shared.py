@@ -27,7 +27,9 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: its lineage ends there.
 
     The shuffle files of the finished write are deleted then; the table itself by
-    ``drop_stored``, or when the application ends.
+    ``drop_stored``, or when the application ends. The switch for that is the
+    session's, so a query of the same session that another thread runs meanwhile
+    has its shuffle files deleted at its end too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promolens/{uuid.uuid4().hex}"
