@@ -290,7 +290,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     byte has no tokens: zeros and an empty string. Strings of special symbols are
     plain text. Repeated rows count and get a row each, a null doc_id stays, other
     columns are ignored, an empty table gives no rows. A text without spaces is
-    one window.
+    one window. A task holds a block, or one longer text, with its tokens: about a
+    hundred bytes for each byte of it.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
