@@ -4,15 +4,16 @@ Both tokenizers encode each whole text. Offsets where a token of either ends
 there and the next token of either begins with a space are anchors; they are
 verified on the tokens' byte ends and cut a document into windows, about a word
 each. A window's alignment depends on its two tuples of token ids alone, so it is
-worked out once for each pair of tuples and remembered.
+worked out once for each pair of tuples that a block of texts has, all of them
+together with numpy, and looked up for the windows that repeat the pair.
 
 A link's count is a sum over the corpus, so there are two passes. The first deals
 texts in blocks of about ``BLOCK`` bytes and stores one row per block: the block's
 distinct windows as the symbols that write their groups, its documents as lists of
-window numbers, and its distinct pairs of ids with their numbers of links. The pairs are summed over
-all blocks; then the sums of the pairs that a block has go back to it, by a join
-on the pair and a grouping by the block. A pair that is in all blocks is one row
-for each block, of a join that Spark may split.
+window numbers, and its distinct pairs of ids with their numbers of links. The
+pairs are summed over all blocks; then the sums of the pairs that a block has go
+back to it, by a join on the pair and a grouping by the block. A pair that is in
+all blocks is one row for each block, of a join that Spark may split.
 """
 
 from __future__ import annotations
