@@ -643,7 +643,7 @@ def taxonomy_coverage(spark, sf_dir):
     return stats.taxonomy_coverage(_offers(spark, sf_dir))
 
 
-@query("label_batches", f"WITH {OFFERS_SQL} SELECT external_id, title, store, 1 AS payloads, true AS within_size FROM offers WHERE is_active")
+@query("label_batches", f"WITH {OFFERS_SQL} SELECT external_id, title, store, CAST(1 AS BIGINT) AS payloads, true AS within_size FROM offers WHERE is_active")
 def label_batches(spark, sf_dir):
     """Every offer in one payload, as it was, and no payload above its size."""
     batches = labels.label_batches(_offers(spark, sf_dir).filter("is_active").select("external_id", "title", "store"))
