@@ -104,18 +104,18 @@ def test_concurrent_writers_lose_nothing(spark, tmp_path):
     def write(writer):
         try:
             table = BucketTable(spark, path, schema, ["k"], 4)
-            for n in range(4):
+            for n in range(3):
                 table.merge(items(spark, [100 * writer + n, 7], f"w{writer}"), batch=(f"w{writer}", n))
         except Exception as e:  # shown below
             errors.append(e)
 
-    threads = [threading.Thread(target=write, args=(w,)) for w in range(3)]
+    threads = [threading.Thread(target=write, args=(w,)) for w in range(2)]
     [t.start() for t in threads]
     [t.join(300) for t in threads]
     table = BucketTable(spark, path, schema, ["k"])
-    assert not errors and table.versions() == list(range(1, 13))
-    assert sorted(r["k"] for r in table.read().collect()) == sorted([7, *(100 * w + n for w in range(3) for n in range(4))])
-    assert table.manifest()["batches"] == {"w0": 3, "w1": 3, "w2": 3}
+    assert not errors and table.versions() == list(range(1, 7))
+    assert sorted(r["k"] for r in table.read().collect()) == sorted([7, *(100 * w + n for w in range(2) for n in range(3))])
+    assert table.manifest()["batches"] == {"w0": 2, "w1": 2}
 
 
 def test_vacuum_keeps_what_versions_name(spark, tmp_path):
@@ -153,7 +153,7 @@ def score_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("order", list(itertools.permutations(range(3)))[::2])
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3)))[::4])
 def test_materialised_scores_equal_the_view(spark, tmp_path, order):
     rng = np.random.default_rng(4)
     batches = [observations(spark, rng, 150) for _ in range(3)]
