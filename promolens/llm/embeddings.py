@@ -14,9 +14,16 @@ Clusters of very near vectors would have all their pairs verified. So a first
 round joins vectors to balls: a vector is in a ball if its verified angle with
 the ball's centre, the smallest vector of some bucket, is at most half of the
 threshold's. Any two members are linked then, whatever their own cosine, and
-only pairs that are not of one ball are looked for. Degrees are sums over the
-pairs and the balls; components come from the distributed algorithm shared with
-other operators.
+only pairs that are not of one ball are looked for.
+
+A wide cluster still has a number of such pairs that grows with its square. So a
+unit with more than ``DENSE`` pairs for each of its rows writes none of them: its
+bucket is dense, and the vectors of dense buckets meet in blocks, where a matrix
+product gives the cosines, a pair counts in the first dense bucket that both
+share, and one row for each vector leaves, with its links there, and one edge for
+each vector of a spanning forest. Pairs of other buckets that share a dense one
+are dropped. Degrees are sums over the pairs, the dense buckets and the balls;
+components come from the distributed algorithm shared with other operators.
 """
 
 from __future__ import annotations
@@ -40,6 +47,10 @@ SIGNS = 256
 BLOCK = 512
 #: Rows of a unit, at most, that is compared together with others.
 SMALL = 64
+#: Pairs of a unit for each of its rows above which its bucket is dense.
+DENSE = 4
+#: Vectors of a dense bucket in a block; a unit has the cosines of two blocks at once.
+DENSE_BLOCK = 2048
 #: Tables of the first round, at most; a vector that they miss is in no ball.
 BALL_TABLES = 16
 #: Mean number of classes in a bucket that the number of hyperplanes aims at.
@@ -100,72 +111,191 @@ def _balls(vectors: DataFrame, bits: int, tables: int, cosine: float) -> DataFra
     return members.unionByName(members.select(F.col("ball").alias("rep"), "ball").distinct())
 
 
-def _candidates(placed: DataFrame, cosine: float) -> DataFrame:
-    """(a, b) class pairs, a < b, not of one ball, whose signatures differ in few enough signs, from all buckets."""
-    most = _most(cosine)
-    sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    keys = ["tab", "bucket", "p", "q"]
-    rows = (
-        placed.join(sizes, ["tab", "bucket"])
+def _whole_units(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole units; rows arrive in order of ``keys``, and a unit is complete when the next begins."""
+    waiting = None
+    for pdf in frames:
+        pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+        last = len(pdf) and int((pdf[keys] != pdf[keys].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax())
+        if last:
+            yield pdf.iloc[:-last]
+        waiting = pdf.iloc[-last:] if last else pdf
+    if waiting is not None and len(waiting):
+        yield waiting
+
+
+def _cuts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the runs of equal rows."""
+    cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1])
+    return cuts, np.diff(np.append(cuts, len(code)))
+
+
+def _blocked(rows: DataFrame, of: list[str], block: int) -> DataFrame:
+    """Rows of groups of two or more, in pairs of blocks p <= q, each row with its ``own``."""
+    sizes = rows.groupBy(*of).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)).drop("n")
+    return (
+        rows.join(sizes, of)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("tab", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "ball", *_SIG)
-        .repartition(*keys).sortWithinPartitions(*keys, "own", "rep")
+        .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("blocks", "other")
     )
 
-    def pairs_of(rep: np.ndarray, ball: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        apart = ball[i] != ball[j]
-        i, j = i[apart], j[apart]
-        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
-
-    def unit(rep: np.ndarray, ball: np.ndarray, sig: np.ndarray, own: np.ndarray) -> pd.DataFrame:
-        x = np.unpackbits(sig.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        first = own == own[0]
-        if first.all():
-            i, j = np.nonzero(np.triu(x @ x.T >= SIGNS - 2 * most, 1))
-        else:
-            cut = int(first.sum())
-            i, j = np.nonzero(x[:cut] @ x[cut:].T >= SIGNS - 2 * most)
-            j = j + cut
-        return pairs_of(rep, ball, i, j)
+
+def _candidates(placed: DataFrame, most: float) -> DataFrame:
+    """(tab, bucket, a, b): class pairs a < b, not of one ball, that differ in ``most`` signs at most.
+
+    A unit with more than ``DENSE`` of them for each row gives one row without a
+    and b instead.
+    """
+    keys = ["tab", "bucket", "p", "q"]
+    rows = _blocked(placed, ["tab", "bucket"], BLOCK).select(*keys, "own", "rep", "ball", *_SIG).repartition(*keys).sortWithinPartitions(*keys, "own", "rep")
+
+    def pairs_of(rep: np.ndarray, i: np.ndarray, j: np.ndarray, unit: np.ndarray, code: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+        """Pairs of rows i and j of units, which have ``code`` and ``size`` each."""
+        dense = np.bincount(unit, minlength=len(size)) > DENSE * size
+        few = ~dense[unit]
+        i, j, marks = i[few], j[few], np.full(int(dense.sum()), -1)
+        at = np.concatenate([code[unit[few]], code[dense]])
+        return pd.DataFrame({
+            "tab": at[:, 0].astype(np.int32), "bucket": at[:, 1],
+            "a": np.concatenate([np.minimum(rep[i], rep[j]), marks]), "b": np.concatenate([np.maximum(rep[i], rep[j]), marks]),
+        })
 
     def units(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Whole units: pairs within small ones at once, by their distance in the order; others each by itself."""
+        """Pairs within small units at once, by their distance in the order; others each by itself."""
         code = pdf[keys].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1])
-        size = np.diff(np.append(cuts, len(pdf)))
+        cuts, size = _cuts(code)
         small = (size <= SMALL) & (code[cuts, 2] == code[cuts, 3])
         rep, ball, own, sig = pdf["rep"].to_numpy(), pdf["ball"].to_numpy(), pdf["own"].to_numpy(), np.ascontiguousarray(pdf[_SIG].to_numpy())
         for at, n in zip(cuts[~small], size[~small], strict=True):
-            if n > 1:
-                yield unit(rep[at : at + n], ball[at : at + n], sig[at : at + n], own[at : at + n])
+            x = np.unpackbits(sig[at : at + n].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+            cut = int((own[at : at + n] == own[at]).sum())
+            if code[at, 2] == code[at, 3]:
+                i, j = np.nonzero(np.triu(x @ x.T >= SIGNS - 2 * most, 1))
+            else:
+                i, j = np.nonzero(x[:cut] @ x[cut:].T >= SIGNS - 2 * most)  # none where one block is empty
+                j = j + cut
+            apart = ball[at + i] != ball[at + j]
+            i, j = at + i[apart], at + j[apart]
+            yield pairs_of(rep, i, j, np.zeros(len(i), np.int64), code[at : at + 1, :2], np.array([n]))
         i = np.flatnonzero(np.repeat(small, size))
         left = np.repeat(cuts + size, size) - np.arange(len(pdf))
+        first, second = [], []
         for d in range(1, SMALL):
             i = i[left[i] > d]
             if not len(i):
                 break
-            near = i[np.bitwise_count((sig[i] ^ sig[i + d]).view(np.uint64)).sum(axis=1) <= most]
-            yield pairs_of(rep, ball, near, near + d)
+            near = i[(np.bitwise_count((sig[i] ^ sig[i + d]).view(np.uint64)).sum(axis=1) <= most) & (ball[i] != ball[i + d])]
+            first.append(near)
+            second.append(near + d)
+        if first:
+            i, j = np.concatenate(first), np.concatenate(second)
+            yield pairs_of(rep, i, j, np.searchsorted(cuts, i, "right") - 1, code[cuts, :2], size)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Units arrive in order; one is complete when the next begins."""
-        waiting = None
-        for pdf in frames:
-            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
-            last = len(pdf) and int((pdf[keys] != pdf[keys].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax())
-            if last:
-                yield from units(pdf.iloc[:-last])
-            waiting = pdf.iloc[-last:] if last else pdf
-        if waiting is not None and len(waiting):
-            yield from units(waiting)
+        for pdf in _whole_units(frames, keys):
+            yield from units(pdf)
 
-    return rows.mapInPandas(compare, "a long, b long").distinct()
+    found = rows.mapInPandas(compare, "tab int, bucket long, a long, b long")
+    return found.select("tab", "bucket", F.expr("nullif(a, -1)").alias("a"), F.expr("nullif(b, -1)").alias("b"))
+
+
+def _forest(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Root and member, for all but the roots, of the components of a matrix of links.
+
+    Columns are numbered after the rows, or are the same vertices. Each vertex is
+    visited once.
+    """
+    n = len(link)
+    if same:
+        link = link | link.T
+    rows_left, columns_left = link.any(axis=1), link.any(axis=0)
+    roots, members = [], []
+    for root in np.flatnonzero(rows_left):
+        if not rows_left[root]:
+            continue
+        rows_left[root] = False
+        at = np.array([root])
+        while len(at):
+            if same:
+                at = np.flatnonzero(link[at].any(axis=0) & rows_left)
+                rows_left[at] = False
+                new = at
+            else:
+                columns = np.flatnonzero(link[at].any(axis=0) & columns_left)
+                columns_left[columns] = False
+                at = np.flatnonzero(link[:, columns].any(axis=1) & rows_left)
+                rows_left[at] = False
+                new = np.concatenate([columns + n, at])
+            roots.append(np.full(len(new), root))
+            members.append(new)
+    return (np.concatenate(roots), np.concatenate(members)) if roots else (np.zeros(0, np.int64),) * 2
+
+
+def _dense_links(inside: DataFrame, known: DataFrame, cosine: float) -> DataFrame:
+    """(rep, others, root): links of ``rep`` that count in one unit, and a vertex of its component there.
+
+    ``inside`` has (unit, rep) for the members of dense buckets, ``known`` their
+    vectors, with the numbers of all their dense buckets as ``codes``.
+    """
+    keys = ["unit", "p", "q"]
+    rows = _blocked(inside, ["unit"], DENSE_BLOCK).join(known, "rep").select(*keys, "own", "rep", "m", "ball", "codes", "v")
+
+    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, rep, m = int(pdf["unit"].iloc[0]), pdf["rep"].to_numpy(), pdf["m"].to_numpy().astype(np.float64)
+        ball, x = pdf["ball"].to_numpy(), _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        left = np.flatnonzero(pdf["own"].to_numpy() == pdf["p"].iloc[0])
+        right = left if same else np.flatnonzero(pdf["own"].to_numpy() == pdf["q"].iloc[0])
+        product = x[left] @ x[right].T
+        link = product >= cosine
+        i, j = np.nonzero(np.abs(product - cosine) < 1e-9)  # as other pairs are judged, to the last bit
+        link[i, j] = (x[left[i]] * x[right[j]]).sum(axis=1) >= cosine
+        link &= ball[left][:, None] != ball[right]
+        # pairs that share a dense bucket of a smaller number count there
+        codes = pdf["codes"].to_numpy()
+        number, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        before = number < code
+        order = np.argsort(number[before], kind="stable")
+        number, row = number[before][order], row[before][order]
+        counts = link.copy()
+        is_left = np.zeros(len(codes), bool)
+        is_left[left] = True
+        slot = np.empty(len(codes), np.int64)
+        slot[right], slot[left] = np.arange(len(right)), np.arange(len(left))
+        for at in np.split(row, np.flatnonzero(number[1:] != number[:-1]) + 1):
+            one, two = (slot[at], slot[at]) if same else (slot[at[is_left[at]]], slot[at[~is_left[at]]])
+            if len(one) and len(two) and len(at) > 1:
+                counts[np.ix_(one, two)] = False
+        if same:
+            counts &= ~np.eye(len(left), dtype=bool)
+        others = np.zeros(len(codes))
+        others[left] += counts @ m[right]
+        if not same:
+            others[right] += m[left] @ counts
+        root, member = _forest(link, same)
+        vertex = left if same else np.concatenate([left, right])
+        roots = rep.copy()
+        roots[vertex[member]] = rep[vertex[root]]
+        some = (others > 0) | (roots != rep)
+        return pd.DataFrame({"rep": rep[some], "others": others[some].astype(np.int64), "root": roots[some]})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_units(frames, keys):
+            for at, n in zip(*_cuts(pdf[keys].to_numpy()), strict=True):
+                yield unit(pdf.iloc[at : at + n])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "own", "rep").mapInPandas(compare, "rep long, others long, root long")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    """The pairs whose exact cosine in double precision reaches ``cosine``."""
-    both = pairs.join(vectors.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+    """The pairs whose exact cosine in double precision reaches ``cosine``; not those with a number in both ``codes``, if there are any."""
+    codes = ["codes"] if "codes" in vectors.columns else []
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(vectors.select(F.col("rep").alias(c), F.col("v").alias(f"v{c}"), *[F.col(x).alias(f"{x}_{c}") for x in codes]), c)
+    if codes:
+        both = both.filter(~F.arrays_overlap("codes_a", "codes_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +310,14 @@ def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
 
 
-def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables: int | None = None) -> DataFrame:
+def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables: int | None = None, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings``.
 
     Vectors are linked when they are found in a common bucket and their cosine in
     double precision reaches ``cosine``, which is above 0 and at most 1; no other
     pair is linked. There are as many tables as ``MISS`` asks for, or ``tables``.
-    A vector that is
+    With ``exact`` no pair is missed: all vectors are in one bucket, and every pair
+    of blocks is compared. A vector that is
     null or zero, or holds a null or a non-finite component, has no link; nor have
     vectors of different lengths. n_links counts the other vectors linked
     directly, equal vectors too. component_id is the smallest vec_id that can be
@@ -212,16 +343,32 @@ def embedding_near_duplicates(embeddings: DataFrame, cosine: float = 0.9, tables
     )
     vectors = numbered.select("rep", "m", "v")
     n = vectors.count()
-    bits = min(40, max(4, round(math.log2(max(n, 1) / BUCKET))))
-    tables = tables or table_count(bits, cosine)
+    bits = 0 if exact else min(40, max(4, round(math.log2(max(n, 1) / BUCKET))))
+    tables = 1 if exact else tables or table_count(bits, cosine)
+    most = SIGNS if exact else _most(cosine)
     balls = stored(_balls(vectors.withColumn("ball", F.col("rep")), bits, min(tables, BALL_TABLES), cosine))
-    placed = _buckets(vectors.join(balls, "rep", "left").withColumn("ball", F.coalesce("ball", "rep")), bits, tables)  # a vector of no ball is its own
-    pairs = stored(_verified(_candidates(placed, cosine), vectors, cosine))
+    balled = vectors.join(balls, "rep", "left").withColumn("ball", F.coalesce("ball", "rep"))  # a vector of no ball is its own
+    placed = _buckets(balled, bits, tables)
+    found = stored(_candidates(placed, most))
+    dense = stored(found.filter("a is null").select("tab", "bucket").distinct().withColumn("unit", F.monotonically_increasing_id()))
+    inside = stored(placed.join(dense, ["tab", "bucket"]).select("unit", "rep"))
+    known = stored(
+        balled.join(inside.groupBy("rep").agg(F.collect_list("unit").alias("codes")), "rep", "left")
+        .withColumn("codes", F.coalesce("codes", F.expr("cast(array() as array<bigint>)")))
+    )
+    sparse = found.filter("a is not null").join(dense, ["tab", "bucket"], "left_anti").select("a", "b").distinct()
+    pairs = stored(_verified(sparse, known, cosine))
+    blocks = stored(_dense_links(inside, known, cosine))
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     sizes = vectors.select("rep", "m").join(balls, "rep")
     of_ball = sizes.join(sizes.groupBy("ball").agg(F.sum("m").alias("total")), "ball").select("rep", (F.col("total") - F.col("m")).alias("m"))
-    degree = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").select("rep", "m").unionByName(of_ball).groupBy("rep").agg(F.sum("m").alias("others"))
-    label = components(pairs.unionByName(balls.select(F.col("ball").alias("a"), F.col("rep").alias("b"))), "a", "b")
+    of_pairs = both.join(vectors.select(F.col("rep").alias("o"), "m"), "o").select("rep", "m")
+    degree = (
+        of_pairs.unionByName(of_ball).unionByName(blocks.select("rep", F.col("others").alias("m")))
+        .groupBy("rep").agg(F.sum("m").alias("others"))
+    )
+    edges = pairs.unionByName(balls.select(F.col("ball").alias("a"), F.col("rep").alias("b"))).unionByName(blocks.select(F.col("root").alias("a"), F.col("rep").alias("b")))
+    label = components(edges, "a", "b")
     placed_in = numbered.select("rep", "key", "least", "m").join(label, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component_id", "rep")).drop("id", "component_id")
     least = placed_in.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = (

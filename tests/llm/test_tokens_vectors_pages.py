@@ -142,6 +142,54 @@ def test_tight_clusters_are_balls(spark, monkeypatch):
     assert made[-1].count() < sum(n for _, n, _ in expected) / 2
 
 
+def wide_cluster(n, rng):
+    """Vectors about the threshold from each other, few of them near any centre."""
+    centre = rng.standard_normal(32)
+    return [(k, (centre + rng.choice([0.2, 0.3, 0.36]) * rng.standard_normal(32)).tolist()) for k in range(n)]
+
+
+@pytest.mark.parametrize("block, exact", [(2048, False), (16, False), (16, True)])
+def test_wide_clusters_write_no_pairs(spark, monkeypatch, block, exact):
+    """As all pairs say, with repeated vectors and a second cluster, from a few rows for each vector and table."""
+    rng = np.random.default_rng(31)
+    rows = wide_cluster(260, rng) + [(k + 1000, v) for k, v in wide_cluster(40, rng)]
+    rows += [(k + 2000, rows[k % 7][1]) for k in range(20)]
+    written = []
+    kept = embeddings.stored
+    monkeypatch.setattr(embeddings, "stored", lambda df: written.append(kept(df)) or written[-1])
+    monkeypatch.setattr(embeddings, "DENSE_BLOCK", block)
+    got = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=exact)
+    expected = brute_links(rows, 0.9)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()), key=str) == expected
+    links = sum(n for _, n, _ in expected) / 2
+    found = next(df for df in written if df.columns == ["tab", "bucket", "a", "b"])
+    pairs = next(df for df in written if df.columns == ["a", "b"])
+    assert links > 10_000 and pairs.count() < links / 10
+    assert found.count() <= (embeddings.DENSE + 1) * 300 * embeddings.table_count(0 if exact else 4, 0.9)
+
+
+def test_forest_of_a_matrix():
+    rng = np.random.default_rng(3)
+    for same in (True, False):
+        for _ in range(50):
+            n = int(rng.integers(1, 30))
+            link = rng.random((n, n if same else int(rng.integers(1, 30)))) < 0.06
+            link = np.triu(link | link.T, 1) if same else link
+            root, member = embeddings._forest(link, same)
+            assert len(set(member.tolist())) == len(member)
+            parent = list(range(sum(link.shape)))
+
+            def find(x):
+                return x if parent[x] == x else find(parent[x])
+
+            for i, j in zip(*np.nonzero(link)):
+                parent[find(int(i))] = find(int(j) if same else int(j) + n)
+            edges = list(zip(root.tolist(), member.tolist()))
+            assert all(find(i) == find(j) for i, j in edges)
+            vertices = {v for i, j in zip(*np.nonzero(link)) for v in (int(i), int(j) if same else int(j) + n)}
+            assert vertices == {v for e in edges for v in e} and len(edges) == len(vertices) - len({find(v) for v in vertices})
+
+
 def test_vectors_of_a_large_table(spark, monkeypatch):
     """As many hyperplanes as ten million classes have: no pair at the threshold may be lost."""
     rng = np.random.default_rng(12)
