@@ -8,7 +8,8 @@ runs of windows.
 
 1. A task looks at its runs in chunks. Of equal runs of a chunk (their bytes are
    compared) only that of the smallest document goes on; the others are settled
-   by it. Runs go to their minimizer's place as a few numbers, in columns of as
+   by it. The runs with the most copies are looked at again with the next chunk,
+   so a passage of all documents goes on about once for each task. Runs go to their minimizer's place as a few numbers, in columns of as
    few bytes as they need. Minimizers of one document end there.
 2. The runs of shared minimizers are cut from the texts and meet again. The
    parts of a minimizer's distinct strings that agree with others around it (no
@@ -65,6 +66,8 @@ SINGLES = 1 << 16
 TASK_RUNS = 1 << 18
 #: Bytes of text whose windows are hashed together; temporary arrays take some 50 times as much.
 HASH_BYTES = 1 << 18
+#: Runs, or single windows, with the most copies that a task looks at again with its next chunk.
+SEEN = 1 << 14
 #: Bits of a byte's place in its text; those above number the rows of an id.
 _PLACE_BITS = 40
 
@@ -136,6 +139,12 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[first], a[first], b[np.append(first[1:], len(a)) - 1]
 
 
+def _most_copied(first: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Those of ``first`` with several copies, the ``SEEN`` with the most where there are more."""
+    first, copies = first[copies > 1], copies[copies > 1]
+    return first if len(first) <= SEEN else np.sort(first[np.argsort(-copies, kind="stable")[:SEEN]])
+
+
 #: What a packed row holds: runs for their place, runs of large minimizers, settled spans.
 _PLACED, _SPLIT, _SETTLED = 0, 1, 2
 
@@ -147,6 +156,7 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         texts_held: list[np.ndarray] = []
+        seen: list[tuple[np.ndarray, ...]] = []  # runs that have gone on before, and their bytes
 
         def packed(at: np.ndarray, what: int, h, s, doc, pn) -> pa.RecordBatch:
             order = np.lexsort((h, at))
@@ -163,11 +173,15 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
 
         def leave() -> Iterator[pa.RecordBatch]:
             h, s, doc, pn, start = (np.concatenate(c) for c in zip(*held, strict=True))
-            raw = np.concatenate(texts_held)
+            raw, gone = np.concatenate(texts_held), np.zeros(len(h), bool)
             held.clear()
             texts_held.clear()
+            for *runs, text in seen:
+                runs[-1] = runs[-1] + len(raw)
+                h, s, doc, pn, start = (np.concatenate(x) for x in zip((h, s, doc, pn, start), runs, strict=True))
+                raw, gone = np.concatenate([raw, text]), np.append(gone, np.ones(len(runs[0]), bool))
             order = np.lexsort((doc, s, h))
-            h, s, doc, pn, start = (x[order] for x in (h, s, doc, pn, start))
+            h, s, doc, pn, start, gone = (x[order] for x in (h, s, doc, pn, start, gone))
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new = new_h | np.concatenate([[True], s[1:] != s[:-1]])
             first = np.flatnonzero(new)
@@ -180,8 +194,11 @@ def _placed_runs(texts: DataFrame, length: int, places: int) -> DataFrame:
                 d, a, b = _merged(doc[again], a, a + size[again])
                 zero = np.zeros(len(d), np.int64)
                 yield packed((mix((d * 1_000_003 + a).view(np.uint64)) % np.uint64(places)).astype(np.int64), _SETTLED, zero, b - a, d, a)
-            left = np.ones(len(h), bool)
+            left = ~gone
             left[again] = False
+            most = _most_copied(first, np.diff(np.append(first, len(h))))
+            text = _gathered(raw, start[most], size[most])
+            seen[:] = [(h[most], s[most], doc[most], pn[most], np.cumsum(size[most]) - size[most], text)]
             cuts = np.flatnonzero(new_h)
             large = np.add.reduceat(new.astype(np.int64), cuts) > HOT
             hot = np.repeat(large, np.diff(np.append(cuts, len(h))))
@@ -319,22 +336,26 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int, places: int) -> Ite
     """
     singles: list[tuple[np.ndarray, ...]] = []
     whole: list[tuple[np.ndarray, ...]] = []
+    seen: list[tuple[np.ndarray, ...]] = []  # windows that have gone on before
 
     def place_of(key: np.ndarray) -> np.ndarray:
         return (mix(key.view(np.uint64)) % np.uint64(places)).astype(np.int64)
 
     def single_windows() -> Iterator[pa.RecordBatch]:
-        text, doc, at, key = (np.concatenate(c) for c in zip(*singles, strict=True))
+        n = sum(len(x[-1]) for x in singles)
+        text, doc, at, key = (np.concatenate(c) for c in zip(*singles, *seen, strict=True))
         singles.clear()
         order = np.lexsort((doc, key))
-        text, doc, at, key = text[order], doc[order], at[order], key[order]
+        text, doc, at, key, gone = text[order], doc[order], at[order], key[order], order >= n
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         rep = np.repeat(first, np.diff(np.append(first, len(key))))
         again = (doc != doc[rep]) & (text == text[rep]).all(axis=1)
         if again.any():
             d, a, b = _merged(doc[again], at[again], at[again] + length)
             yield _packed_strings(_SETTLED, place_of(d * 1_000_003 + a), a * 0, d, a, b - a, None)
-        left = np.flatnonzero(~again)
+        most = _most_copied(first, np.diff(np.append(first, len(key))))
+        seen[:] = [(text[most], doc[most], at[most], key[most])]
+        left = np.flatnonzero(~again & ~gone)
         yield _packed_strings(_PLACED, place_of(key[left]), key[left], doc[left], at[left], np.full(len(left), length), text[left].ravel())
 
     def runs_so_far() -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,25 @@ def test_repeats_spread_evenly(spark, monkeypatch, place):
     assert by_row(out, "doc_id", "n_bytes", "n_removed", "sha") == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_repeats_of_all_documents_go_on_once_a_task(spark, monkeypatch, hot):
+    """A passage in the same context in all documents: one row for each task, not one for each chunk."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "TASK_RUNS", 64)
+    monkeypatch.setattr(repeats, "HASH_BYTES", 1 << 10)
+    monkeypatch.setattr(repeats, "SINGLES", 100)
+    rng = np.random.default_rng(16)
+    passage = "".join(rng.choice(list("abcde "), 200))
+    rows = [(k, "".join(rng.choice(list("fghij "), 60)) + "=" * 60 + passage + "=" * 60 + "".join(rng.choice(list("klmno "), 60))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    met = repeats._met_runs(df.withColumn("__key", F.col("doc_id")), repeats.LENGTH, 4)
+    inside = met.filter("kind > 0 and a >= 60 and a + n + 49 <= 380")  # runs that all documents have
+    most = inside.groupBy("h", "a", "n").count().agg(F.max("count")).first()[0]
+    assert most <= 20  # a few for each of two tasks; there are some 100 chunks
+    out = repeats.remove_repeats(df).withColumn("sha", F.sha2("kept", 256))
+    assert by_row(out, "doc_id", "n_bytes", "n_removed", "sha") == brute_repeats(rows)
+
+
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(7)
     for size in (1, 2, 26):
