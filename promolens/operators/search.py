@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +13,7 @@ from promolens.functions.text import COMPARISON_TITLE, shorten
 from promolens.functions.vectors import cosine, dot, norm
 
 from .filters import currently_valid, like_any, optional_filters
-
-#: Bytes of query vectors that one broadcast takes, about.
-MAX_BROADCAST_BYTES = 32 << 20
+from .search_blocks import nearest_in_parts
 
 
 def with_analysis(offers: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -46,19 +43,13 @@ def nearest(queries: DataFrame, offers: DataFrame, k: int = 8, digits: int | Non
     """The k most similar offers of each query: (query_id, id, similarity, rank).
 
     ``queries`` has query_id, vector and cutoff; max_price, category, stores and
-    min_discount narrow a query where they are there and not null. Plain
-    conditions come before the cosine. Queries are the small side: they are counted
-    first and broadcast in blocks of about ``MAX_BROADCAST_BYTES`` at most, each
-    against all offers. Ranks are cut in each task before the shuffle. Many offers
-    are better searched by a ``VectorIndex``.
+    min_discount narrow a query where they are there and not null. Parts of the
+    queries meet parts of the offers in matrix products, so neither side need be
+    small; both are counted first. Many offers are better searched by a
+    ``VectorIndex`` where the cutoff is high.
     """
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector").cast("long")).alias("components")).first()
-    parts = -(-(8 * (size["components"] or 0) + 200 * size["n"]) // MAX_BROADCAST_BYTES)
-    if parts > 1:  # as many blocks of queries, each broadcast by itself
-        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
-        found = [_nearest(queries.filter(block == n), offers, k, digits) for n in range(2 * parts)]
-        return reduce(DataFrame.unionByName, found)
-    return _nearest(queries, offers, k, digits)
+    return nearest_in_parts(queries, offers, k, digits)
+
 
 def scored_pairs(queries: DataFrame, offers: DataFrame, digits: int | None = None) -> DataFrame:
     """Offers with each query whose conditions they meet, and their ``similarity``; queries are broadcast, offers may be a stream."""
@@ -83,15 +74,6 @@ def scored_pairs(queries: DataFrame, offers: DataFrame, digits: int | None = Non
     return pairs.withColumn("similarity", F.round(value, digits) if digits is not None else value)
 
 
-def _nearest(queries: DataFrame, offers: DataFrame, k: int, digits: int | None) -> DataFrame:
-    """``nearest`` for at most as many queries as one broadcast takes."""
-    scored = scored_pairs(queries, offers, digits)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id"))
-    # what is below the cutoff ranks last, so it can go after the ranks are cut
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("similarity") >= F.col("cutoff"))
-    return best.select("query_id", "id", "similarity", "rank")
-
-
 def latest_offers(offers: DataFrame, as_of: datetime, only_current: bool = False, mode: str = "strict", limit: int = 10) -> DataFrame:
     """Active offers: running ones first, then start (none last), discount, sighting."""
     rows = offers.filter("is_active")
