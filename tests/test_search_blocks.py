@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from promolens.operators import search_blocks
 from promolens.operators.search import nearest, scored_pairs
+from promolens.plans import queries as plans
 
 OFFERS = "id long, embedding array<double>, category string, price decimal(10,2), is_active boolean, store string, discount_percent decimal(5,1)"
 QUERIES = "query_id long, vector array<double>, cutoff double, max_price decimal(12,3), category string, stores array<string>, min_discount double"
@@ -80,3 +81,13 @@ def test_rounding_is_sparks(spark):
     values = [0.1234565, 0.1234575, -0.1234565, 0.0000005, -0.0000004, 0.9999995, 0.123456499999, 1.0, 0.30000000000000004]
     expected = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert search_blocks.round_half_up(np.array(values), 6).tolist() == expected
+
+
+def products(df):
+    """How often the plan compares offers with queries."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups")
+
+
+@pytest.mark.parametrize("name", ["source_links"])
+def test_matches_are_computed_once(spark, name):
+    assert products(plans.QUERIES[name](spark, "/root/testdata/sf0.001")) == 1
