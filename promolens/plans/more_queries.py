@@ -470,8 +470,8 @@ def source_links(spark, sf_dir):
 
 @query("comparison_rows", f"""WITH {_MATCHES} SELECT left(repeat('Angebot ' || id || ' ', 8), 40) AS title, 's' || (id % 4) AS store FROM matches WHERE alert_id = (SELECT min(alert_id) FROM matches) ORDER BY similarity DESC, id LIMIT 6""")
 def comparison_rows(spark, sf_dir):
-    rows = _matches(spark, sf_dir)
-    own = rows.join(F.broadcast(rows.agg(F.min("alert_id").alias("alert_id"))), "alert_id").join(_vector_offers(spark, sf_dir).select("id", "price", "discount_percent", "store"), "id")
+    # the matches of one alert are few
+    own = _vector_offers(spark, sf_dir).select("id", "price", "discount_percent", "store").join(F.broadcast(_first_matches(spark, sf_dir)), "id")
     named = own.withColumns({"title": F.repeat(F.concat(F.lit("Angebot "), _str("id"), F.lit(" ")), 8), "deal_verdict": F.lit(None).cast("string")})
     return search.comparison_rows(named).select("title", "store")
 

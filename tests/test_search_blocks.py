@@ -88,6 +88,7 @@ def products(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups")
 
 
-@pytest.mark.parametrize("name", ["source_links"])
+@pytest.mark.parametrize("name", ["source_links", "comparison_rows"])
 def test_matches_are_computed_once(spark, name):
+    """By products, and in no second place of the plan."""
     assert products(plans.QUERIES[name](spark, "/root/testdata/sf0.001")) == 1
