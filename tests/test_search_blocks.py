@@ -94,3 +94,8 @@ def test_matches_are_computed_once(spark, name):
     df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert products(df) == 1
     assert "NestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_are_computed_once(spark):
+    """The job keeps them, as its log and its touched alerts both follow from them."""
+    assert products(plans.QUERIES["run_digest"](spark, "/root/testdata/sf0.001")) == 0
