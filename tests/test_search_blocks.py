@@ -88,7 +88,7 @@ def products(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups")
 
 
-@pytest.mark.parametrize("name", ["source_links", "comparison_rows", "alert_topk", "alert_digests", "touch_alerts", "alert_topk_loose"])
+@pytest.mark.parametrize("name", ["source_links", "comparison_rows", "notification_log", "alert_topk", "alert_digests", "touch_alerts", "alert_topk_loose"])
 def test_matches_are_computed_once(spark, name):
     """By products, and in no second place of the plan."""
     df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
