@@ -62,3 +62,28 @@ def test_brochures_with_several_columns(spark, tmp_path):
 def test_runs(spark):
     row = spark.createDataFrame([("AbCab", "ab", None, "😀é日本")], "a string, b string, c string, d string").select(*[text_index.runs(F.col(c)) for c in "abcd"]).first()
     assert [list(x) for x in row] == [["abc", "bca", "cab"], [], [], ["😀é日", "é日本"]]
+
+
+def listed(texts):
+    return sorted((r, n) for runs, ends, own in text_index.list_runs(texts) for r, a, b in zip(runs, ends, ends[1:], strict=False) for n in own[a:b].tolist())
+
+
+def test_lists_have_each_text_once(monkeypatch):
+    texts = ["abcabc", "bcd\x00", "😀é日本", "xabc", "ab\x00\x00"]
+    expected = sorted({(t[k : k + 3], n) for n, t in enumerate(texts) for k in range(len(t) - 2)})
+    assert listed(texts) == expected
+    wide = ["".join(map(chr, range(0x4E00 + n, 0x9000))) for n in range(3)] + ["".join(map(chr, range(0x10000, 0x10000 + 400_000)))] * 200
+    assert len(listed(wide[:3])) == sum(len(t) - 2 for t in wide[:3])
+    halves = list(text_index.list_runs([t[:3] for t in wide] + [wide[3]]))
+    assert len(halves) > 1 and sum(len(own) for _, _, own in halves) == 203 + 400_000 - 2
+    monkeypatch.setattr(text_index, "LISTED", 5)
+    long = ["abcdefghijkl", "", "ab", "abcde", "xyz"]
+    got = {(r, numbers[n]) for numbers, pieces in text_index._pieces(long) for r, n in listed(pieces) if sum(map(len, pieces)) <= 5}
+    assert got == {(t[k : k + 3], n) for n, t in enumerate(long) for k in range(len(t) - 2)}
+
+
+def test_a_row_lists_many_texts(spark, offers, tmp_path):
+    index = SubstringIndex(spark, f"file://{tmp_path}/i", offers.schema, "external_id", ["title"], 4)
+    index.insert(offers.coalesce(1), 0)
+    rows = index._postings().filter("run = 'tee'").collect()
+    assert len(rows) == 1 and sorted(rows[0]["ids"]) == [r[0] for r in offers.filter("contains(lower(title), 'tee')").select("external_id").orderBy("external_id").collect()]
