@@ -1,10 +1,11 @@
 """The most similar offers of many queries, by matrix products of parts of both.
 
 Offers and queries are dealt into parts; each pair of parts is one group of a
-cogroup, so a task holds two parts, whatever the sizes of the tables. A product
-only tells which pairs may be among a query's best. Those are compared again by
-the sum that the expressions in ``functions.vectors`` compute, term by term, so
-results do not depend on the order in which a product adds.
+cogroup, so a task holds two parts, whatever the sizes of the tables. A product,
+in single precision, only tells which pairs may be among a query's best; what it
+can be off by is known. Those pairs are compared again by the sum that the
+expressions in ``functions.vectors`` compute, term by term, so results do not
+depend on a product's precision or on the order in which it adds.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql.types import ArrayType, DecimalType, FloatType, IntegralType
 OFFERS_PART, QUERIES_PART = 16_384, 8_192
 #: Offers and queries of one product; at most so many pairs are compared term by term at once.
 OFFERS_STEP, QUERIES_STEP, PAIRS_STEP = 2_048, 512, 1 << 16
+#: Offers of a part's first product, at most: all its pairs are tested for the conditions, and it gives the first limits.
+FIRST_STEP = 512
+#: More than a double-precision product's rounding for vectors of usual length.
+_SLACK = 1e-9
 #: Partitions of the cogroup, at most.
 MAX_PARTITIONS = 4_096
-#: More than a product's rounding for vectors of usual length.
-_SLACK = 1e-9
 
 
 def _usable(df: DataFrame, vector: str) -> DataFrame:
@@ -57,12 +60,25 @@ def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def _paired(x: np.ndarray, y: np.ndarray, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """``_summed`` of columns j of x and i of y, a row for each term."""
+    total = np.zeros(len(j))
+    for a, b in zip(x, y, strict=True):
+        total += a[j] * b[i]
+    return total
+
+
 def _cosine(dots: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Minus infinity where the cosine is null."""
     value = dots / np.where(lengths == 0, np.nan, lengths)
     return np.where(np.isnan(value), -np.inf, value)
 
 
+def slack(dims: int) -> float:
+    """More than a single-precision product of two unit vectors is off by: a rounding for each term, some for the vectors and the limit."""
+    return (dims + 16) * 2.0**-24
+
+
 def round_half_up(value: np.ndarray, digits: int | None) -> np.ndarray:
     """As Spark's ``round``: halves of the shortest decimal go away from zero."""
     if digits is None or not len(value):
@@ -79,10 +95,11 @@ def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """Places of two columns' values in their common order, NaN last; -1 for null."""
     known = [np.asarray(c.is_valid().combine_chunks()) for c in (a, b)]
     rows = [c.drop_null() for c in (a, b)]
-    plain = [np.array(c.to_pylist(), object) if pa.types.is_decimal(c.type) else np.asarray(c.combine_chunks()) for c in rows]
+    coded = [c.combine_chunks().dictionary_encode() for c in rows]
+    plain = [np.array(c.dictionary.to_pylist(), object) if pa.types.is_decimal(c.type.value_type) else np.asarray(c.dictionary) for c in coded]
     place = np.unique(np.concatenate(plain), return_inverse=True)[1]
     out = [np.full(len(k), -1) for k in known]
-    out[0][known[0]], out[1][known[1]] = place[: len(plain[0])], place[len(plain[0]) :]
+    out[0][known[0]], out[1][known[1]] = place[: len(plain[0])][np.asarray(coded[0].indices)], place[len(plain[0]) :][np.asarray(coded[1].indices)]
     return out[0], out[1]
 
 
@@ -98,7 +115,7 @@ def _conditions(offers: pa.Table, queries: pa.Table):
         least = np.where(least < 0, -2, least)
         tests.append(lambda i, j: discount[j] >= least[i])
     for name, column, meets in (("category", "category", _holding), ("stores", "store", _listed)):
-        if name in queries.column_names:
+        if name in queries.column_names and queries.column(name).null_count < len(queries):
             tests.append(_table(queries.column(name).to_pylist(), offers.column(column), meets))
 
     def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -131,41 +148,71 @@ def _table(asked: list, values: pa.ChunkedArray, meets):
     return lambda i, j: table[row[i], place[j]]
 
 
+def _flags(flags: np.ndarray, size: int) -> np.ndarray:
+    """Places of the few flags that are set among the first ``size``; there is room up to a multiple of 8."""
+    end = -(-size // 8) * 8
+    flags[size:end] = False
+    eights = np.flatnonzero(flags[:end].view(np.uint64))
+    at = np.flatnonzero(flags[:end].reshape(-1, 8)[eights])
+    return eights[at >> 3] * 8 + (at & 7)
+
+
 @np.errstate(all="ignore")
 def best_of_parts(offers: pa.Table, queries: pa.Table, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, offer, similarity) of each query's k best; offers are in order of id, which decides ties."""
     x, y = _matrix(offers.column("embedding")), _matrix(queries.column("vector"))
     xn, yn = np.sqrt(_summed(x, x)), np.sqrt(_summed(y, y))
-    ux, uy = x / xn[:, None], y / yn[:, None]
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    units = x / xn[:, None], y / yn[:, None]
+    single = [u.astype(np.float32) for u in units]
     # lengths whose squares or products could leave the range of doubles
     odd_x, odd_y = (np.flatnonzero((n < 1e-100) | (n > 1e100)) for n in (xn, yn))
     cutoff = np.array(queries.column("cutoff").to_pylist(), float)
     allowed = _conditions(offers, queries)
     step = 10.0**-digits if digits is not None else 0.0
+    off = slack(x.shape[1])
+
+    def cosines(i: np.ndarray, j: np.ndarray, units: list, out: np.ndarray | None = None) -> np.ndarray:
+        """Those of queries i with offers j, but for the product's rounding."""
+        value = np.matmul(units[1][i[0] : i[-1] + 1], units[0][j[0] : j[-1] + 1].T, out=out)
+        for n in odd_x[(odd_x >= j[0]) & (odd_x <= j[-1])]:
+            value[:, n - j[0]] = _cosine(_summed(y[i], x[n]), yn[i] * xn[n])
+        for n in odd_y[(odd_y >= i[0]) & (odd_y <= i[-1])]:
+            value[n - i[0]] = _cosine(_summed(x[j], y[n]), xn[j] * yn[n])
+        return value
+
+    def less(limit: np.ndarray, off: float) -> np.ndarray:
+        """What a product can be for a cosine of ``limit``: above what stands for none; those of odd lengths can be over one, or infinite."""
+        limit = np.minimum(limit, 1e30)
+        return np.maximum(limit - off * np.maximum(1, np.abs(limit)), -1e30)
+
+    room, flags = np.empty(QUERIES_STEP * OFFERS_STEP, np.float32), np.empty(QUERIES_STEP * OFFERS_STEP + 7, bool)
+    first = min(FIRST_STEP, OFFERS_STEP)
     found = []
     for q in range(0, len(y), QUERIES_STEP):
         i = np.arange(q, min(q + QUERIES_STEP, len(y)))
-        limit = np.maximum(cutoff[i] - step / 2 - _SLACK, -1e300)  # above what stands for no cosine
+        limit = cutoff[i] - step / 2
         held = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        for o in range(0, len(x), OFFERS_STEP):
-            j = np.arange(o, min(o + OFFERS_STEP, len(x)))
-            value = uy[i] @ ux[j].T
-            for n in odd_x[(odd_x >= o) & (odd_x <= j[-1])]:
-                value[:, n - o] = _cosine(_summed(y[i], x[n]), yn[i] * xn[n])
-            for n in odd_y[(odd_y >= q) & (odd_y <= i[-1])]:
-                value[n - q] = _cosine(_summed(x[j], y[n]), xn[j] * yn[n])
+        for o in (0, *range(first, len(x), OFFERS_STEP)):
+            j = np.arange(o, min(o + OFFERS_STEP if o else first, len(x)))
+            value = cosines(i, j, single, room[: len(i) * len(j)].reshape(len(i), len(j)))
             if o == 0:
                 value[~allowed(i[:, None], j[None, :])] = -np.inf
                 if len(j) > k:
-                    limit = np.maximum(limit, np.partition(value, len(j) - k, axis=1)[:, len(j) - k] - step - _SLACK)
-            r, c = np.nonzero(value >= limit[:, None])
+                    limit = np.maximum(limit, less(np.partition(value, len(j) - k, axis=1)[:, len(j) - k].astype(float), off) - step)
+            np.greater_equal(value, less(limit, off).astype(np.float32)[:, None], out=flags[: value.size].reshape(value.shape))
+            r, c = np.divmod(_flags(flags, value.size), len(j))
             if o:
                 met = allowed(i[r], j[c])
                 r, c = r[met], c[met]
-            exact = [
-                _cosine(_summed(x[j[c[n : n + PAIRS_STEP]]], y[i[r[n : n + PAIRS_STEP]]]), xn[j[c[n : n + PAIRS_STEP]]] * yn[i[r[n : n + PAIRS_STEP]]])
-                for n in range(0, len(r), PAIRS_STEP)
-            ]
+            if len(r) > value.size // 32:
+                # many are as good as the last of k to single precision, as copies of one vector are
+                met = cosines(i, j, units)[r, c] >= less(limit, _SLACK)[r]
+                r, c = r[met], c[met]
+            exact = []
+            for n in range(0, len(r), PAIRS_STEP):
+                at_x, at_y = j[c[n : n + PAIRS_STEP]], i[r[n : n + PAIRS_STEP]]
+                exact.append(_cosine(_paired(xt, yt, at_x, at_y), xn[at_x] * yn[at_y]))
             exact = round_half_up(np.concatenate(exact) if exact else np.zeros(0), digits)
             good = (exact >= cutoff[i[r]]) & (exact > -np.inf)
             r, c, v = (np.concatenate(p) for p in zip(held, (r[good], j[c[good]], exact[good]), strict=True))
@@ -175,7 +222,7 @@ def best_of_parts(offers: pa.Table, queries: pa.Table, k: int, digits: int | Non
             held = r, c, v = r[keep], c[keep], v[keep]
             # a later offer must be better than the last of k, as its id is not smaller
             last = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == k - 1)
-            limit[r[last]] = np.maximum(limit[r[last]], v[last] + step / 2 - _SLACK)
+            limit[r[last]] = np.maximum(limit[r[last]], v[last] + step / 2)
         found.append((q + held[0], held[1], held[2]))
     return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 

@@ -99,3 +99,64 @@ def test_matches_are_computed_once(spark, name):
 def test_digests_are_computed_once(spark):
     """The job keeps them, as its log and its touched alerts both follow from them."""
     assert products(plans.QUERIES["run_digest"](spark, "/root/testdata/sf0.001")) == 0
+
+
+@pytest.mark.parametrize("strict", [False, True], ids=["alert_topk_loose", "alert_topk"])
+def test_conditions_are_tested_for_few_pairs(monkeypatch, strict):
+    """The first product's pairs, then only those that could be among the best."""
+    rng = np.random.default_rng(3)
+    a = pa.table({"embedding": rng.standard_normal((4096, 16)).tolist(), "price": rng.integers(100, size=4096), "discount_percent": rng.integers(90, size=4096).astype(float), "store": [f"s{n % 4}" for n in range(4096)], "category": ["x"] * 4096})
+    b = {"vector": rng.standard_normal((64, 16)).tolist(), "cutoff": [0.1] * 64, "max_price": [70, None] * 32, "category": pa.array([None] * 64, pa.string())}
+    b |= {"stores": [["s1", "s2"], None] * 32, "min_discount": [30.0, None] * 32} if strict else {}
+    real, asked = search_blocks._conditions, []
+
+    def counted(*tables):
+        allowed = real(*tables)
+        return lambda i, j: asked.append(np.broadcast(i, j).size) or allowed(i, j)
+
+    monkeypatch.setattr(search_blocks, "_conditions", counted)
+    found = search_blocks.best_of_parts(a, pa.table(b), 8, 6)
+    assert len(found[0]) == 64 * 8 and sum(asked) < 64 * 1024
+
+
+@pytest.mark.parametrize("dims", [1, 3, 64, 700])
+def test_slack_covers_single_precision(dims):
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((300, dims)) * 10.0 ** rng.integers(-3, 3, (300, dims))
+    y = np.concatenate([x, -x, x + rng.standard_normal(x.shape) * 1e-6])
+    ux, uy = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    off = np.abs(uy @ ux.T - uy.astype(np.float32) @ ux.astype(np.float32).T).max()
+    assert off < search_blocks.slack(dims) / 2
+
+
+@pytest.mark.parametrize("digits", [None, 6, 9])
+def test_cosines_that_single_precision_cannot_tell_apart(digits):
+    rng = np.random.default_rng(5)
+    x = np.array([1.0, 2.0, -1.0, 0.5, 3.0]) + rng.standard_normal((3000, 5)) * 1e-5
+    y = np.array([1.0, 2.0, -1.0, 0.5, 3.0]) + rng.standard_normal((20, 5)) * 0.2
+    a, b = pa.table({"embedding": x.tolist()}), pa.table({"vector": y.tolist(), "cutoff": [0.1] * 20})
+    got = list(zip(*(v.tolist() for v in search_blocks.best_of_parts(a, b, 8, digits)), strict=True))
+    xn, yn = np.sqrt(search_blocks._summed(x, x)), np.sqrt(search_blocks._summed(y, y))
+    value = search_blocks.round_half_up((search_blocks._summed(x[None], y[:, None]) / (xn[None] * yn[:, None])).ravel(), digits).reshape(20, 3000)
+    assert got == [(i, j, value[i, j]) for i in range(20) for j in sorted(range(3000), key=lambda j: (-value[i, j], j))[:8]]
+
+
+def test_copies_are_not_all_compared_again(monkeypatch):
+    """Copies with larger ids are no better than the k held, though a product in single precision can't tell."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((1, 24)), 8192, axis=0)
+    y = x[:64] + rng.standard_normal((64, 24)) * 0.1
+    real, compared = search_blocks._paired, []
+    monkeypatch.setattr(search_blocks, "_paired", lambda a, b, j, i: compared.append(len(j)) or real(a, b, j, i))
+    i, j, _ = search_blocks.best_of_parts(pa.table({"embedding": x.tolist()}), pa.table({"vector": y.tolist(), "cutoff": [0.1] * 64}), 8, 6)
+    assert j.tolist() == list(range(8)) * 64 and i.tolist() == [n for n in range(64) for _ in range(8)]
+    assert sum(compared) <= 2 * 64 * search_blocks.FIRST_STEP
+
+
+@pytest.mark.parametrize("name", ["alert_topk_loose"])
+def test_same_rows_from_many_parts(spark, name, monkeypatch):
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(tuple, plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=key)
+    monkeypatch.setattr(search_blocks, "OFFERS_PART", 30)
+    monkeypatch.setattr(search_blocks, "QUERIES_PART", 10)
+    assert sorted(map(tuple, plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=key) == whole and whole
