@@ -153,7 +153,7 @@ def test_copies_are_not_all_compared_again(monkeypatch):
     assert sum(compared) <= 2 * 64 * search_blocks.FIRST_STEP
 
 
-@pytest.mark.parametrize("name", ["alert_topk_loose", "touch_alerts", "alert_digests", "alert_topk"])
+@pytest.mark.parametrize("name", ["alert_topk_loose", "touch_alerts", "alert_digests", "alert_topk", "notification_log"])
 def test_same_rows_from_many_parts(spark, name, monkeypatch):
     key = lambda r: tuple(map(str, r))
     whole = sorted(map(tuple, plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=key)
